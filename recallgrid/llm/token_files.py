@@ -13,6 +13,7 @@ sequence and gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from recallgrid.llm.common import materialize, scratch_path, shuffle_partitions
 LENGTH, PER_BATCH = 2048, 64
 
 #: Words remembered in each of two generations, and the longest one that is.
-WORDS, WORD_BYTES = 200_000, 48
+WORDS, WORD_BYTES = 400_000, 48
 
 
 class _Words(dict):
@@ -40,26 +41,47 @@ class _Words(dict):
         super().__init__()
         self.encode, self.old = encode, {}
 
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """The word as two runs that are encoded apart: full stops and commas after a letter are split from
+        it, and case is folded; both leave the ids as they are and make for fewer different runs."""
+        core = word.rstrip(b".,")
+        tail = word[len(core) :]
+        if not (tail and core and core.decode()[-1].isalpha()):
+            core, tail = word, b""
+        return (core.lower() if core.isascii() else core), tail
+
+    def _learn(self, new: set[bytes]) -> None:
+        old = self.old
+        kept = {w: old[w] for w in new if w in old}
+        self.update(kept)
+        parts = {w: self._parts(w) for w in new if w not in kept}
+        runs = {r for pair in parts.values() for r in pair}.difference(self.keys(), (b"",))
+        kept = {r: old[r] for r in runs if r in old}
+        self.update(kept)
+        fresh = [r for r in runs if r not in kept]
+        self.update(zip(fresh, self.encode([r.decode() for r in fresh]), strict=True))
+        self[b""] = b""
+        self.update({w: self[core] + self[tail] for w, (core, tail) in parts.items()})
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = {w for row in split for w in row if w not in self}
-        if new:
-            fresh = []
-            for w in new:
-                if (found := self.old.get(w)) is not None:
-                    self[w] = found
-                else:
-                    fresh.append(w)
-            if fresh:
-                self.update(zip(fresh, self.encode([w.decode() for w in fresh]), strict=True))
-        get = self.__getitem__
-        out = [b"".join(map(get, row)) for row in split]
-        for w in new:
-            if len(w) > WORD_BYTES:
-                del self[w]
+        flat = [w for row in split for w in row]
+        ids = list(map(self.get, flat))
+        missed = [i for i, x in enumerate(ids) if x is None]
+        if missed:
+            self._learn({flat[i] for i in missed})
+            for i in missed:
+                ids[i] = self[flat[i]]
+            for i in missed:
+                if len(flat[i]) > WORD_BYTES:
+                    self.pop(flat[i], None)
         if len(self) > WORDS:
             self.old = dict(self)
             self.clear()
+        out, at = [], 0
+        for row in split:
+            out.append(b"".join(ids[at : at + len(row)]))
+            at += len(row)
         return out
 
 
@@ -74,6 +96,7 @@ def encoder(path: str) -> tuple[_Words, np.dtype]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        gc.set_threshold(100_000, 50, 1000)  # the tables are large and hold no garbage
         own = Tokenizer.from_file(path)
         kind = np.dtype("<u2") if own.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         _encoders[path] = _Words(lambda texts: [np.array(e.ids, kind).tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)]), kind
