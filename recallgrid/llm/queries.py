@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recallgrid.llm import bpe, token_files
+from recallgrid.llm import bpe, simhash, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +29,9 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.dedup(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
