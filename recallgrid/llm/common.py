@@ -124,9 +124,13 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 2 * STEP_BYTES)
+        n, tables = max(n, 2 * STEP_BYTES), []
         with np.errstate(over="ignore"):
-            _powers[:] = [np.multiply.accumulate(np.concatenate(([1], np.full(n - 1, b, np.uint64))).astype(np.uint64), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE)]
+            for b in (_BASE, _BASE_INVERSE):
+                steps_ = np.full(n, b, np.uint64)
+                steps_[0] = 1
+                tables.append(np.multiply.accumulate(steps_))
+        _powers[:] = tables
     return _powers
 
 
