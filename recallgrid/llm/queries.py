@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm import bpe, simhash, substrings, token_files
+from recallgrid.llm import bpe, html_text, lempel_ziv, simhash, substrings, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.compare(table(spark, sf_dir, "documents"))
