@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm import bpe, html_text, lempel_ziv, simhash, substrings, token_files
+from recallgrid.llm import bpe, html_text, lempel_ziv, mixing, simhash, substrings, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.compare(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).counts()
