@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm import bpe, html_text, lempel_ziv, mixing, simhash, substrings, token_files
+from recallgrid.llm import bpe, html_text, lempel_ziv, mixing, quality, rotation_codes, simhash, substrings, token_files, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,22 @@ def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).counts()
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    model = toxicity.train(docs, labels, may_learn=fold != 0)
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_codes.dedup(table(spark, sf_dir, "embeddings"))
