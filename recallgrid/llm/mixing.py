@@ -234,13 +234,15 @@ class Mix:
         placed = common.materialize(self.placed(), "mix-placed")
         spans = self._spans(placed)
         spans = placed.where("_mix_size > 0").join(spans, (F.col("_mix_rank") == F.col("rank")) & (F.col("_mix_at") == F.col("at"))).select("_mix_id", "_mix_hash", "_mix_source", "_mix_size", "_mix_at", "pass", "a", "b")
-        # rows that repeat exactly are numbered, so that each takes its own runs
-        copy = Window.partitionBy("_mix_id", "_mix_hash", "_mix_source")
-        numbered = placed.where("_mix_size > 0").select("_mix_id", "_mix_hash", "_mix_source", "_mix_at", F.row_number().over(copy.orderBy("_mix_at")).alias("_mix_copy"))
-        spans = spans.join(numbered.select("_mix_at", "_mix_copy", F.col("_mix_id").alias("_i"), F.col("_mix_hash").alias("_h"), F.col("_mix_source").alias("_s")), (F.col("_mix_id").eqNullSafe(F.col("_i"))) & (F.col("_mix_hash") == F.col("_h")) & F.col("_mix_source").eqNullSafe(F.col("_s")) & (spans["_mix_at"] == numbered["_mix_at"])).drop("_i", "_h", "_s", "_mix_at")
-        texts = docs.withColumns({"_mix_hash": F.xxhash64(self.text_col)})
-        texts = texts.withColumn("_mix_copy", F.row_number().over(Window.partitionBy(self.id_col, "_mix_hash", self.source_col).orderBy(F.lit(0))))
-        rows = texts.join(spans.withColumnRenamed("_mix_hash", "_mix_of"), texts[self.id_col].eqNullSafe(F.col("_mix_id")) & (texts["_mix_hash"] == F.col("_mix_of")) & texts[self.source_col].eqNullSafe(F.col("_mix_source")) & (texts["_mix_copy"] == spans["_mix_copy"]))
+        keys = ["_mix_id", "_mix_hash", "_mix_source"]
+        texts = docs.withColumns({"_mix_of": F.xxhash64(self.text_col), "_mix_copy": F.lit(1)})
+        spans = spans.withColumn("_mix_number", F.lit(1))
+        if placed.groupBy(*keys).count().where("count > 1").limit(1).count():
+            # rows that repeat exactly are numbered, so that each takes its own runs
+            texts = texts.withColumn("_mix_copy", F.row_number().over(Window.partitionBy(self.id_col, "_mix_of", self.source_col).orderBy(F.lit(0))))
+            spans = spans.withColumn("_mix_number", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_mix_at")))
+        same = texts[self.id_col].eqNullSafe(F.col("_mix_id")) & (F.col("_mix_of") == F.col("_mix_hash")) & texts[self.source_col].eqNullSafe(F.col("_mix_source")) & (F.col("_mix_copy") == F.col("_mix_number"))
+        rows = texts.join(spans, same)
         whole = (F.col("a") == 0) & (F.col("b") == F.col("_mix_size"))
         part = F.array_join(F.slice(F.regexp_extract_all(self.text_col, F.lit(WORD), F.lit(0)), F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int")), " ")
         text = F.when(whole, F.col(self.text_col)).otherwise(part)

@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def _stretches(texts: DataFrame, window: int, prefix: int) -> DataFrame:
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "row", "h", "start", "n", "words"])
 
-    return texts.select("row", "h", "text", "keys").mapInArrow(run, "block long, row long, h long, start int, n int, words binary")
+    return texts.select("row", "h", "text", "keys", "carry").mapInArrow(run, "block long, row long, h long, start int, n int, words binary")
 
 
 def _ranges(stretches: DataFrame, window: int) -> DataFrame:
@@ -219,11 +220,13 @@ def _ranges(stretches: DataFrame, window: int) -> DataFrame:
     return stretches.repartition(n, "block").sortWithinPartitions("block", "row", "h", "start").mapInArrow(run, "row long, h long, a int, b int")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept): kept has the words that stay, joined by one space."""
+def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_was: bool = False) -> DataFrame:
+    """(id, n_words, n_removed, kept): kept has the words that stay, joined by one space; with as_was, a text
+    that loses no word is kept as it was. carry: further columns, given back in a struct `carry`."""
     n = common.shuffle_partitions(docs.sparkSession)
     none = -(1 << 63)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
+    further = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(0)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"), further.alias("carry"))
     found = _repeated(texts, window, prefix, group_rows)
     hot = found.where(F.col("kind") == _HOT).select("key", F.lit(True).alias("hot"))
     keys = found.where(F.col("kind") == 0).join(hot, "key", "left").groupBy("row").agg(F.collect_list(F.struct("key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("keys"))
@@ -263,7 +266,21 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_row
                 upto = np.concatenate(([0], np.cumsum(stay)))[first]
                 removed[a:b] = size[a:b] - np.diff(upto)
                 kept += [line[begin[x] : end[y - 1]].decode() if y > x else "" for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
-
-    out = texts.join(cuts, "row", "left").select("row", "h", "text", "cuts").mapInArrow(run, "row long, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("row") != none, F.col("row")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept")
+            texts_now = pa.array(kept, pa.string())
+            if as_was:
+                texts_now = pa.compute.if_else(pa.array(removed == 0), column.cast(pa.string()), texts_now)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), texts_now, batch.column(4)], ["row", "n_words", "n_removed", "kept", "carry"])
+
+    kind = texts.schema["carry"].dataType.simpleString()
+    out = texts.join(cuts, "row", "left").select("row", "h", "text", "cuts", "carry").mapInArrow(run, f"row long, n_words long, n_removed long, kept string, carry {kind}")
+    return out.select(F.when(F.col("row") != none, F.col("row")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept", *(["carry"] if carry else []))
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+    """The input's rows and columns, with texts that have lost their repeats and their length in n_chars."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    found = dedup(docs, id_col=id_col, text_col=text_col, carry=rest or None, as_was=True, **options)
+    out = {c: F.col("carry")[c] for c in rest} | {id_col: F.col(id_col), text_col: F.col("kept")}
+    if n_chars in out:
+        out[n_chars] = F.length("kept").cast(docs.schema[n_chars].dataType)
+    return found.select(*[out[c].alias(c) for c in docs.columns])

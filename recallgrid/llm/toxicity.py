@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, s
     if not len(target) or target.min() == target.max():
         return Model(float(np.log((target.sum() + 1) / (len(target) - target.sum() + 1))), np.zeros(0, np.int64), np.zeros(0))
     own = sets(found, "own")
-    features = select(own, target, BUCKETS, 3, 5.0, 4096)
+    features = select(own, target, BUCKETS, 3, 3.5, 4096)
     paired = found.filter(found["paired"])
     pairs = (sets(paired, "own"), sets(paired, "twin")) if paired.num_rows else None
     bias, weights = fit(own, target, features, ridge=1e-4, pairs=pairs, pairing=pairing)
