@@ -208,7 +208,7 @@ class Mix:
 
     def taken_pieces(self, placed: DataFrame) -> DataFrame:
         """Each piece with each slot that takes some of its words: hi is cut to the slot's words."""
-        met = self.pieces(placed).join(self.slots(), ["rank", "block"]).withColumn("hi", F.least("hi", "words"))
+        met = self.pieces(placed).join(self.slots().hint("merge"), ["rank", "block"]).withColumn("hi", F.least("hi", "words"))
         return met.where("hi > lo")
 
     def counts(self) -> DataFrame:
