@@ -14,10 +14,11 @@ sequence and gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +38,46 @@ WORDS, WORD_BYTES = 400_000, 48
 class _Words(dict):
     """Ids, as bytes, of the runs between ASCII blanks that were met lately."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
+    def __init__(self, own, kind: np.dtype, suffix: str) -> None:
+        from tokenizers import normalizers, pre_tokenizers
+
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.own, self.kind, self.old = own, kind, {}
+        self.plain = type(own).from_str(own.to_str())
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(own.get_vocab_size(), bool)
+        self.ends[[i for token, i in own.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _encode(self, runs: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(run, ids). Runs of small letters are words already: many of them are encoded as one text, whose ids
+        are cut after each token that ends a word."""
+        words, rest = [], []
+        for r in runs:
+            text = r.decode()
+            (words if text.isalpha() and max(text) < "\u0130" and text == text.lower() else rest).append(text)
+        out = [(t.encode(), np.array(e.ids, self.kind).tobytes()) for t, e in zip(rest, self.own.encode_batch_fast(rest, add_special_tokens=False), strict=True)]
+        size = self.kind.itemsize
+        for a in range(0, len(words), 512):
+            some = words[a : a + 512]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            data, at = ids.tobytes(), 0
+            for word, end in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist(), strict=True):
+                out.append((word.encode(), data[at:end]))
+                at = end
+        return out
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         """The word as two runs that are encoded apart: full stops and commas after a letter are split from
         it, and case is folded; both leave the ids as they are and make for fewer different runs."""
         core = word.rstrip(b".,")
         tail = word[len(core) :]
-        if not (tail and core and core.decode()[-1].isalpha()):
-            core, tail = word, b""
-        return (core.lower() if core.isascii() else core), tail
+        text = core.decode()
+        if tail and not (text and text[-1].isalpha() and text[-1] < "\u0130"):
+            core, tail, text = word, b"", word.decode()
+        if text and max(text) < "\u0130":
+            core = text.lower().encode()
+        return core, tail
 
     def _learn(self, new: set[bytes]) -> None:
         old = self.old
@@ -59,7 +88,7 @@ class _Words(dict):
         kept = {r: old[r] for r in runs if r in old}
         self.update(kept)
         fresh = [r for r in runs if r not in kept]
-        self.update(zip(fresh, self.encode([r.decode() for r in fresh]), strict=True))
+        self.update(self._encode(fresh))
         self[b""] = b""
         self.update({w: self[core] + self[tail] for w, (core, tail) in parts.items()})
 
@@ -85,13 +114,34 @@ class _Words(dict):
         return out
 
 
-_encoders: dict[str, tuple[_Words, np.dtype]] = {}
+class _Whole:
+    """Ids, as bytes, of texts that the library encodes one by one."""
+
+    def __init__(self, own, kind: np.dtype) -> None:
+        self.own, self.kind = own, kind
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.own.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+
+def _by_words(own) -> str:
+    """The suffix that ends words, if the file's normaliser and splitter treat the runs between ASCII blanks
+    apart and letters as words, as encoding by words needs; else nothing."""
+    plan = json.loads(own.to_str())
+    steps = ((plan["normalizer"] or {}).get("normalizers") or []) if plan["normalizer"] else []
+    split = ((plan["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    fit = {x["type"] for x in steps} <= {"NFC", "Replace", "Lowercase"} and {"type": "Lowercase"} in steps and all(x.get("pattern", {}).get("Regex") == r"\s+" for x in steps if x["type"] == "Replace")
+    fit &= split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and r"|[\p{L}]+|" in split["pattern"].get("Regex", "") and r"[^\s\p{L}\p{N}]+" in split["pattern"].get("Regex", "")
+    return (plan["model"].get("end_of_word_suffix") or "") if fit and plan["model"]["type"] == "BPE" else ""
+
+
+_encoders: dict[str, tuple[_Words | _Whole, np.dtype]] = {}
 
 
-def encoder(path: str) -> tuple[_Words, np.dtype]:
-    """The tokenizers library's encoder of a file, remembering words: its normaliser and splitter never look
-    across an ASCII blank, so the ids of a text are those of the runs between blanks, in order. The ids
-    take the narrowest unsigned type that holds the vocabulary."""
+def encoder(path: str) -> tuple[_Words | _Whole, np.dtype]:
+    """The tokenizers library's encoder of a file. Where its normaliser and splitter never look across an ASCII
+    blank, the ids of a text are those of the runs between blanks, in order, and runs are remembered.
+    The ids take the narrowest unsigned type that holds the vocabulary."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -99,7 +149,8 @@ def encoder(path: str) -> tuple[_Words, np.dtype]:
         gc.set_threshold(100_000, 50, 1000)  # the tables are large and hold no garbage
         own = Tokenizer.from_file(path)
         kind = np.dtype("<u2") if own.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        _encoders[path] = _Words(lambda texts: [np.array(e.ids, kind).tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)]), kind
+        suffix = _by_words(own)
+        _encoders[path] = (_Words(own, kind, suffix) if suffix else _Whole(own, kind)), kind
     return _encoders[path]
 
 
@@ -199,7 +250,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 1, id_co
             out = out or Writer(folder, name, kind)
             starts, sizes = [], []
             for a in range(0, batch.num_rows, 256):
-                for ids in own.of([x.as_py().encode() for x in batch.column(1)[a : a + 256]]):
+                for ids in own.of(batch.column(1).slice(a, 256).cast(pa.binary()).to_pylist()):
                     starts.append(out.add(ids + end))
                     sizes.append(out.total - starts[-1])
             n = batch.num_rows
