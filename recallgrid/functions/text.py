@@ -1,0 +1,133 @@
+"""Text predicates and transforms as Columns."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# English words that the tokenizer leaves out.
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+
+# Canonical predicates and their aliases.
+PREDICATES = (
+    "uses", "requires", "depends_on", "configured_with", "format_is", "default_is", "causes", "prevents", "fixes", "enables",
+    "should", "should_NOT", "pattern_is", "flow_is", "implemented_as", "chosen_over", "reason_for", "improves", "degrades", "maps_to",
+)
+PREDICATE_ALIASES = {
+    "depends on": "depends_on", "needs": "requires", "need": "requires", "is configured with": "configured_with",
+    "configured with": "configured_with", "configures": "configured_with", "config_is": "configured_with", "has_format": "format_is",
+    "defaults_to": "default_is", "default": "default_is", "caused_by": "causes", "leads_to": "causes", "triggers": "causes",
+    "avoids": "prevents", "blocks": "prevents", "solves": "fixes", "fixed_by": "fixes", "resolves": "fixes", "allows": "enables",
+    "unlocks": "enables", "supports": "enables", "must": "should", "should_use": "should", "recommended": "should",
+    "must_not": "should_NOT", "should_not": "should_NOT", "avoid": "should_NOT", "do_not": "should_NOT", "dont": "should_NOT",
+    "implemented_by": "implemented_as", "built_with": "implemented_as", "runs_on": "implemented_as", "works_as": "pattern_is",
+    "follows": "pattern_is", "architecture_is": "pattern_is", "pipeline_is": "flow_is", "workflow_is": "flow_is",
+    "preferred_over": "chosen_over", "replaced_by": "chosen_over", "selected_over": "chosen_over", "because": "reason_for",
+    "motivation": "reason_for", "speeds_up": "improves", "optimizes": "improves", "enhances": "improves", "slows_down": "degrades",
+    "hurts": "degrades", "worsens": "degrades", "equivalent_to": "maps_to", "corresponds_to": "maps_to", "translates_to": "maps_to",
+}
+
+# Patterns of texts that aren't worth keeping, and of those that always are.
+WORTHY = r"(?i)(記住|remember|note\s+to\s+self|重要|鐵律|iron\s+rule|以後|from\s+now\s+on|always|never|禁止|must)"
+HEARTBEAT = r"(?i)^(HEARTBEAT|ping|pong|test|ok|ack|noop)$"
+STATUS = r"(?i)^(ok|okay|done|got\s+it|sure|roger|affirmative|copy\s+that|understood|好|收到|了解|知道了|明白|好的|沒問題|遵命)[\s!.,、。！]*$"
+TRACE = r"(?im)^\s*(Traceback \(most recent call last\)|  File \"|    raise |Error:|Exception:)"
+MEMORY = r"(?i)(記得|記住|忘了|想起|提過|討論過|說過|之前|上次|以前|前面|先前|剛才|我們聊過|有聊過|講過|聊到|提到|想想|回想|remember|recall|forgot|mentioned|discussed|previously|earlier|last\s*time|memory|memorize|noted|recorded|talked\s+about)"
+GREETING = r"(?i)^((hi|hello|hey|howdy|yo|sup|greetings|good\s*(morning|afternoon|evening|night))[\s!.,]*|(你好|嗨|哈囉|早安|午安|晚安|哈嘍|嘿)[\s!.,、。！]*)$"
+REFUSAL = r"(?i)(I cannot|I can't|I'm unable|I am unable|As an AI|As a language model|I don't have the ability|I'm not able|我無法|我不能|作為AI|作為一個語言模型|身為AI)"
+
+# Patterns of texts that try to steer a model.
+INJECTIONS = {
+    "role_tag": r"(?i)<\s*/?\s*(system|user|assistant|human|ai)\s*>",
+    "instruction_override": r"(?i)(ignore\s+(all\s+)?previous\s+instructions|disregard\s+(all\s+)?(above|prior)|forget\s+(everything|all)\s+(above|before)|new\s+instructions?\s*:|override\s+(system|previous)|you\s+are\s+now\s+|act\s+as\s+(if\s+you\s+are|a)\s+|pretend\s+(you\s+are|to\s+be)\s+|from\s+now\s+on\s*,?\s*(you|your|ignore)|忽略(所有|之前的)?指令|無視(之前|上面)的|新的指令\s*[:：]|你現在是)",
+    "encoded_injection": r"(?i)(&#x[0-9a-f]+;|&#\d+;|\\u[0-9a-f]{4}|%[0-9a-f]{2}){3,}",
+    "markdown_injection": r"(?i)(!\[.*?\]\(javascript:|\[.*?\]\(data:|<script\b|<iframe\b|on\w+\s*=\s*[\"'])",
+    "separator_flood": r"[-=_*#]{20,}",
+}
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case Latin words of two letters or more that aren't stop words."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
+    return F.filter(found, lambda x: (F.length(x) > 1) & ~x.isin(*STOPWORDS))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Share of distinct members in common; 0 if either is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b))).otherwise(0.0)
+
+
+def word_set(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""))
+
+
+def contains_all(text: Column, terms: list[str]) -> Column:
+    """Every term occurs, case aside; terms are literal text."""
+    return reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(t.lower())) for t in terms])
+
+
+def contains_any(text: Column, terms: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(t.lower())) for t in terms])
+
+
+def repetitive(text: Column) -> Column:
+    """One character makes up over four fifths."""
+    chars = F.split(text, "")
+    most = F.aggregate(F.array_distinct(chars), F.lit(0), lambda m, c: F.greatest(m, F.length(text) - F.length(F.replace(text, c, F.lit("")))))
+    return most > F.length(text) * 0.8
+
+
+def noise_reason(text: Column) -> Column:
+    """Why a text isn't worth keeping, or null; the first rule that applies decides."""
+    t = F.trim(text)
+    rules = (
+        (F.rlike(t, F.lit(WORTHY)), None),
+        ((F.length(t) < 10) & F.rlike(t, F.lit(HEARTBEAT)), "heartbeat"),
+        (F.length(t) < 10, "too_short"),
+        (F.rlike(t, F.lit(STATUS)), "status_only"),
+        ((F.length(t) > 500) & F.rlike(t, F.lit(TRACE)), "raw_error_trace"),
+        ((F.length(t) > 500) & F.rlike(t, F.lit(r"^[\[{]")) & ~F.rlike(t, F.lit(MEMORY)), "raw_json_dump"),
+        (repetitive(t), "repetitive"),
+        (F.rlike(t, F.lit(MEMORY)), None),
+        (F.rlike(t, F.lit(GREETING)) & ~F.rlike(t, F.lit("[?？]")), "greeting"),
+        (F.rlike(t, F.lit(REFUSAL)), "agent_refusal"),
+    )
+    return _first(rules)
+
+
+def _first(rules) -> Column:
+    out = F.when(rules[0][0], F.lit(rules[0][1]).cast("string"))
+    for condition, value in rules[1:]:
+        out = out.when(condition, F.lit(value).cast("string"))
+    return out
+
+
+def injection_reason(text: Column) -> Column:
+    """The first family of steering patterns that a text shows, or null."""
+    return _first(tuple((F.rlike(text, F.lit(p)), name) for name, p in INJECTIONS.items()))
+
+
+def neutralised(text: Column) -> Column:
+    """The text with steering patterns made harmless: tags in full width, orders quoted, the rest replaced."""
+    wide = F.regexp_replace(text, r"(?i)<(\s*/?\s*(system|user|assistant|human|ai)\s*)>", "＜$1＞")
+    quoted = F.regexp_replace(wide, INJECTIONS["instruction_override"], "[memory: $0]")
+    for name, new in (("encoded_injection", "[encoded-removed]"), ("markdown_injection", "[markup-removed]"), ("separator_flood", "---")):
+        quoted = F.regexp_replace(quoted, INJECTIONS[name], new)
+    return quoted
+
+
+def canonical_predicate(predicate: Column) -> Column:
+    """Trimmed and lower-cased, aliases replaced; an unknown predicate stays."""
+    p = F.lower(F.trim(predicate))
+    table = F.create_map(*[F.lit(x) for pair in PREDICATE_ALIASES.items() for x in pair])
+    return F.coalesce(F.element_at(table, p), p)
+
+
+def normal_name(name: Column) -> Column:
+    """An entity's name for comparing: white space collapsed, Latin lower-cased, closing marks dropped."""
+    n = F.trim(F.regexp_replace(name, r"\s+", " "))
+    n = F.when(F.rlike(n, F.lit("[一-鿿]")), n).otherwise(F.lower(n))
+    return F.regexp_replace(n, r"[.,;:!?]+$", "")

@@ -17,3 +17,6 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return put
+
+
+from recallgrid.plans import relational  # noqa: E402, F401  (registers its queries)
