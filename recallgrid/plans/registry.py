@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from recallgrid.plans import relational  # noqa: E402, F401  (registers its queries)
+from recallgrid.plans import knowledge, relational, retrieval  # noqa: E402, F401  (they register their queries)

@@ -39,7 +39,7 @@ BLOCKS_SQL = """blocks AS (SELECT doc_id AS id, text AS content, source AS sessi
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as facts: supplier, return flag, part, within the session of an order."""
     line = raw(spark, sf_dir, "lineitem")
-    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    key = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2097152 + F.col("l_partkey")) * 64 + F.col("l_quantity").cast("long")
     return line.select(
         key.alias("id"),
         F.col("l_orderkey").alias("session"),
@@ -52,7 +52,7 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TRIPLES_SQL = """triples AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS session, l_suppkey AS subject,
+TRIPLES_SQL = """triples AS (SELECT ((l_orderkey * 8 + l_linenumber) * 2097152 + l_partkey) * 64 + CAST(l_quantity AS BIGINT) AS id, l_orderkey AS session, l_suppkey AS subject,
   l_returnflag AS predicate, l_partkey AS object, l_shipdate AS created_at, l_quantity > 48 AS is_invalid,
   l_orderkey % 29 = 0 AS is_deleted FROM lineitem)"""
 
