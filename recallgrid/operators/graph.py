@@ -40,10 +40,12 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, damping: f
     total = start.agg(F.sum("_s")).first()[0] or 1.0
     start = saved(start.select("id", (F.col("_s") / total).alias("restart")))
     rank = start.select("id", F.col("restart").alias("rank"))
+    alone = start.join(out.select(F.col("src").alias("id")), "id", "left_anti").select("id")
+    stuck = alone.limit(1).count() > 0
     for turn in range(rounds):
         flow = arcs.join(rank, arcs["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         moved = start.join(flow, start["id"] == flow["dst"], "left").select("id", "restart", F.coalesce("flow", F.lit(0.0)).alias("flow"))
-        lost = 1.0 - moved.agg(F.sum("flow")).first()[0]
+        lost = (rank.join(alone, "id", "left_semi").agg(F.sum("rank")).first()[0] or 0.0) if stuck else 0.0
         rank = moved.select("id", (F.col("restart") * (1 - damping + damping * lost) + damping * F.col("flow")).alias("rank"))
         rank = saved(rank) if turn % 4 == 3 else rank
     return rank
