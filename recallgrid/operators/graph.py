@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df from the shared checkpoint folder, so an iteration doesn't carry those before."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            import tempfile
+    """df as a table in the shared checkpoint folder, so an iteration doesn't carry those before, and a lost
+    executor costs only its own tasks. The folder goes when the driver ends."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:  # as in tests
+        shared = f"file://{tempfile.mkdtemp(prefix='recallgrid-')}"
+        spark.sparkContext.setCheckpointDir(shared)
+    path = f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
-            found = tempfile.mkdtemp(prefix="recallgrid-")
-        sc.setCheckpointDir(found)
-    return df.checkpoint()
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def undirected(triples: DataFrame) -> DataFrame:
@@ -42,12 +54,12 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, damping: f
     rank = start.select("id", F.col("restart").alias("rank"))
     alone = start.join(out.select(F.col("src").alias("id")), "id", "left_anti").select("id")
     stuck = alone.limit(1).count() > 0
-    for turn in range(rounds):
+    for _ in range(rounds):
         flow = arcs.join(rank, arcs["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         moved = start.join(flow, start["id"] == flow["dst"], "left").select("id", "restart", F.coalesce("flow", F.lit(0.0)).alias("flow"))
         lost = (rank.join(alone, "id", "left_semi").agg(F.sum("rank")).first()[0] or 0.0) if stuck else 0.0
         rank = moved.select("id", (F.col("restart") * (1 - damping + damping * lost) + damping * F.col("flow")).alias("rank"))
-        rank = saved(rank) if turn % 4 == 3 else rank
+        rank = saved(rank)
     return rank
 
 
