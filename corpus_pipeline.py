@@ -41,12 +41,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ids.withColumn("n_tokens", F.size("ids"))
 
 
+def _bounded(stage):
+    """The stage with Arrow batches of bounded size."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_copies),
-    ("substring_dedup", cut_repeats),
-    ("mixing", mix_sources),
-    ("bpe", encode),
+    ("toxicity", _bounded(drop_toxic)),
+    ("simhash_near_dedup", _bounded(drop_near_copies)),
+    ("substring_dedup", _bounded(cut_repeats)),
+    ("mixing", _bounded(mix_sources)),
+    ("bpe", _bounded(encode)),
 ]
 
 

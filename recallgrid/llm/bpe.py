@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.llm import common
+
 #: States kept (others are worked out anew each time), and pieces remembered in each of two generations.
 STATES, PIECES, PIECE_CHARS = 90_000, 150_000, 48
 
@@ -258,6 +260,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(id, ids array<int>) of every whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("bpe", _codecs.clear)
         own = codec(path, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(x) for x in _texts(batch)], pa.list_(pa.int32()))], [id_col, "ids"])
@@ -270,6 +273,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -
     """(id, text) of (id, ids), decoded in chunks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("bpe", _codecs.clear)
         own = codec(path, pattern)
         for batch in batches:
             texts = []
@@ -287,6 +291,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the decoded bytes)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("bpe", _codecs.clear)
         own = codec(path, pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:

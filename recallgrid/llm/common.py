@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Smaller Arrow batches than Spark's own, for rows that are whole texts: an executor holds a few of them
+    at once, beside its heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+_held: dict = {}
+
+
+def claim(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Called by what runs in a Python worker: tables that another operator has left in this process are dropped
+    when the next operator begins, so a worker holds those of one operator at a time."""
+    if _held.get("name") != name:
+        if _held.get("clear"):
+            _held["clear"]()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        _held.update(name=name, clear=clear)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

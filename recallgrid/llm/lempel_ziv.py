@@ -137,6 +137,7 @@ def compare(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("lempel_ziv")
         held, done, out = None, False, []
 
         def finish(other: str, marks: np.ndarray) -> None:

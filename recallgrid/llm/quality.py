@@ -142,6 +142,7 @@ def score(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     names = list(LABELLERS)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("quality")
         for batch in batches:
             found = measures(batch.column(1))
             empty = np.diff(common.utf8(batch.column(1))[1]) == 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm import bpe, html_text, lempel_ziv, mixing, quality, rotation_codes, simhash, substrings, token_files, toxicity
+from recallgrid.llm import bpe, common, html_text, lempel_ziv, mixing, quality, rotation_codes, simhash, substrings, token_files, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -96,6 +96,7 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_col: str = "doc
     """(id, fp binary: big-endian words) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("simhash")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _packed(fingerprints_of(batch.column(1), width, bits))], [id_col, "fp"])
 

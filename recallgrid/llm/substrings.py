@@ -89,6 +89,7 @@ def _repeated(texts: DataFrame, window: int, prefix: int, group_rows: int) -> Da
     elsewhere: only a count of it goes to the key's reducer, so a reducer gets one row from a batch."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("substrings")
         for batch in batches:
             found = []
             for a, _, step in _steps(batch, window, prefix):
@@ -140,6 +141,7 @@ def _stretches(texts: DataFrame, window: int, prefix: int) -> DataFrame:
     the prefix that they are grouped by. Without words: these windows are repeats for sure."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("substrings")
         seen: set[bytes] = set()
         before = None
         for batch in batches:

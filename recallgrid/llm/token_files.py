@@ -27,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallgrid.llm import common
 from recallgrid.llm.common import materialize, scratch_path, shuffle_partitions
 
 LENGTH, PER_BATCH = 2048, 64
 
 #: Words remembered in each of two generations, and the longest one that is.
-WORDS, WORD_BYTES = 250_000, 48
+WORDS, WORD_BYTES = 450_000, 48
 
 
 class _Words(dict):
@@ -240,6 +241,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 1, id_co
     rows = rows.repartitionByRange(shuffle_partitions(spark), id_col, "_tie").sortWithinPartitions(id_col, "_tie", "_text").select(id_col, "_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("token_files", _encoders.clear)
         own, kind = encoder(path)
         end = np.array([] if end_id is None else [end_id], kind).tobytes()
         part, out = TaskContext.get().partitionId(), None

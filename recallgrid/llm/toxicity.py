@@ -159,6 +159,7 @@ def score(docs: DataFrame, model: Model, out: str = "score", text_col: str = "te
     """The input with its scores in column `out`, which replaces one of that name."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("toxicity")
         for batch in batches:
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != out}
             columns[out] = pa.array(scores_of(batch.column(batch.schema.get_field_index(text_col)), model))
