@@ -38,7 +38,7 @@ def select(sets: Sets, target: np.ndarray, buckets: int, least: int, score: floa
 
 
 def fit(sets: Sets, target: np.ndarray, features: np.ndarray, ridge: float = 1e-3, pairs: tuple[Sets, Sets] | None = None, pairing: float = 1.0, rounds: int = 400) -> tuple[float, np.ndarray]:
-    """(bias, weight of each feature): accelerated gradient descent on the mean log loss, an L2 penalty, and
+    """(bias, weight of each feature): full-batch Adam on the mean log loss, an L2 penalty, and
     `pairing` times the mean square of the score's change from the first set to the second of each pair."""
     slot = {int(f): i for i, f in enumerate(features)}
 
@@ -53,20 +53,17 @@ def fit(sets: Sets, target: np.ndarray, features: np.ndarray, ridge: float = 1e-
         prow, pcol = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
         sign = np.concatenate((np.ones(len(a[0])), -np.ones(len(b[0]))))
         m = max(1, len(pairs[0].at) - 1)
-    width = np.bincount(rows, minlength=n).max(initial=0) + 1
     w, bias = np.zeros(k), float(np.log((target.sum() + 1) / ((1 - target).sum() + 1)))
-    rate = 1 / (0.25 * width + ridge + (2 * pairing * (np.bincount(prow, minlength=m).max(initial=0) if pairs else 0)))
-    v, vb, t = w.copy(), bias, 1.0
-    for _ in range(rounds):
-        gap = sigmoid(np.bincount(rows, weights=v[cols], minlength=n) + vb) - target if k else np.full(n, sigmoid(np.array(vb))) - target
-        grad = np.bincount(cols, weights=gap[rows], minlength=k) / n + ridge * v
+    mean, square = np.zeros(k + 1), np.zeros(k + 1)
+    for turn in range(1, rounds + 1):
+        points = np.bincount(rows, weights=w[cols], minlength=n) + bias if k else np.full(n, bias)
+        gap = sigmoid(points) - target
+        grad = np.bincount(cols, weights=gap[rows], minlength=k) / n + ridge * w
         if pairs and len(prow):
-            change = np.bincount(prow, weights=v[pcol] * sign, minlength=m)
+            change = np.bincount(prow, weights=w[pcol] * sign, minlength=m)
             grad += 2 * pairing * np.bincount(pcol, weights=change[prow] * sign, minlength=k) / m
-        # features differ in how common they are: each takes steps of its own size
-        scale = 1 / np.maximum(np.bincount(cols, minlength=k) / n, 1e-3) ** 0.5
-        new, newb = v - 4 * rate * scale * grad, vb - 4 * rate * gap.mean()
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, vb = new + (t - 1) / t2 * (new - w), newb + (t - 1) / t2 * (newb - bias)
-        w, bias, t = new, newb, t2
+        grad = np.append(grad, gap.mean())
+        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        step = 0.15 * (1 - turn / (rounds + 1)) * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-9)
+        w, bias = w - step[:-1], bias - step[-1]
     return float(bias), w

@@ -233,7 +233,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_row
     hot = found.where(F.col("kind") == _HOT).select("key", F.lit(True).alias("hot"))
     keys = found.where(F.col("kind") == 0).join(hot, "key", "left").groupBy("row").agg(F.collect_list(F.struct("key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("keys"))
     texts = texts.withColumn("h", F.xxhash64("text")).repartition(n, "row").sortWithinPartitions("row", "h")
-    ranges = _ranges(_stretches(texts.join(keys, "row"), window, prefix), window)
+    # merge joins keep the order of rows within a partition, which both passes over the texts rely on
+    ranges = _ranges(_stretches(texts.join(keys.hint("merge"), "row"), window, prefix), window)
     cuts = ranges.groupBy("row").agg(F.collect_list(F.struct("h", "a", "b")).alias("cuts"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +275,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), texts_now, batch.column(4)], ["row", "n_words", "n_removed", "kept", "carry"])
 
     kind = texts.schema["carry"].dataType.simpleString()
-    out = texts.join(cuts, "row", "left").select("row", "h", "text", "cuts", "carry").mapInArrow(run, f"row long, n_words long, n_removed long, kept string, carry {kind}")
+    out = texts.join(cuts.hint("merge"), "row", "left").select("row", "h", "text", "cuts", "carry").mapInArrow(run, f"row long, n_words long, n_removed long, kept string, carry {kind}")
     return out.select(F.when(F.col("row") != none, F.col("row")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept", *(["carry"] if carry else []))
 
 

@@ -33,7 +33,7 @@ from recallgrid.llm.common import materialize, scratch_path, shuffle_partitions
 LENGTH, PER_BATCH = 2048, 64
 
 #: Words remembered in each of two generations, and the longest one that is.
-WORDS, WORD_BYTES = 450_000, 48
+WORDS, WORD_BYTES = 700_000, 48
 
 
 class _Words(dict):
