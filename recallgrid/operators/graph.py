@@ -80,8 +80,8 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
     """(id, community) by modularity: in each round a vertex may move to the neighbouring community of the
-    largest gain w(v, c) - resolution * k(v) * K(c) / 2m; vertices of even and odd hash move in turn, so two
-    neighbours don't swap for ever. Communities are named by their smallest member at the end."""
+    largest gain w(v, c) - resolution * k(v) * K(c) / 2m; a half of the vertices, drawn by hash anew each time, may
+    move at once, so two neighbours don't swap for ever. Communities are named by their smallest member at the end."""
     arcs = saved(both_ways(edges))
     degree = saved(arcs.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "id"))
     double_m = degree.agg(F.sum("k")).first()[0] or 1.0
@@ -95,11 +95,10 @@ def communities(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0,
         rest = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.col("w") - resolution * F.col("k") * rest / double_m
         best = choice.groupBy("id").agg(F.max_by("community", F.struct(gain, F.col("community") == F.col("own"), -F.col("community"))).alias("to"))
-        turn_of = F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2
-        new = saved(now.join(best, "id", "left").select("id", F.when(turn_of, F.coalesce("to", "community")).otherwise(F.col("community")).alias("new"), "community"))
-        moved = new.where("new <> community").limit(1).count()
-        now = new.select("id", F.col("new").alias("community"))
-        if not moved and turn % 2:
+        may = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+        new = saved(now.join(best, "id", "left").select("id", F.coalesce("to", "community").alias("to"), "community", may.alias("may")))
+        now = new.select("id", F.when(F.col("may"), F.col("to")).otherwise(F.col("community")).alias("community"))
+        if not new.where("to <> community").limit(1).count():
             break
     named = now.groupBy("community").agg(F.min("id").alias("name"))
     return now.join(named, "community").select("id", F.col("name").alias("community"))
