@@ -53,8 +53,8 @@ class _State(dict):
 class Transducer:
     """Lazily determinised transducer from the bytes of a piece to its ids."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], limit: int | None = None) -> None:
+        self.ranks, self.limit = ranks, limit
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.starts = {token[:n] for token in ranks for n in range(len(token))}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -96,7 +96,7 @@ class Transducer:
         none) than the next merge at either edge; of equal ranks the left one goes first."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 4 * STATES:
+            if len(self.pairs) > 4 * (self.limit or STATES):
                 self.pairs.clear()
             left, right = self.growth(a)[1], self.growth(b)[0]
             i = j = 0
@@ -123,7 +123,7 @@ class Transducer:
         found = self.states.get((pending, last, live))
         if found is None:
             found = _State()
-            found.kept = len(self.states) < STATES
+            found.kept = len(self.states) < (self.limit or STATES)
             if found.kept:
                 self.states[pending, last, live] = found
             else:
@@ -179,16 +179,16 @@ class Transducer:
 class _Memo(dict):
     """Pieces met lately, in two generations of bounded size."""
 
-    def __init__(self, transducer: Transducer) -> None:
+    def __init__(self, transducer: Transducer, limit: int | None = None) -> None:
         super().__init__()
-        self.encode, self.old = transducer.encode, {}
+        self.encode, self.old, self.limit = transducer.encode, {}, limit or PIECES
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         found = self.old.get(piece)
         if found is None:
             found = self.encode(piece.encode())
         if len(piece) <= PIECE_CHARS:
-            if len(self) >= PIECES:
+            if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[piece] = found
@@ -223,10 +223,10 @@ class StreamDecoder:
 class Codec:
     """Encoder and decoder of one rank file and split pattern."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        self.transducer = Transducer(read_ranks(path))
+    def __init__(self, path: str, pattern: str, states: int | None = None, pieces: int | None = None) -> None:
+        self.transducer = Transducer(read_ranks(path), states)
         self.split = regex.compile(pattern).findall
-        self.memo = _Memo(self.transducer)
+        self.memo = _Memo(self.transducer, pieces)
         top = max(self.transducer.tokens) + 1
         self.bytes = [self.transducer.tokens.get(i, b"") for i in range(top)]
         self.names = [str(i) for i in range(top)]
@@ -241,27 +241,29 @@ class Codec:
         return ",".join(map(self.names.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """The codec of this process: tables and states live as long as the worker."""
-    if (path, pattern) not in _codecs:
+def codec(path: str, pattern: str, states: int | None = None, pieces: int | None = None) -> Codec:
+    """The codec of this process: tables and states live as long as the worker. states, pieces: how many of
+    them it keeps, if not the usual number."""
+    key = (path, pattern, states, pieces)
+    if key not in _codecs:
         gc.set_threshold(100_000, 50, 1000)  # the tables are large and hold no garbage
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+        _codecs[key] = Codec(*key)
+    return _codecs[key]
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
     return (x.as_py() or "" for x in batch.column(1))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", states: int | None = None, pieces: int | None = None) -> DataFrame:
+    """(id, ids array<int>) of every whole text; states, pieces: bounds of a worker's tables."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.claim("bpe", _codecs.clear)
-        own = codec(path, pattern)
+        own = codec(path, pattern, states, pieces)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(x) for x in _texts(batch)], pa.list_(pa.int32()))], [id_col, "ids"])
 

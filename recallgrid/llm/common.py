@@ -73,6 +73,7 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
     if _held.get("name") != name:
         if _held.get("clear"):
             _held["clear"]()
+            gc.set_threshold(700, 10, 10)
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
