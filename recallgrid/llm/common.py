@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of two numbers that may be broadcast, once counted.
+BROADCAST_ROWS = 20_000
+
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
 
@@ -250,7 +253,9 @@ def with_blocks(rows: DataFrame, key: str, spread: str, cap: int) -> DataFrame:
     Keys of up to cap rows keep one block; larger ones are cut in c chunks (by hash of `spread`) and a
     row goes to the c blocks (its chunk, any chunk). Rows of side 0 pair with each other only if
     `within` is true. Counting the keys is a map-side combined aggregation."""
-    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > cap)
+    hot = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > cap), "hot-keys")
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else the rows are shuffled once more
+        hot = F.broadcast(hot)
     chunks = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
     rows = rows.join(hot, key, "left").withColumn("_c", F.coalesce(chunks, F.lit(1)))
     rows = rows.withColumn("_a", F.when(F.col("_c") > 1, F.pmod(F.xxhash64(F.lit(7), spread), F.col("_c")).cast("int")).otherwise(0))
