@@ -37,12 +37,6 @@ def block_masks(radius: int, blocks: int, bits: int = 64) -> np.ndarray:
     return _rows([sum(part[i] for i in some) for some in combinations(range(blocks), blocks - radius)], bits)
 
 
-def random_masks(tables: int, size: int, bits: int, seed: int = 7) -> np.ndarray:
-    """Masks of `size` random bits: a pair d bits apart agrees on one with chance 1 - (1 - (1 - d/bits)^size)^tables."""
-    rng = np.random.default_rng(seed)
-    return _rows([sum(1 << int(b) for b in rng.choice(bits, size, replace=False)) for _ in range(tables)], bits)
-
-
 def _rows(masks: list[int], bits: int) -> np.ndarray:
     return np.array([[(m >> (64 * w)) & (1 << 64) - 1 for w in range(bits // 64)] for m in masks], np.uint64)
 
@@ -111,8 +105,6 @@ def distances(prints: np.ndarray, others: np.ndarray) -> np.ndarray:
 def links(classes: DataFrame, radius: int, masks: np.ndarray, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst): a spanning forest, key by key, of the pairs of (node long, fp) rows at most `radius` bits apart."""
     words = masks.shape[1]
-    bits = 64 * words
-    reference = np.random.default_rng(11).integers(0, 1 << 64, (pivots, words), np.uint64)
 
     def file(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,6 +118,14 @@ def links(classes: DataFrame, radius: int, masks: np.ndarray, pivots: int = PIVO
                 node = np.repeat(part.column(0).to_numpy(), m)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node), _packed(np.repeat(prints, m, axis=0))], ["key", "node", "fp"])
 
+    return _near(classes.select("node", "fp").mapInArrow(file, "key long, node long, fp binary"), radius, words, pivots, block_rows)
+
+
+def _near(filed: DataFrame, radius: int, words: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(src, dst): a spanning forest, key by key, of the pairs of (key, node, fp) rows at most `radius` bits apart."""
+    bits = 64 * words
+    reference = np.random.default_rng(11).integers(0, 1 << 64, (pivots, words), np.uint64)
+
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.whole_groups(batches, "block"):
             block = table["block"].to_numpy()
@@ -150,8 +150,7 @@ def links(classes: DataFrame, radius: int, masks: np.ndarray, pivots: int = PIVO
             a, b = forest.edges()
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["src", "dst"])
 
-    filed = classes.select("node", "fp").mapInArrow(file, "key long, node long, fp binary")
-    n = common.shuffle_partitions(classes.sparkSession)
+    n = common.shuffle_partitions(filed.sparkSession)
     blocks = common.with_blocks(filed, "key", "node", block_rows).select("block", "node", "fp", "side", "within")
     return blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(search, "src long, dst long")
 
@@ -167,18 +166,124 @@ def dedup(docs: DataFrame, width: int = 5, radius: int = 4, bits: int = 64, mask
     return prints.join(of, "fp", "left").select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: For similar texts rather than nearly equal ones: a Jaccard likeness of 0.8 of two texts' shingles is a
-#: cosine of 0.89 of their counts, which turns about 19 of 128 bits, give or take 4; 0.7 turns 25.
-WIDE = {"width": 5, "radius": 22, "bits": 128}
+#: For similar texts rather than nearly equal ones: the contract of keep_one. A Jaccard likeness of 0.8 of two texts'
+#: shingles is a cosine of 0.89, which turns about 19 of 128 bits, give or take 4 (at worst, for texts of five
+#: shingles, 24 give or take 4.4); the radius is 5 (3.6) deviations away and only names pairs to verify.
+WIDTH, RADIUS, WORDS = 5, 40, 2
+
+
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): the distinct shingles of each whole text as ascending 64-bit hashes, and where each row's begin."""
+    data, offsets = common.utf8(column)
+    found, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in common.steps(offsets):
+        text = data[offsets[a] : offsets[b]]
+        text = text + (((text >= 65) & (text <= 90)).astype(np.uint8) << 5)
+        starts, ends, first = common.words(text, offsets[a : b + 1] - offsets[a])
+        line, starts, ends = common.normalized(text, starts, ends)
+        size = np.diff(first)
+        n = np.where(size >= width, size - width + 1, np.minimum(size, 1))
+        row = np.repeat(np.arange(b - a), n)
+        begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
+        until = np.minimum(begin + width, first[row + 1]) - 1
+        h = common.span_hashes(np.frombuffer(line, np.uint8), starts[begin], ends[until])
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        found.append(h[new])
+        sizes.append(np.bincount(row[new], minlength=b - a))
+    return np.concatenate(found), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
+
+
+def set_prints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(rows, WORDS) SimHash fingerprints of sets of shingles: a bit is set if it is in over half of them."""
+    out = np.zeros((len(first) - 1, WORDS), np.uint64)
+    a = 0
+    while a < len(out):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + (1 << 16), "right")) - 1)
+        n = np.diff(first[a : b + 1])
+        some = np.flatnonzero(n)
+        if len(some):
+            part, at = hashes[first[a] : first[b]], first[a:b][some] - first[a]
+            for w in range(WORDS):
+                h = common.mix(part ^ np.uint64(0xA5A5A5A5A5A5A5A5 * (w + 1) % (1 << 64)))
+                sums = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at, axis=0, dtype=np.int64)
+                out[a + some, w] = np.packbits(2 * sums > n[some][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        a = b
+    return out
+
+
+def _set_digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(rows, 2) words that are equal for equal sets."""
+    out = np.zeros((len(first) - 1, 2), np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    for w in range(2 if len(some) else 0):
+        out[some, w] = np.add.reduceat(common.mix(hashes + np.uint64(w + 11)), first[some])
+    return out
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 64, key_bits: int = 16) -> DataFrame:
-    """The input without near copies: of each group linked at a likeness of about 0.8 of 5-word shingles the
-    row with the smallest id stays. Fingerprints have 128 bits and are filed under random masks, which
-    a pair at the radius shares with a chance of 0.9 and a closer one sooner. Of rows with one id
-    one stays; rows without an id stay as they are."""
-    found = dedup(docs, **WIDE, masks=random_masks(tables, key_bits, WIDE["bits"]), id_col=id_col, text_col=text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_n"))
+def _filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text a digest of its set of shingles, its fingerprint, and a fifth of its shingles, one at least: the
+    first in the order of their hashes. Two sets with a Jaccard likeness of 0.8 have one of these in common."""
+    common.claim("simhash")
+    for batch in batches:
+        hashes, first = shingle_sets(batch.column(1))
+        n = np.diff(first)
+        some = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+        upto = np.concatenate(([0], np.cumsum(some)))
+        at = np.arange(upto[-1]) + np.repeat(first[:-1] - upto[:-1], some)
+        keys = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(hashes[at].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), _packed(_set_digests(hashes, first)), _packed(set_prints(hashes, first)), keys], ["node", "digest", "fp", "keys"])
+
+
+def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst): a spanning forest, block by block, of the pairs of texts whose shingles have a Jaccard likeness of 0.8 or more."""
+    common.claim("simhash")
+    for table in common.whole_groups(batches, "block", 1 << 9):
+        block, node = table["block"].to_numpy(), table["node"].to_numpy()
+        side, within = table["side"].to_numpy(), table["within"].to_numpy()
+        hashes, first = shingle_sets(table["text"])
+        prints, size = set_prints(hashes, first), np.diff(first)
+        code = np.unique(hashes, return_inverse=True)[1]
+        held, forest = np.zeros(int(code.max(initial=-1)) + 1, bool), common.Forest(len(block))
+        last = np.searchsorted(block, block, "right")
+        for i in range(len(block)):
+            j = np.arange(i + 1, last[i])
+            j = j[(within[i] | (side[j] != side[i])) & (5 * size[j] >= 4 * size[i]) & (5 * size[i] >= 4 * size[j])]
+            j = j[forest.roots(j) != forest.roots(np.array([i]))]
+            j = j[distances(prints[j], prints[i]) <= RADIUS]
+            mine = code[first[i] : first[i + 1]]
+            held[mine] = True
+            for lo in range(0, len(j), 256):
+                k = j[lo : lo + 256]
+                upto = np.concatenate(([0], np.cumsum(size[k])))
+                at = np.arange(upto[-1]) + np.repeat(first[k] - upto[:-1], size[k])
+                both = np.diff(np.concatenate(([0], np.cumsum(held[code[at]])))[upto])
+                k = k[9 * both >= 4 * (size[k] + size[i])]
+                forest.link(np.full(len(k), i), k)
+            held[mine] = False
+        a, b = forest.edges()
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["src", "dst"])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without near copies: of each group linked at a Jaccard likeness of 0.8 or more of 5-word shingles the
+    row with the smallest id stays. Texts are filed under those of their shingles that come first, of which two such
+    texts share one; fingerprints of 128 bits within RADIUS make groups of what shares a key, and in a group the
+    shingles themselves decide. Of rows with one id one stays; rows without an id stay as they are."""
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node is not null")
+    prints = common.materialize(texts.mapInArrow(_filed, "node long, digest binary, fp binary, keys array<long>"), "simhash")
+    classes = common.materialize(prints.groupBy("digest").agg(F.min("node").alias("node")), "simhash-classes")
+    filed = common.materialize(prints.join(classes, ["digest", "node"], "left_semi").select("node", "fp", "keys"), "simhash-filed")
+    near = _near(filed.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, WORDS)
+    groups = common.materialize(common.components(near, "simhash-groups"), "simhash-groups")
+    blocks = common.with_blocks(groups, "component", "node", BLOCK_ROWS).select("block", "node", "side", "within")
+    n = common.shuffle_partitions(docs.sparkSession)
+    alike = blocks.join(texts, "node").select("block", "node", "side", "within", "text").repartition(n, "block").sortWithinPartitions("block").mapInArrow(_alike, "src long, dst long")
+    joined = common.components(alike, "simhash-components")
+    of = classes.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    keep = prints.select("node", "digest").join(of, "digest").where("node = component").groupBy(F.col("node").alias("_keep")).agg(F.count("*").alias("_n"))
     keep = common.materialize(keep, "simhash-keep")
     kept = docs.join(keep, docs[id_col] == F.col("_keep"), "left_semi")
     if keep.where("_n > 1").limit(1).count():

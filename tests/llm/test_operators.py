@@ -143,6 +143,21 @@ def test_simhash_blocks_of_hot_keys(spark):
     assert components(ids, got) == components(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 4])
 
 
+def test_keep_one_decides_by_shingles(spark):
+    """Pairs at a likeness of 0.8 lose a copy, whatever their fingerprints; pairs just below it stay."""
+    rng, rows, want = np.random.default_rng(3), [], set()
+    for k, (n, shared) in enumerate([(90, 80)] * 60 + [(90, 79)] * 60 + [(900, 800)] * 10 + [(900, 799)] * 10 + [(5, 4)] * 20):
+        a = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+        b = a[: shared + 4] + [f"v{x}" for x in rng.integers(0, 1 << 40, n - shared if n > 5 else 0)]
+        alike = shared / (2 * n - shared if n > 5 else n) >= 0.8
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want |= {2 * k} if alike else {2 * k, 2 * k + 1}
+    rows += [(1000 + i, " ".join(f"c{j}" for j in range(60 * i, 60 * i + 1000))) for i in range(6)]  # each like the next one only
+    want.add(1000)
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
+
+
 def test_rotation_codes(spark):
     rng, rows, base = np.random.default_rng(0), [], None
     for i in range(250):
