@@ -32,11 +32,22 @@ def bm25_search(docs: DataFrame, terms: list[str], k: int, mean_length: float =
     return weighed.groupBy("id").agg(F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def dense_topk(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score): for each of the given query vectors the k nearest others by cosine. The queries are
-    a stated set that goes to every task (checked to be at most 1,000); each task keeps k for each."""
-    if query.limit(1001).count() > 1000:
-        raise ValueError("state at most 1,000 query vectors at once")
+def dense_topk(vectors: DataFrame, query: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """(query_id, id, score, rank): for each of the given query vectors the k nearest others by cosine. The queries go
+    to every task, `block` ids at a time; each task keeps k for each."""
+    blocks, last = [], None
+    while True:
+        left = query if last is None else query.where(F.col("id") > last)
+        ids = left.select("id").where("id is not null").distinct().orderBy("id").limit(block).agg(F.max("id").alias("top"), F.count("*").alias("n")).first()
+        if ids.n < block:
+            blocks.append(left)
+            break
+        blocks.append(left.where(F.col("id") <= ids.top))
+        last = ids.top
+    return reduce(DataFrame.unionByName, [_nearest(vectors, some, k) for some in blocks])
+
+
+def _nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     met = vectors.join(F.broadcast(query.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))), F.col("id") != F.col("query_id"))
     met = met.select("query_id", "id", F.round(scores.cosine(F.col("vec"), F.col("query_vec")), 6).alias("score"))
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

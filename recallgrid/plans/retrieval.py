@@ -58,6 +58,13 @@ def dense_topk(spark, d):
     return fusion.dense_topk(v, v.where("id < 5"), 10)
 
 
+@query("dense_topk_whole")
+def dense_topk_whole(spark, d):
+    """Every vector whose id is divisible by 100 against all others; dense_topk asks for five only, as its SQL does."""
+    v = vectors(spark, d)
+    return fusion.dense_topk(v, v.where("id % 100 = 0"), 10)
+
+
 @query("rank_fusion", f"""WITH {BLOCKS_SQL}, {BM25_SQL}, a AS (SELECT id, ROW_NUMBER() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 30) x),
   b AS (SELECT id, ROW_NUMBER() OVER (ORDER BY age_days, id) - 1 AS rank FROM (SELECT id, age_days FROM blocks WHERE NOT is_deleted ORDER BY age_days, id LIMIT 30) x)
   SELECT id, ROUND(SUM(part), 6) AS score FROM (SELECT id, 1.15 / (60 + rank) AS part FROM a UNION ALL SELECT id, 1.0 / (60 + rank) AS part FROM b) x GROUP BY 1""")
