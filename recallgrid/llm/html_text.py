@@ -5,7 +5,7 @@ the share of its text that is links, to its parent, half of them to its grandpar
 The container with most points, raised to the article element around it, is kept with those siblings that
 score well beside it or read like prose. What is never article text (menus, page headers and footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of readers) is left out by element, role and
-class or id.
+class or id; but a form, or what only a class or id speaks against, is scored if it holds most of the prose.
 
 Null and empty pages give an empty text. Truncated and malformed markup is read as far as it makes sense.
 Rows are independent: repeated rows give repeated results; pages of any length are read whole.
@@ -30,37 +30,43 @@ _LEFT_OUT = frozenset("nav footer aside form button select option menu dialog sv
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|foot|footer|masthead|topbar|header|site-header|page-header|comments?|commentlist|disqus|respond|replies|reply|notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|recirc|widget|pager|pagination|toolbar|skip|alert|rss|shoutbox|agegate)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|foot|footer|masthead|topbar|header|site-header|page-header|comments?|commentlist|disqus|respond|replies|reply|notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|recirc|widget|pager|pagination|toolbar|skip|alert|rss|shoutbox|agegate)(?=$|[\s_-])",
     re.I,
 )
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|reply)(?=$|[\s_-])", re.I)
+_IN_HEAD = frozenset("head base basefont bgsound link meta".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 _START = {"div": 5.0, "article": 25.0, "main": 15.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "body": 0.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "th": -5.0}
 
 
 class _Node:
-    __slots__ = ("blocks", "children", "level", "links", "out", "parent", "points", "size", "tag")
+    __slots__ = ("blocks", "children", "doubt", "level", "links", "out", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool) -> None:
-        self.tag, self.parent, self.out = tag, parent, out
+        self.tag, self.parent, self.out, self.doubt = tag, parent, out, 0
         self.level = parent.level + 1 if parent else 0
         self.children: list[_Node] = []
         self.blocks: list[int] = []
         self.points = self.size = self.links = 0.0
 
 
-def _leaves_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in _LEFT_OUT or (tag == "header" and not inside_article):
-        return True
+def _leaves_out(tag: str, attributes: str, inside_article: bool) -> int:
+    """0: no; 1: yes; 2: by class, id or form alone, so not if it holds most of the prose; 3: likewise, as readers' comments."""
+    if (tag in _LEFT_OUT and tag != "form") or (tag == "header" and not inside_article):
+        return 1
+    found = 2 if tag == "form" else 0
     if attributes and tag not in ("html", "body", "article", "main"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             value, name = a or b or c, name.lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                return True
-            if (name == "role" and value.lower() in _ROLES) or (name in ("class", "id") and _UNLIKELY.search(value)):
-                return True
+                return 1
+            if name == "role" and value.lower() in _ROLES:
+                return 1
+            if name in ("class", "id") and _UNLIKELY.search(value):
+                found = max(found, 3 if _READERS.search(value) else 2)
     elif attributes and tag == "article":
-        return any(n.lower() in ("class", "id") and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", a or b or c, re.I) for n, a, b, c in _ATTRIBUTE.findall(attributes))
-    return False
+        return int(any(n.lower() in ("class", "id") and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", a or b or c, re.I) for n, a, b, c in _ATTRIBUTE.findall(attributes)))
+    return found
 
 
 class _Page:
@@ -72,6 +78,7 @@ class _Page:
         self.owner: list[_Node] = []
         self.linked: list[int] = []
         self.parts: list[str] = []
+        self.doubts: list[_Node] = []
         self.in_links = self.link_depth = self.articles = 0
         end, n = 0, len(page)
         while end < n:
@@ -95,8 +102,38 @@ class _Page:
                     continue
                 self.open(tag, m[3])
         self.flush()
+        if self.doubts:
+            self.settle()
+
+    def settle(self) -> None:
+        """Leaves out what was in doubt, unless it holds most of the prose (as readers' comments, nearly all of it)."""
+        prose: dict[int, int] = {}
+        for text, node, linked in zip(self.texts, self.owner, self.linked, strict=True):
+            up = node
+            while up:
+                prose[id(up)] = prose.get(id(up), 0) + len(text) - linked
+                up = up.parent
+        total = prose.get(id(self.root), 0)
+        gone = {id(x) for x in self.doubts if prose.get(id(x), 0) <= total * (0.5 if x.doubt == 2 else 0.9)}
+        kept = []
+        for k, node in enumerate(self.owner):
+            up = node
+            while up and id(up) not in gone:
+                up = up.parent
+            if not up:
+                kept.append(k)
+        for x in self.doubts:
+            if id(x) in gone:
+                x.out = True
+                x.parent.children.remove(x)
+        again = {k: i for i, k in enumerate(kept)}
+        for node in {id(x): x for x in self.owner}.values():
+            node.blocks = [again[b] for b in node.blocks if b in again]
+        self.texts, self.owner, self.linked = ([x[k] for k in kept] for x in (self.texts, self.owner, self.linked))
 
     def text(self, raw: str) -> None:
+        if self.at.tag == "head" and raw.strip():
+            self.at = self.at.parent
         if not self.at.out:
             text = html.unescape(raw) if "&" in raw else raw
             self.parts.append(text)
@@ -116,6 +153,8 @@ class _Page:
         self.in_links = 0
 
     def open(self, tag: str, attributes: str) -> None:
+        if self.at.tag == "head" and tag not in _IN_HEAD:
+            self.at = self.at.parent
         if tag in _INLINE:
             if tag == "br":
                 self.parts.append(" ") if not self.at.out else None
@@ -144,8 +183,12 @@ class _Page:
                     up = up.parent
                 if up.tag in same:
                     node = up.parent
-        out = node.out or _leaves_out(tag, attributes, bool(self.articles))
+        why = 1 if node.out else _leaves_out(tag, attributes, bool(self.articles))
+        out = why == 1
         self.at = _Node(tag, node, out)
+        if why > 1:
+            self.at.doubt = why
+            self.doubts.append(self.at)
         if tag in ("article", "main"):
             self.articles += 1
         if not out:

@@ -264,6 +264,20 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_text_keeps_the_article():
+    prose = "\n".join(f"Paragraph {i} of the article, which is long enough, and has commas, to be prose." for i in range(8))
+    inside = "".join(f"<p>{line}</p>" for line in prose.split("\n"))
+    side = "<div class='sidebar'><p>Beside it, a shorter text, with commas, of no use.</p></div>"
+    for name in ("container has-sidebar", "layout no-sidebar", "content-with-comments", "entry post-header", "single comments-open", "widget"):
+        assert html_text.main_text(f"<html><body><div class='{name}'>{inside}{side}</div></body></html>") == prose, name
+    assert html_text.main_text(f"<html><body><form action=/><div>{inside}</div>{side}</form></body></html>") == prose
+    for head in ("<head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title>", "<head><link rel=x href=y>\n"):
+        assert html_text.main_text(f"<html>{head}<div>{inside}</div>{side}") == prose, head
+    readers = "".join(f"<p>Reader {i} says this, and that, and more, and then some, at length.</p>" for i in range(30))
+    for name in ("comments", "comment-list"):
+        assert html_text.main_text(f"<body><div>{inside}</div><div id='{name}'>{readers}</div></body>") == prose
+
+
 # ------------------------------------------------------------------ mixing
 def test_targets():
     got = mixing.targets([("b", 100), ("a", 100), (None, 100), ("c", 1000)])
