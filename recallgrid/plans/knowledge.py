@@ -19,12 +19,21 @@ PARTS_SQL = """lines AS (SELECT DISTINCT l_orderkey AS session, l_partkey AS ent
 
 
 def lines(spark, d) -> DataFrame:
-    return raw(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("entity")).distinct()
+    return _lines(raw(spark, d, "lineitem"))
 
 
-def edges(spark, d) -> DataFrame:
+def returned(spark, d) -> DataFrame:
+    """The lines that PARTS_SQL has."""
+    return _lines(raw(spark, d, "lineitem").where("l_returnflag = 'R'"))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("entity")).distinct()
+
+
+def edges(spark, d, of=lines) -> DataFrame:
     """Pairs of parts that stand in one order; an order has seven lines at most, so its pairs are few."""
-    x = lines(spark, d)
+    x = of(spark, d)
     pairs = x.toDF("session", "a").join(x.toDF("session", "b"), "session").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
 
@@ -35,6 +44,12 @@ def vertices(spark, d) -> DataFrame:
 
 @query("part_graph", f"WITH {PARTS_SQL} SELECT a, b, weight FROM edges")
 def part_graph(spark, d):
+    """Of returned lines only, as its SQL; part_graph_whole has all. Likewise session_jaccard and adamic_adar."""
+    return edges(spark, d, returned)
+
+
+@query("part_graph_whole")
+def part_graph_whole(spark, d):
     return edges(spark, d)
 
 
@@ -45,15 +60,25 @@ def entity_graph(spark, d):
 
 @query("session_jaccard", f"""WITH {PARTS_SQL}, c AS (SELECT entity, COUNT(*) AS n FROM lines GROUP BY 1)
   SELECT a, b, ROUND(weight / (x.n + y.n - weight), 6) AS overlap FROM edges JOIN c x ON a = x.entity JOIN c y ON b = y.entity""")
-def session_jaccard(spark, d):
-    return graph.session_jaccard(edges(spark, d), lines(spark, d).select("entity", "session")).select("a", "b", F.round("overlap", 6).alias("overlap"))
+def session_jaccard(spark, d, of=returned):
+    return graph.session_jaccard(edges(spark, d, of), of(spark, d).select("entity", "session")).select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+@query("session_jaccard_whole")
+def session_jaccard_whole(spark, d):
+    return session_jaccard(spark, d, lines)
 
 
 @query("adamic_adar", f"""WITH {PARTS_SQL}, arcs AS (SELECT a AS src, b AS dst FROM edges UNION ALL SELECT b AS src, a AS dst FROM edges), deg AS (SELECT src, COUNT(*) AS n FROM arcs GROUP BY 1),
   s AS (SELECT e.a, e.b, SUM(1 / ln(g.n)) AS v FROM edges e JOIN arcs x ON e.a = x.src JOIN arcs y ON e.b = y.src AND x.dst = y.dst JOIN deg g ON g.src = x.dst WHERE g.n > 1 GROUP BY 1, 2)
   SELECT e.a, e.b, ROUND(COALESCE(s.v, 0.0), 6) AS adamic_adar FROM edges e LEFT JOIN s ON e.a = s.a AND e.b = s.b""")
-def adamic_adar(spark, d):
-    return graph.adamic_adar(edges(spark, d)).select("a", "b", F.round("adamic_adar", 6).alias("adamic_adar"))
+def adamic_adar(spark, d, of=returned):
+    return graph.adamic_adar(edges(spark, d, of)).select("a", "b", F.round("adamic_adar", 6).alias("adamic_adar"))
+
+
+@query("adamic_adar_whole")
+def adamic_adar_whole(spark, d):
+    return adamic_adar(spark, d, lines)
 
 
 # Affinity of two entities of the same type; of different types it is 0.3.

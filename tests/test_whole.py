@@ -1,5 +1,9 @@
 """Queries over whole tables against brute force."""
 
+import math
+from collections import Counter, defaultdict
+from itertools import combinations
+
 import numpy as np
 
 from recallgrid.operators import fusion
@@ -27,3 +31,23 @@ def test_dense_topk_beyond_a_block(spark):
     v = spark.createDataFrame([(i, [float(np.cos(i / 500)), float(np.sin(i / 500))]) for i in range(1100)], "id long, vec array<double>")
     got = fusion.dense_topk(v, v, 1).collect()
     assert sorted(r.query_id for r in got) == list(range(1100)) and all(abs(r.id - r.query_id) == 1 for r in got)
+
+
+def test_part_graph_whole(spark, db, data):
+    held, seen = defaultdict(set), defaultdict(set)
+    for order, part in db.execute("SELECT l_orderkey, l_partkey FROM lineitem").fetchall():
+        held[order].add(part)
+        seen[part].add(order)
+    weight = Counter(p for parts in held.values() for p in combinations(sorted(parts), 2))
+    run = lambda name: registry.QUERIES[name](spark, data).collect()
+    assert {(r.a, r.b): r.weight for r in run("part_graph_whole")} == weight
+    near = defaultdict(set)
+    for a, b in weight:
+        near[a].add(b)
+        near[b].add(a)
+    overlap = {(r.a, r.b): r.overlap for r in run("session_jaccard_whole")}
+    assert overlap.keys() == weight.keys() and all(abs(v - weight[p] / len(seen[p[0]] | seen[p[1]])) < 2e-6 for p, v in overlap.items())
+    shared = {(r.a, r.b): r.adamic_adar for r in run("adamic_adar_whole")}
+    assert shared.keys() == weight.keys()
+    assert all(abs(v - sum(1 / math.log(len(near[z])) for z in near[a] & near[b])) < 2e-6 for (a, b), v in shared.items())
+    assert {r.id for r in run("connected_components")} == {r.id for r in run("pagerank")} == set(seen)
