@@ -104,9 +104,9 @@ def communities(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0,
     return now.join(named, "community").select("id", F.col("name").alias("community"))
 
 
-def traverse(triples: DataFrame, start: int, depth: int = 2, limit: int = 500) -> DataFrame:
+def traverse(triples: DataFrame, start: int, depth: int = 2, limit: int | None = 500) -> DataFrame:
     """(id, subject, predicate, object, depth): facts within `depth` steps of an entity, each with its least
-    depth; the first `limit` by id. A fact is met again only at a greater depth, so paths can't cycle."""
+    depth; the first `limit` by id, or all if there is none. A fact is met again only at a greater depth, so paths can't cycle."""
     facts = triples.select("id", "subject", "predicate", "object")
     found = facts.where((F.col("subject") == start) | (F.col("object") == start)).withColumn("depth", F.lit(1))
     seen = found
@@ -114,7 +114,7 @@ def traverse(triples: DataFrame, start: int, depth: int = 2, limit: int = 500) -
         ends = seen.where(F.col("depth") == step - 1).select(F.explode(F.array("subject", "object")).alias("entity")).distinct()
         more = facts.join(ends, facts["subject"] == ends["entity"], "left_semi").union(facts.join(ends, facts["object"] == ends["entity"], "left_semi")).distinct()
         seen = saved(seen.union(more.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(step))))
-    return seen.orderBy("id").limit(limit)
+    return seen if limit is None else seen.orderBy("id").limit(limit)
 
 
 def adamic_adar(edges: DataFrame) -> DataFrame:

@@ -153,6 +153,12 @@ def traverse(spark, d):
     return graph.traverse(facts, 3, 2, 100_000).select("id", "depth")
 
 
+@query("traverse_whole")
+def traverse_whole(spark, d):
+    """Over all facts; traverse has those of its SQL."""
+    return graph.traverse(triples(spark, d), 3, 2, None).select("id", "depth")
+
+
 @query("superseded_chain")
 def superseded_chain(spark, d):
     order = Window.partitionBy("session").orderBy("id")
@@ -244,7 +250,16 @@ def health_summary(spark, d):
   SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.label = b.label AND a.id < b.id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.4""")
 def similar_blocks(spark, d):
     """The 200 first blocks, as the check is defined, pair by pair within a label."""
-    v = vectors(spark, d).where("id < 200")
+    return _similar(vectors(spark, d).where("id < 200"))
+
+
+@query("similar_blocks_whole")
+def similar_blocks_whole(spark, d):
+    """All blocks, pair by pair within a label; similar_blocks has the 200 of its SQL."""
+    return _similar(vectors(spark, d))
+
+
+def _similar(v: DataFrame) -> DataFrame:
     return v.toDF("a", "va", "label").join(v.toDF("b", "vb", "label"), "label").where(F.col("a") < F.col("b")).where(scores.cosine(F.col("va"), F.col("vb")) >= 0.4).select("a", "b")
 
 

@@ -198,7 +198,17 @@ def top_entities(spark, d):
   FROM (SELECT entity_id, MAX(ts) AS last FROM journal WHERE session < 40 GROUP BY 1) x""",
 )
 def attention_buckets(spark, d):
-    last = journal(spark, d).where("session < 40").groupBy("entity_id").agg(F.max("ts").alias("last"))
+    return _attention(journal(spark, d).where("session < 40"))
+
+
+@query("attention_buckets_whole")
+def attention_buckets_whole(spark, d):
+    """Of all sessions; attention_buckets has those of its SQL."""
+    return _attention(journal(spark, d))
+
+
+def _attention(rows):
+    last = rows.groupBy("entity_id").agg(F.max("ts").alias("last"))
     since = lambda t: F.col("last") >= F.expr(f"timestamp_ntz'{t}'")
     return last.select("entity_id", F.when(since("2024-01-25 00:00:00"), "active").when(since("2024-01-02 00:00:00"), "historical").otherwise("fading").alias("attention"))
 

@@ -2,13 +2,14 @@
 
 import math
 from collections import Counter, defaultdict
+from datetime import datetime
 from itertools import combinations
 
 import numpy as np
 
 from recallgrid.operators import fusion
-from recallgrid.plans import registry
-from recallgrid.sources.tables import vectors
+from recallgrid.plans import knowledge, registry
+from recallgrid.sources.tables import JOURNAL_SQL, TRIPLES_SQL, vectors
 
 
 def unit(spark, data):
@@ -51,3 +52,31 @@ def test_part_graph_whole(spark, db, data):
     assert shared.keys() == weight.keys()
     assert all(abs(v - sum(1 / math.log(len(near[z])) for z in near[a] & near[b])) < 2e-6 for (a, b), v in shared.items())
     assert {r.id for r in run("connected_components")} == {r.id for r in run("pagerank")} == set(seen)
+
+
+def test_similar_blocks_whole(spark, data):
+    ids, label, x = unit(spark, data)
+    like = x @ x.T
+    want = {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in zip(*np.nonzero(like >= 0.4), strict=True) if i != j and label[i] == label[j]}
+    close = {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in zip(*np.nonzero(abs(like - 0.4) < 1e-9), strict=True)}
+    got = {(r.a, r.b) for r in registry.QUERIES["similar_blocks_whole"](spark, data).collect()}
+    assert got ^ want <= close
+    # the given table may have no more than 200 blocks
+    more = spark.createDataFrame([(i, [1.0, float(i % 2)], 1) for i in range(300)], "id long, vec array<double>, label int")
+    assert knowledge._similar(more).where("b >= 200").count() == sum(range(200, 300))
+
+
+def test_traverse_whole(spark, db, data):
+    facts = db.execute(f"WITH {TRIPLES_SQL} SELECT id, subject, object FROM triples").fetchall()
+    one = {i for i, s, o in facts if 3 in (s, o)}
+    ends = {e for i, s, o in facts if i in one for e in (s, o)}
+    want = {i: 1 if i in one else 2 for i, s, o in facts if i in one or s in ends or o in ends}
+    assert {r.id: r.depth for r in registry.QUERIES["traverse_whole"](spark, data).collect()} == want
+
+
+def test_attention_buckets_whole(spark, db, data):
+    want = {}
+    for e, ts in db.execute(f"WITH {JOURNAL_SQL} SELECT entity_id, ts FROM journal").fetchall():
+        want[e] = max(want.get(e, ts), ts)
+    name = lambda t: "active" if t >= datetime(2024, 1, 25) else "historical" if t >= datetime(2024, 1, 2) else "fading"
+    assert {r.entity_id: r.attention for r in registry.QUERIES["attention_buckets_whole"](spark, data).collect()} == {e: name(t) for e, t in want.items()}
