@@ -271,6 +271,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
+def _streamed(own: Codec, ids: list[int] | None) -> Iterator[str]:
+    """The text of the ids, decoded in chunks."""
+    stream = StreamDecoder(own)
+    for i in range(0, len(ids or ()), 4096):
+        yield stream.feed(ids[i : i + 4096])
+    yield stream.finish()
+
+
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """(id, text) of (id, ids), decoded in chunks."""
 
@@ -278,10 +286,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -
         common.claim("bpe", _codecs.clear)
         own = codec(path, pattern)
         for batch in batches:
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                stream = StreamDecoder(own)
-                texts.append("".join([*(stream.feed(ids[i : i + 4096]) for i in range(0, len(ids or ()), 4096)), stream.finish()]))
+            texts = ["".join(_streamed(own, ids)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
@@ -290,7 +295,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text and decodes the ids again, keeping counts and digests of both: (id,
-    n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the decoded bytes)."""
+    n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the text, decoded in chunks, as UTF-8)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.claim("bpe", _codecs.clear)
@@ -300,7 +305,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             rows = []
             for text in _texts(batch):
                 ids = own.encode(text)
-                rows.append((len(ids), sha(own.spell(ids).encode()), sha(own.decode(ids))))
+                rows.append((len(ids), sha(own.spell(ids).encode()), sha("".join(_streamed(own, ids)).encode())))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -81,6 +81,23 @@ def test_bpe_round_trip(odd, empty):
     assert bpe.round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_round_trip_decodes_in_chunks(odd, monkeypatch):
+    runs, fed = [], []
+    text = "日本語 😀 né " * 3000
+
+    class Watched(bpe.StreamDecoder):
+        def feed(self, ids):
+            fed.append(len(ids))
+            return super().feed(ids)
+
+    monkeypatch.setattr(type(odd), "mapInArrow", lambda df, run, schema: runs.append(run))
+    monkeypatch.setattr(bpe, "StreamDecoder", Watched)
+    bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN)
+    (out,) = runs[0]([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])])
+    assert len(fed) > 1 and sum(fed) == out["n_tokens"][0].as_py()
+    assert out["decoded_sha256"][0].as_py() == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_bpe_few_states():
     own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     was, bpe.STATES = bpe.STATES, 5
