@@ -1,4 +1,4 @@
-"""Retrieval: sparse, dense and hybrid search, the staged scoring pipeline, routing and verdicts."""
+"""Retrieval: sparse and dense search, rank fusion, the staged scoring pipeline, routing and verdicts."""
 
 from __future__ import annotations
 
