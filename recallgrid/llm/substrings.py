@@ -1,4 +1,4 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup with sets of windows, partitioned by minimisers.
 
 A window is `window` consecutive words of one document; a word goes if a window that covers it has an equal
 one that starts earlier (smaller id, or same document and earlier start). Equal windows share the positions
@@ -11,9 +11,12 @@ belongs to its minimiser, and the suffixes of the corpus are split by it:
    memory; the prefix of a group that wouldn't (more than `group_rows` stretches) is made longer, up to the
    whole window, so that its windows spread over groups of their own, and each task sends only the first
    of its equal windows there.
-3. In a group the suffixes are put in a tree, cut at depth `window`: a node of that depth with more than
-   one suffix below is a repeat, its least (id, start) the occurrence to keep. Whole words are compared,
-   not hashes.
+3. In a group the windows are put in a set, in the order of their occurrence: one that is in it already is
+   a repeat, and the least (id, start) is kept. Whole words are compared, but the windows of prefixes that
+   were made longer are first compared within their task by digests of 128 bits.
+
+There are no suffix trees: of one cut at depth `window` only the nodes of that depth would be asked for, and
+these are the members of the set.
 
 Null texts have no words; texts of fewer than `window` words lose nothing. Rows with equal ids are ordered
 by the hash of their text and then by the text; an exact repetition of a row counts as later than the row,
@@ -186,9 +189,8 @@ def _stretches(texts: DataFrame, window: int, prefix: int) -> DataFrame:
 
 
 def _ranges(stretches: DataFrame, window: int) -> DataFrame:
-    """(row, h, a, b): runs of words covered by repeats, from each group's tree. The tree is path-compressed
-    and cut at depth `window`, so the label of a node there is a whole window; suffixes come in the
-    order of their occurrence, and each but a node's first is a repeat."""
+    """(row, h, a, b): runs of words covered by repeats, from each group's set of whole windows; these come in the
+    order of their occurrence, and each but the first of equal ones is a repeat."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, tree = None, set()
