@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from recallgrid.llm import common
 
 #: States kept (others are worked out anew each time), and pieces remembered in each of two generations.
-STATES, PIECES, PIECE_CHARS = 90_000, 150_000, 48
+STATES, PIECES, PIECE_CHARS = 90_000, 400_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,10 +38,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+_BYTE = [bytes((i,)) for i in range(256)]
+
+
 class _State(dict):
     """byte -> (next state, emitted ids), filled in as bytes are met."""
 
-    __slots__ = ("end", "kept", "last", "live", "machine", "open")
+    __slots__ = ("ends", "kept", "machine", "nodes", "open")
 
     def __missing__(self, byte: int):
         found = self.machine.step(self, byte)
@@ -49,13 +52,25 @@ class _State(dict):
             self[byte] = found
         return found
 
+    @property
+    def end(self) -> tuple[int, ...]:
+        """What is emitted if the piece ends here."""
+        if self.ends is None:
+            token, length, out, at = {i: t for i, t, _ in self.nodes}, self.machine.length, [], len(self.open)
+            while at > 0:
+                out.append(token[at])
+                at -= length[token[at]]
+            self.ends = tuple(reversed(out))
+        return self.ends
+
 
 class Transducer:
     """Lazily determinised transducer from the bytes of a piece to its ids."""
 
     def __init__(self, ranks: dict[bytes, int], limit: int | None = None) -> None:
-        self.ranks, self.limit = ranks, limit
+        self.ranks, self.limit = ranks, limit or STATES
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.starts = {token[:n] for token in ranks for n in range(len(token))}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.grown: dict[int, tuple | None] = {}
@@ -64,7 +79,7 @@ class Transducer:
     def reset(self) -> None:
         self.states: dict[tuple, _State] = {}
         self.misses = 0
-        self.start = self.state(b"", (), ((0, -1),))
+        self.start = self.state(b"", ((0, -1, True),))
 
     def merge(self, piece: bytes, edges: list | None = None) -> list[int]:
         """The encoding by its definition: the lowest-ranked pair is merged, the leftmost first. edges:
@@ -96,8 +111,11 @@ class Transducer:
         none) than the next merge at either edge; of equal ranks the left one goes first."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 4 * (self.limit or STATES):
+            if len(self.pairs) > 4 * self.limit:
                 self.pairs.clear()
+            if not self.growth(b) or a < 0:
+                self.pairs[a, b] = found = bool(self.growth(b))
+                return found
             left, right = self.growth(a)[1], self.growth(b)[0]
             i = j = 0
             found, size, never = True, self.tokens, 1 << 60
@@ -117,59 +135,103 @@ class Transducer:
             self.pairs[a, b] = found
         return found
 
-    def state(self, pending: bytes, last: tuple[int, ...], live: tuple[tuple[int, int], ...]) -> _State:
-        """The state with these bytes not emitted yet; last: by prefix of them, the last token of its
-        encoding; live: (length, last token; -1: none) of the prefixes that a token may start after."""
-        found = self.states.get((pending, last, live))
+    def state(self, pending: bytes, nodes: tuple[tuple[int, int, bool], ...]) -> _State:
+        """The state with these bytes not emitted yet. nodes: ascending, the prefixes of them that matter still:
+        (length, last token of the prefix's encoding (-1: none), whether a token may start after it)."""
+        found = self.states.get((pending, nodes))
         if found is None:
             found = _State()
-            found.kept = len(self.states) < (self.limit or STATES)
+            found.kept = len(self.states) < self.limit
             if found.kept:
-                self.states[pending, last, live] = found
+                self.states[pending, nodes] = found
             else:
                 self.misses += 1
-            found.machine, found.open, found.last, found.live = self, pending, last, live
-            out, at = [], len(pending)
-            while at > 0:
-                out.append(last[at - 1])
-                at -= len(self.tokens[last[at - 1]])
-            found.end = tuple(reversed(out))
+            found.machine, found.open, found.nodes, found.ends = self, pending, nodes, None
         return found
 
     def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        text, ranks, starts = state.open + bytes((byte,)), self.ranks, self.starts
-        for at, left in state.live:
-            token = ranks.get(text[at:])
-            if token is not None and self.growth(token) and (left < 0 or self.follows(left, token)):
-                break
-        last = (*state.last, token)
-        live = [x for x in state.live if text[x[0] :] in starts]
-        live.append((len(text), token))
+        text, ranks, starts, pairs = state.open + _BYTE[byte], self.ranks, self.starts, self.pairs
+        here, nodes = len(text), state.nodes
+        last, live, found = {}, [], None
+        for at, left, alive in nodes:
+            last[at] = left
+            if alive:
+                tail = text[at:]
+                if found is None:
+                    token = ranks.get(tail)
+                    if token is not None:
+                        fit = pairs.get((left, token))
+                        if fit is None:
+                            fit = self.follows(left, token)
+                        if fit:
+                            found = token
+                if tail in starts:
+                    live.append(at)
+        last[here] = found
         # the longest prefix that the encodings of all live prefixes go through is settled
-        size = self.tokens
-        paths, kept = {x[0] for x in live}, []
-        while len(paths) > 1:
-            top = max(paths)
-            kept.append(top)
-            paths.remove(top)
-            paths.add(top - len(size[last[top - 1]]))
-        cut = at = paths.pop()
-        out = []
+        length = self.length
+        if not live:
+            cut, kept = here, ()
+        else:
+            paths, kept, top = set(live), [], here
+            while paths:
+                kept.append(top)
+                paths.add(top - length[last[top]])
+                top = max(paths)
+                paths.remove(top)
+            cut = top
+        out, at = [], cut
         while at > 0:
-            out.append(last[at - 1])
-            at -= len(size[last[at - 1]])
+            out.append(last[at])
+            at -= length[last[at]]
+        out.reverse()
+        live.append(here)
         # prefixes that no live one goes through don't matter any more
-        last = tuple([t if i in kept else 0 for i, t in enumerate(last[cut:], cut + 1)])
-        return self.state(text[cut:], last, tuple([(i - cut, t) for i, t in live])), tuple(reversed(out))
+        new = [(0, last[cut], True)] if cut in live else []
+        new += [(i - cut, last[i], i in live) for i in reversed(kept)]
+        return self.state(text[cut:], tuple(new)), tuple(out)
+
+    def simulate(self, state: _State, rest: bytes) -> list[int]:
+        """What follows in a state on the rest of a piece, without new states."""
+        text, at = state.open + rest, len(state.open)
+        ranks, starts, pairs, length = self.ranks, self.starts, self.pairs, self.length
+        last = {i: t for i, t, _ in state.nodes}
+        live = [i for i, _, alive in state.nodes if alive]
+        for here in range(at + 1, len(text) + 1):
+            still, found = [], None
+            for i in live:
+                tail = text[i:here]
+                if found is None:
+                    token = ranks.get(tail)
+                    if token is not None:
+                        fit = pairs.get((last[i], token))
+                        if fit is None:
+                            fit = self.follows(last[i], token)
+                        if fit:
+                            found = token
+                if tail in starts:
+                    still.append(i)
+            last[here] = found
+            still.append(here)
+            live = still
+        out, at = [], len(text)
+        while at > 0:
+            out.append(last[at])
+            at -= length[last[at]]
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if self.misses > 100 * STATES:  # the texts have changed since the table filled up
+        if self.misses > 100 * self.limit:  # the texts have changed since the table filled up
             self.reset()
-        state, out = self.start, []
-        for byte in piece:
+        state, out, full = self.start, [], len(self.states) >= self.limit
+        for i, byte in enumerate(piece):
+            if full and byte not in state:
+                self.misses += 1
+                return (*out, *self.simulate(state, piece[i:]))
             state, more = state[byte]
             if more:
                 out += more
@@ -195,25 +257,57 @@ class _Memo(dict):
         return found
 
 
-class StreamDecoder:
-    """Ids in, text out, in chunks of any size: a sequence cut between chunks waits for its last byte."""
+def utf8_machine() -> list[list[int]]:
+    """next state by state and byte of the machine that reads UTF-8: 0 stands between characters; 1, 2 and 3 wait for so
+    many further bytes; 4 to 7 stand after E0, ED, F0 and F4, which not every byte may follow; -1: not UTF-8."""
+    start = [0] * 0x80 + [-1] * 0x42 + [1] * 0x1E + [2] * 0x10 + [3] * 0x05 + [-1] * 0x0B
+    start[0xE0], start[0xED], start[0xF0], start[0xF4] = 4, 5, 6, 7
+    rows = [start]
+    for low, high, then in ((0x80, 0xBF, 0), (0x80, 0xBF, 1), (0x80, 0xBF, 2), (0xA0, 0xBF, 1), (0x80, 0x9F, 1), (0x90, 0xBF, 2), (0x80, 0x8F, 2)):
+        rows.append([then if low <= byte <= high else -1 for byte in range(256)])
+    return rows
+
+
+_UTF8 = utf8_machine()
+
 
-    #: Bytes that a UTF-8 sequence has by its first byte; 0: not a first byte.
-    LENGTH = bytes([1] * 0x80 + [0] * 0x42 + [2] * 0x1E + [3] * 0x10 + [4] * 0x05 + [0] * 0x0B)
+def pending(held: bytes, more: bytes) -> bytes:
+    """The bytes of a character begun but not complete after `held` (likewise) and `more`. A byte that no character
+    goes on with ends the one begun, and is read again as a first byte."""
+    data, state, since = held + more, 0, 0
+    for at, byte in enumerate(data):
+        was, state = state, _UTF8[state][byte]
+        if state < 0:
+            state = max(0, _UTF8[0][byte]) if was else 0
+            since = at
+        if state == 0:
+            since = at + 1
+        elif was == 0:
+            since = at
+    return data[since:]
+
+
+class StreamDecoder:
+    """Ids in, text out, in chunks of any size. The UTF-8 machine runs token by token: what a token does to a
+    character begun before it is worked out byte by byte once and kept; a character cut between chunks waits
+    for its last byte. What isn't UTF-8 becomes U+FFFD."""
 
     def __init__(self, codec: Codec) -> None:
         self.codec, self.held = codec, b""
 
     def feed(self, ids: Iterable[int]) -> str:
-        data = self.held + self.codec.decode(ids)
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            size = self.LENGTH[data[-back]]
-            if size:
-                cut -= back if size > back else 0
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        own, held, ids = self.codec, self.held, list(ids)
+        if held or not own.partial.isdisjoint(ids):
+            partial, moves = own.partial, own.moves
+            for i in ids:
+                if held or i in partial:
+                    after = moves.get((held, i))
+                    if after is None:
+                        after = moves[held, i] = pending(held, own.bytes[i])
+                    held = after
+        data = self.held + own.decode(ids)
+        self.held = held
+        return data[: len(data) - len(held)].decode("utf-8", "replace")
 
     def finish(self) -> str:
         held, self.held = self.held, b""
@@ -230,6 +324,9 @@ class Codec:
         top = max(self.transducer.tokens) + 1
         self.bytes = [self.transducer.tokens.get(i, b"") for i in range(top)]
         self.names = [str(i) for i in range(top)]
+        #: Tokens that don't end with a whole character when they begin with one; moves of the UTF-8 machine by them.
+        self.partial = frozenset(i for i, t in enumerate(self.bytes) if not t.isascii() and pending(b"", t))
+        self.moves: dict[tuple[bytes, int], bytes] = {}
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))

@@ -118,7 +118,7 @@ def test_token_files(odd, empty, tmp_path):
     assert token_files.written_digests(empty, WORDS).count() == 0
     out = token_files.Writer(f"file://{tmp_path}", "x.arrow", np.dtype("<u2"), 4, 2)
     for k in range(7):
-        out.add(np.arange(k, k + 3, dtype="<u2").tobytes())
+        out.add(np.arange(k, k + 3, dtype="<u2"))
     out.close()
     reader = token_files.Reader(f"file://{tmp_path}", "x.arrow")
     assert np.concatenate(list(reader.span(5, 12))).tolist() == [x for k in range(7) for x in range(k, k + 3)][5:17]
@@ -195,12 +195,37 @@ def test_rotation_estimates_are_unbiased():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((4000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = x + 0.1 * rng.standard_normal(x.shape)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    _, points, factors = rotation_codes.codes(x)
-    guess, bound = rotation_codes.estimates(points, factors, rotation_codes.codes(y)[0])
-    true = (x * y).sum(1)
-    assert abs((guess - true).mean()) < 0.005 and (np.abs(guess - true) <= bound).all()
+    for spread, threshold in ((0.02, 0.98), (0.1, 0.7)):
+        y = x + spread * rng.standard_normal(x.shape)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        true = (x * y).sum(1)
+        codes, factors = rotation_codes.encode(np.concatenate((x, y)))
+        stand, noise = rotation_codes.decode(codes, factors, 64)
+        i = np.arange(4000)
+        guess, error = rotation_codes.estimates(stand, noise, i, i + 4000, threshold)
+        assert abs((guess - true).mean()) < 0.005 and (np.abs(guess - true) <= error)[true >= threshold].all()
+        differ = np.bitwise_count(codes[:4000] ^ codes[4000:]).sum(1)
+        assert (differ <= rotation_codes.most_apart(128, threshold))[true >= threshold].all()
+
+
+def test_rotation_codes_recall_on_given_vectors(spark):
+    """The 64-d table with copies moved to a cosine of 0.975 to 0.999, under keys of 15 bits or more, as eight million vectors have."""
+    given_rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in given_rows], float)
+    rng = np.random.default_rng(8)
+    aside = rng.standard_normal((4, *x.shape))
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    aside -= (aside * x).sum(2, keepdims=True) * x / size**2
+    aside *= size / np.linalg.norm(aside, axis=2, keepdims=True)
+    close = rng.uniform(0.975, 0.999, (4, len(x), 1))
+    every = np.concatenate((x, *(close * x + np.sqrt(1 - close**2) * aside)))
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    like, label = unit @ unit.T, np.tile([r.label for r in given_rows], 5)
+    want = int(((like >= 0.98) & (label[:, None] == label)).sum() - len(every))
+    rows = spark.createDataFrame([(i, int(k), v.tolist(), 1) for i, (k, v) in enumerate(zip(label, every, strict=True))], "node long, label int, vec array<double>, weight long")
+    assert rotation_codes.plan(1 << 23, 0.98, 0.995)[0] >= 15
+    found = rotation_codes.links(rows, vectors=1 << 23).where("node is not null").agg(F.sum("n")).first()[0]
+    assert 0.98 * want <= found <= want
 
 
 # ------------------------------------------------------------------ repeats
