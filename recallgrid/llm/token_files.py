@@ -16,12 +16,14 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,83 +38,98 @@ LENGTH, PER_BATCH = 2048, 64
 WORDS, WORD_BYTES = 700_000, 48
 
 
-class _Words(dict):
+#: A run of letters whose case folds one to one, and ASCII marks after it but for the apostrophe, which may belong to a word.
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)").fullmatch
+
+
+class _Words:
     """Ids, as bytes, of the runs between ASCII blanks that were met lately."""
 
     def __init__(self, own, kind: np.dtype, suffix: str) -> None:
         from tokenizers import normalizers, pre_tokenizers
 
-        super().__init__()
-        self.own, self.kind, self.old = own, kind, {}
+        self.own, self.kind = own, kind
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.plain = type(own).from_str(own.to_str())
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(own.get_vocab_size(), bool)
         self.ends[[i for token, i in own.get_vocab().items() if token.endswith(suffix)]] = True
 
-    def _encode(self, runs: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(run, ids). Runs of small letters are words already: many of them are encoded as one text, whose ids
+    def _plain(self, words: list[str]) -> None:
+        """Learns runs of small letters, which are words already: many of them are encoded as one text, whose ids
         are cut after each token that ends a word."""
-        words, rest = [], []
-        for r in runs:
-            text = r.decode()
-            (words if text.isalpha() and max(text) < "\u0130" and text == text.lower() else rest).append(text)
-        out = [(t.encode(), np.array(e.ids, self.kind).tobytes()) for t, e in zip(rest, self.own.encode_batch_fast(rest, add_special_tokens=False), strict=True)]
-        size = self.kind.itemsize
-        for a in range(0, len(words), 512):
-            some = words[a : a + 512]
+        size, known = self.kind.itemsize, self.known
+        for a in range(0, len(words), 1024):
+            some = words[a : a + 1024]
             ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             data, at = ids.tobytes(), 0
             for word, end in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist(), strict=True):
-                out.append((word.encode(), data[at:end]))
+                known[word.encode()] = data[at:end]
                 at = end
-        return out
-
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """The word as two runs that are encoded apart: full stops and commas after a letter are split from
-        it, and case is folded; both leave the ids as they are and make for fewer different runs."""
-        core = word.rstrip(b".,")
-        tail = word[len(core) :]
-        text = core.decode()
-        if tail and not (text and text[-1].isalpha() and text[-1] < "\u0130"):
-            core, tail, text = word, b"", word.decode()
-        if text and max(text) < "\u0130":
-            core = text.lower().encode()
-        return core, tail
-
-    def _learn(self, new: set[bytes]) -> None:
-        old = self.old
-        kept = {w: old[w] for w in new if w in old}
-        self.update(kept)
-        parts = {w: self._parts(w) for w in new if w not in kept}
-        runs = {r for pair in parts.values() for r in pair}.difference(self.keys(), (b"",))
-        kept = {r: old[r] for r in runs if r in old}
-        self.update(kept)
-        fresh = [r for r in runs if r not in kept]
-        self.update(self._encode(fresh))
-        self[b""] = b""
-        self.update({w: self[core] + self[tail] for w, (core, tail) in parts.items()})
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        flat = [w for row in split for w in row]
-        ids = list(map(self.get, flat))
-        missed = [i for i, x in enumerate(ids) if x is None]
-        if missed:
-            self._learn({flat[i] for i in missed})
-            for i in missed:
-                ids[i] = self[flat[i]]
-            for i in missed:
-                if len(flat[i]) > WORD_BYTES:
-                    self.pop(flat[i], None)
-        if len(self) > WORDS:
-            self.old = dict(self)
-            self.clear()
-        out, at = [], 0
-        for row in split:
-            out.append(b"".join(ids[at : at + len(row)]))
-            at += len(row)
-        return out
+
+    def _rest(self, runs: list[str]) -> None:
+        for run, e in zip(runs, self.own.encode_batch_fast(runs, add_special_tokens=False), strict=True):
+            self.known[run.encode()] = np.array(e.ids, self.kind).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Marks after letters are encoded apart from them, and case is folded before; both leave the ids as they are
+        and make for fewer different runs."""
+        known, old = self.known, self.old
+        kept = list(map(old.get, new))
+        known.update((w, ids) for w, ids in zip(new, kept, strict=True) if ids is not None)
+        fresh = [w for w, ids in zip(new, kept, strict=True) if ids is None]
+        known[b""] = b""
+        if not fresh:
+            return
+        parts, rest, texts = [], set(), b" ".join(fresh).decode()
+        texts, folded = texts.split(" "), texts.lower().split(" ")
+        for w, text, low, m in zip(fresh, texts, folded, map(_LETTERS, texts), strict=True):
+            if m is None:
+                rest.add(text)
+                continue
+            tail = m[2]
+            if tail:
+                parts.append((w, low[: -len(tail)].encode(), tail.encode()))
+                rest.add(tail)
+            elif low == text:
+                parts.append((w, w, b""))
+            else:
+                parts.append((w, low.encode(), b""))
+        self._plain([r.decode() for r in {core for _, core, _ in parts} if r not in known])
+        self._rest([r for r in rest if r.encode() not in known])
+        for w, core, tail in parts:
+            known[w] = known[core] + known[tail]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each). Arrow finds the runs and the different ones among them; only
+        these are looked up."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        runs = coded.dictionary.cast(pa.binary()).to_pylist()
+        ids = list(map(self.known.get, runs))
+        new = [w for w, found in zip(runs, ids, strict=True) if found is None]
+        if new:
+            self._learn(new)
+        known = self.known
+        ids = [known[w] if found is None else found for w, found in zip(runs, ids, strict=True)]
+        for w in new:
+            if len(w) > WORD_BYTES:
+                known.pop(w, None)
+        if len(known) > WORDS:
+            self.old, self.known = known, {}
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        flat, start = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
+        at, out, total = coded.indices.to_numpy(), [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
+        for a in range(0, len(at), 1 << 18):
+            some = at[a : a + (1 << 18)]
+            n = size[some]
+            upto = np.cumsum(n)
+            out.append(flat[np.repeat(start[some] - upto + n, n) + np.arange(upto[-1])])
+            total.append(upto + total[-1][-1])
+        ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        return np.concatenate(out), np.diff(np.concatenate(total)[ends])
 
 
 class _Whole:
@@ -121,8 +138,9 @@ class _Whole:
     def __init__(self, own, kind: np.dtype) -> None:
         self.own, self.kind = own, kind
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.own.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, self.kind) for e in self.own.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, self.kind), *ids]), np.array([len(x) for x in ids], np.int64)
 
 
 def _by_words(own) -> str:
@@ -167,12 +185,12 @@ class Writer:
         self.schema = pa.schema([("ids", pa.list_(pa.field("item", item, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
         self.sink = self.fs.open_output_stream(self.temp)
         self.out = pa.ipc.new_file(self.sink, self.schema)
-        self.held: list[bytes] = []
+        self.held: list[np.ndarray] = []
         self.waiting = self.total = 0
 
-    def add(self, ids: bytes) -> int:
+    def add(self, ids: np.ndarray) -> int:
         """The position at which these ids start in the stream."""
-        at, n = self.total, len(ids) // self.kind.itemsize
+        at, n = self.total, len(ids)
         self.held.append(ids)
         self.total += n
         self.waiting += n
@@ -181,11 +199,11 @@ class Writer:
         return at
 
     def _flush(self, full: int) -> None:
-        ids = np.frombuffer(b"".join(self.held), self.kind)
+        ids = np.concatenate(self.held)
         cut = len(ids) - len(ids) % full
         for a in range(0, cut, full):
             self._batch(ids[a : a + full], full)
-        self.held, self.waiting = [ids[cut:].tobytes()], len(ids) - cut
+        self.held, self.waiting = [ids[cut:]], len(ids) - cut
 
     def _batch(self, ids: np.ndarray, n: int) -> None:
         mask = np.arange(n) < len(ids)
@@ -195,7 +213,7 @@ class Writer:
 
     def close(self) -> None:
         if self.waiting:
-            ids = np.frombuffer(b"".join(self.held), self.kind)
+            ids = np.concatenate(self.held)
             self._batch(ids, -(-len(ids) // self.length) * self.length)
         self.out.close()
         self.sink.close()
@@ -243,20 +261,20 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 1, id_co
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.claim("token_files", _encoders.clear)
         own, kind = encoder(path)
-        end = np.array([] if end_id is None else [end_id], kind).tobytes()
+        end = np.array([] if end_id is None else [end_id], kind)
         part, out = TaskContext.get().partitionId(), None
         for batch in batches:
             if not batch.num_rows:
                 continue
             name = f"part-{part:06d}.arrow"
             out = out or Writer(folder, name, kind)
-            starts, sizes = [], []
-            for a in range(0, batch.num_rows, 256):
-                for ids in own.of(batch.column(1).slice(a, 256).cast(pa.binary()).to_pylist()):
-                    starts.append(out.add(ids + end))
-                    sizes.append(out.total - starts[-1])
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([name] * n), batch.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], ["part", "file", id_col, "start", "n_tokens"])
+            for a in range(0, batch.num_rows, 1024):
+                some = batch.slice(a, 1024)
+                ids, sizes = own.of(some.column(1))
+                if len(end):
+                    ids, sizes = np.insert(ids, np.cumsum(sizes), end[0]), sizes + 1
+                starts, n = out.add(ids) + np.cumsum(sizes) - sizes, len(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array([name] * n), some.column(0), pa.array(starts), pa.array(sizes)], ["part", "file", id_col, "start", "n_tokens"])
         if out:
             out.close()
 
