@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Rows of two numbers that may be broadcast, once counted.
 BROADCAST_ROWS = 20_000
@@ -62,7 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Smaller Arrow batches than Spark's own, for rows that are whole texts: an executor holds a few of them
-    at once, beside its heap."""
+    at once, beside its heap. The setting stays in the session, as plans are made when results are asked for."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -84,6 +85,19 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
         _held.update(name=name, clear=clear)
 
 
+def need_integers(df: DataFrame, column: str) -> None:
+    """Raises a TypeError unless the column holds integers, which operators that order or link rows by id need."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"column {column} must hold integers, not {kind.simpleString()}")
+
+
+def ordered_id(id_col: str, text: Column) -> Column:
+    """The id as a long to order rows by. A row without one gets a number below all others, drawn from its text, so
+    that such rows come first, in the order of that number, and don't share a group."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)) + F.expr("(1L << 59) - 1").bitwiseAND(F.xxhash64(text)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -247,30 +261,48 @@ class Forest:
 
 
 # ---------------------------------------------------------------- groups that are too large
-def with_blocks(rows: DataFrame, key: str, spread: str, cap: int) -> DataFrame:
+#: One row in so many is counted to find the keys of large groups.
+SAMPLE = 16
+
+
+def sampled(node: str) -> Column:
+    """Whether a row is among those that are counted."""
+    return F.pmod(F.xxhash64(F.lit(13), node), F.lit(SAMPLE)) == 0
+
+
+def with_blocks(rows: DataFrame, key: str, spread: str, cap: int, counted: DataFrame | None = None) -> DataFrame:
     """Rows of (key, ...) regrouped so that no group has many more than 2 * cap rows and each pair of
     rows of one key meets in exactly one group: `block` replaces the key, `side` says which half.
     Keys of up to cap rows keep one block; larger ones are cut in c chunks (by hash of `spread`) and a
-    row goes to the c blocks (its chunk, any chunk). Rows of side 0 pair with each other only if
-    `within` is true. Counting the keys is a map-side combined aggregation."""
-    hot = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > cap), "hot-keys")
+    row goes to the c blocks (its chunk, any chunk), and `alone` is false for it. Rows of side 0 pair with each
+    other only if `within` is true. How large keys are is told from the rows that sampled(spread) takes (`counted`, if the caller
+    has a cheaper way to them), by a map-side combined count; it decides how rows are dealt and nothing else."""
+    counted = rows.where(sampled(spread)) if counted is None else counted
+    hot = materialize(counted.groupBy(key).agg((F.count("*") * SAMPLE).alias("_n")).where(F.col("_n") > cap), "hot-keys")
     if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else the rows are shuffled once more
         hot = F.broadcast(hot)
     chunks = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
     rows = rows.join(hot, key, "left").withColumn("_c", F.coalesce(chunks, F.lit(1)))
     rows = rows.withColumn("_a", F.when(F.col("_c") > 1, F.pmod(F.xxhash64(F.lit(7), spread), F.col("_c")).cast("int")).otherwise(0))
-    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    rows = rows.withColumn("alone", F.col("_c") == 1).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
     low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
     rows = rows.withColumn("block", F.when(F.col("_c") > 1, F.xxhash64(key, low, high)).otherwise(F.col(key)))
     return rows.withColumn("within", F.col("_a") == F.col("_b")).withColumn("side", (F.col("_a") > F.col("_b")).cast("int")).drop("_n", "_c", "_a", "_b")
 
 
 # ---------------------------------------------------------------- connected components
+def _least_of(rows: DataFrame, least: DataFrame, cap: int) -> DataFrame:
+    """Rows (u, v) with the m of their u; least has (u, m, n: rows of u). The few u of more than cap rows, at most
+    BROADCAST_ROWS of them as the caller chooses cap, are broadcast, so no task gets all neighbours of a hub."""
+    hubs = F.broadcast(least.where(F.col("n") > cap).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= cap).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the undirected edges (src, dst): component is the smallest
     node reachable. Alternates large-star and small-star steps, each of them a map-side combined
     minimum and a join, with its result written to the shared folder; ends when nothing changes."""
-    spark = edges.sparkSession
     now = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), name)
 
     def digest(df: DataFrame) -> tuple:
@@ -278,11 +310,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     seen = digest(now)
     while seen[0]:
+        cap = max(64, 2 * seen[0] // BROADCAST_ROWS)
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        large = _least_of(both, least, cap).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, name)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _least_of(large, least, cap).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), name)
         was, seen = seen, digest(now)
         if was == seen:
