@@ -1,27 +1,24 @@
-"""Substring dedup with sets of windows, partitioned by minimisers.
+"""Substring dedup with prefix-partitioned suffix trees.
 
 A window is `window` consecutive words of one document; a word goes if a window that covers it has an equal
-one that starts earlier (smaller id, or same document and earlier start). Equal windows share the positions
-of their minimisers: of the `prefix`-word runs in a window, the leftmost with the least hash. Each window
-belongs to its minimiser, and the suffixes of the corpus are split by it:
+one that starts earlier (smaller id, or same document and earlier start). The suffixes of the corpus are split
+by prefixes of their windows: of the `prefix`-word runs in a window, the leftmost with the least hash, its
+minimiser, as equal windows share it and neighbours mostly do:
 
 1. Minimisers are counted. Those met once have windows met once, and drop out.
-2. The windows of each other minimiser travel, as one stretch of text, to the group of its words: the
-   suffixes that share that prefix (and, being centred on it, what is left of it). Groups thus fit in
-   memory; the prefix of a group that wouldn't (more than `group_rows` stretches) is made longer, up to the
-   whole window, so that its windows spread over groups of their own, and each task sends only the first
-   of its equal windows there.
-3. In a group the windows are put in a set, in the order of their occurrence: one that is in it already is
-   a repeat, and the least (id, start) is kept. Whole words are compared, but the windows of prefixes that
-   were made longer are first compared within their task by digests of 128 bits.
-
-There are no suffix trees: of one cut at depth `window` only the nodes of that depth would be asked for, and
-these are the members of the set.
+2. The windows of each other minimiser travel, as one stretch of text, to the group of its words. Groups thus
+   fit in memory; the prefix of a group that wouldn't (more than `group_rows` stretches) is made longer, to the
+   whole window, so that its windows spread over groups of their own, and each task sends only the first of its
+   equal windows there (it knows the last LOCAL_WINDOWS of them by digests of 128 bits).
+3. In a group a suffix array of the stretches, with words compared whole, stands for their suffix tree: the
+   suffixes whose longest common prefix with a neighbour reaches `window` hang below its deep internal nodes, and
+   these nodes are the repeats. Of the leaves below one, the least (id, start) is kept.
 
 Null texts have no words; texts of fewer than `window` words lose nothing. Rows with equal ids are ordered
 by the hash of their text and then by the text; an exact repetition of a row counts as later than the row,
-so all but one of such rows lose the windows. An empty table gives no rows. Texts are processed whole;
-other columns are not read.
+so all but one of such rows lose the windows. Rows without an id come before all others, in the order of that
+hash, and keep none. Ids are integers; others raise a TypeError. An empty table gives no rows. Texts are processed
+whole; other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -39,6 +36,9 @@ from recallgrid.llm import common
 
 WINDOW, PREFIX, GROUP_ROWS = 20, 8, 4096
 
+#: Windows of long prefixes that a task remembers.
+LOCAL_WINDOWS = 500_000
+
 
 class _Step:
     """The words of some texts, and the minimiser of each window in them."""
@@ -179,6 +179,8 @@ def _stretches(texts: DataFrame, window: int, prefix: int) -> DataFrame:
                             text = line[begin[w] : end[w + window - 1]]
                             digest = hashlib.blake2b(text, digest_size=16).digest()
                             new = digest not in seen
+                            if len(seen) >= LOCAL_WINDOWS:
+                                seen.clear()
                             seen.add(digest)
                             out.append((int.from_bytes(digest[:8], "little", signed=True) if new else w, row[r2], h[r2], w - first, 1, text if new else None))
                     if out:
@@ -188,37 +190,62 @@ def _stretches(texts: DataFrame, window: int, prefix: int) -> DataFrame:
     return texts.select("row", "h", "text", "keys", "carry").mapInArrow(run, "block long, row long, h long, start int, n int, words binary")
 
 
+def deep_nodes(codes: np.ndarray, depth: int) -> np.ndarray:
+    """For each position of a sequence the node of its suffix tree, cut at `depth`, that the suffix from there passes
+    at that depth, nodes being numbered in the order of a suffix array. Two suffixes share a node exactly if their
+    longest common prefix has `depth` codes or more. Built by prefix doubling: the order of the suffixes by their first
+    2 k codes is that of the pairs (order by the first k here, order by the first k at k further on). Suffixes
+    that end before `depth` are left out of the result."""
+    rank, reach = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+    while reach < depth:
+        hop = min(reach, depth - reach)
+        if len(rank) <= hop:
+            return rank[:0]
+        wide = int(rank.max()) + 1
+        rank = np.unique(rank[:-hop] * wide + rank[hop:], return_inverse=True)[1].astype(np.int64)
+        reach += hop
+    return rank
+
+
+def _suffixes(words: pa.Array, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, place in it, node of depth `window`) of every suffix of the stretches that has so many words."""
+    lists = pa.compute.split_pattern(words, b" ")
+    codes = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()).dictionary_encode().indices.to_numpy()
+    node = deep_nodes(codes, window)
+    begin = lists.offsets.to_numpy().astype(np.int64)[:-1] - lists.offsets[0].as_py()
+    stretch = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(stretch)) - np.repeat(np.cumsum(n) - n, n)
+    return stretch, place, node[begin[stretch] + place]
+
+
 def _ranges(stretches: DataFrame, window: int) -> DataFrame:
-    """(row, h, a, b): runs of words covered by repeats, from each group's set of whole windows; these come in the
-    order of their occurrence, and each but the first of equal ones is a repeat."""
+    """(row, h, a, b): runs of words covered by repeats. The stretches of a group are one suffix array; the leaves
+    below one of its nodes of depth `window` are the occurrences of one repeat, of which the earliest stays."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, tree = None, set()
-        for batch in batches:
-            out: list[tuple] = []
-            for key, row, h, start, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if words is None:
-                    out.append((row, h, start, start + n - 1 + window))
-                    continue
-                if key != block:
-                    block, tree = key, set()
-                at = [0]
-                for w in words.split(b" "):
-                    at.append(at[-1] + len(w) + 1)
-                since = -1
-                for i in range(n):
-                    label = words[at[i] : at[i + window] - 1]
-                    if label in tree:
-                        since = i if since < 0 else since
-                    else:
-                        tree.add(label)
-                        if since >= 0:
-                            out.append((row, h, start + since, start + i - 1 + window))
-                            since = -1
-                if since >= 0:
-                    out.append((row, h, start + since, start + n - 1 + window))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["row", "h", "a", "b"])
+        for table in common.whole_groups(batches, "block"):
+            sure = pa.compute.is_null(table["words"]).to_numpy()
+            row, h, start, n = (table[k].to_numpy() for k in ("row", "h", "start", "n"))
+            found = [(row[sure], h[sure], start[sure], start[sure] + n[sure] - 1 + window)]
+            at = np.flatnonzero(~sure)
+            if len(at):
+                words = table["words"].take(pa.array(at)).combine_chunks()
+                words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+                stretch, place, node = _suffixes(words, n[at], window)
+                block = np.unique(table["block"].to_numpy()[at], return_inverse=True)[1].astype(np.int64)[stretch]
+                leaf = block * (int(node.max()) + 1) + node
+                order = np.argsort(leaf, kind="stable")  # the leaves of a node in the order of their occurrence
+                again = np.zeros(len(leaf), bool)
+                again[order[1:]] = leaf[order[1:]] == leaf[order[:-1]]
+                # neighbouring windows of a stretch that repeat make one run
+                joined = again[1:] & again[:-1] & (stretch[1:] == stretch[:-1])
+                first = np.flatnonzero(again & ~np.concatenate(([False], joined)))
+                last = np.flatnonzero(again & ~np.concatenate((joined, [False])))
+                of = at[stretch[first]]
+                found.append((row[of], h[of], start[of] + place[first], start[of] + place[last] + window))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, ("i8", "i8", "i4", "i4"), strict=True)], ["row", "h", "a", "b"])
 
     n = common.shuffle_partitions(stretches.sparkSession)
     return stretches.repartition(n, "block").sortWithinPartitions("block", "row", "h", "start").mapInArrow(run, "row long, h long, a int, b int")
@@ -228,9 +255,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_row
     """(id, n_words, n_removed, kept): kept has the words that stay, joined by one space; with as_was, a text
     that loses no word is kept as it was. carry: further columns, given back in a struct `carry`."""
     n = common.shuffle_partitions(docs.sparkSession)
-    none = -(1 << 63)
-    further = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(0)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"), further.alias("carry"))
+    common.need_integers(docs, id_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = common.ordered_id(id_col, text)
+    further = F.struct(F.col(id_col).isNull().alias("_no_id"), *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry or [])])
+    texts = docs.select(row.alias("row"), text.alias("text"), further.alias("carry"))
     found = _repeated(texts, window, prefix, group_rows)
     hot = found.where(F.col("kind") == _HOT).select("key", F.lit(True).alias("hot"))
     keys = found.where(F.col("kind") == 0).join(hot, "key", "left").groupBy("row").agg(F.collect_list(F.struct("key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("keys"))
@@ -278,14 +307,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_row
 
     kind = texts.schema["carry"].dataType.simpleString()
     out = texts.join(cuts.hint("merge"), "row", "left").select("row", "h", "text", "cuts", "carry").mapInArrow(run, f"row long, n_words long, n_removed long, kept string, carry {kind}")
-    return out.select(F.when(F.col("row") != none, F.col("row")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept", *(["carry"] if carry else []))
+    key = F.when(~F.col("carry._no_id"), F.col("row")).cast(docs.schema[id_col].dataType).alias(id_col)
+    return out.select(key, "n_words", "n_removed", "kept", *[F.col(f"carry._c{k}").alias(f"_c{k}") for k in range(len(carry or []))])
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """The input's rows and columns, with texts that have lost their repeats and their length in n_chars."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    found = dedup(docs, id_col=id_col, text_col=text_col, carry=rest or None, as_was=True, **options)
-    out = {c: F.col("carry")[c] for c in rest} | {id_col: F.col(id_col), text_col: F.col("kept")}
+    found = dedup(docs.select(F.col(f"`{id_col}`").alias("_row"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(rest)]), id_col="_row", text_col="_text", carry=[f"_c{k}" for k in range(len(rest))], as_was=True, **options)
+    out = {c: F.col(f"_c{k}") for k, c in enumerate(rest)} | {id_col: F.col("_row"), text_col: F.col("kept")}
     if n_chars in out:
         out[n_chars] = F.length("kept").cast(docs.schema[n_chars].dataType)
     return found.select(*[out[c].alias(c) for c in docs.columns])
