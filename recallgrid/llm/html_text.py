@@ -7,8 +7,10 @@ score well beside it or read like prose. What is never article text (menus, page
 sidebars, notices, adverts, forms, scripts, styles, comments of readers) is left out by element, role and
 class or id; but a form, or what only a class or id speaks against, is scored if it holds most of the prose.
 
-Null and empty pages give an empty text. Truncated and malformed markup is read as far as it makes sense.
-Rows are independent: repeated rows give repeated results; pages of any length are read whole.
+Null and empty pages give an empty text. Truncated and malformed markup is read as far as it makes sense, elements
+nested deeper than 512 as neighbours. Rows are independent: repeated rows give repeated results, and ids and addresses may
+be null and of any type. Pages are read whole, in time that grows with their length. An empty table gives no rows;
+other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -22,25 +24,31 @@ from pyspark.sql import DataFrame
 
 from recallgrid.llm import common
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
+#: A quote is one only after an equals sign; what it opens and nothing closes runs to the end, so a page is read in one pass.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LEFT_OUT = frozenset("nav footer aside form button select option menu dialog svg math object canvas audio video head fieldset label datalist".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Words of a class or id that speak against an element, if its other words only say where it stands or what holds it:
+#: `page-header` and `ad-slot` do, `article-header`, `notice-period` and `has-sidebar` don't.
 _UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|foot|footer|masthead|topbar|header|site-header|page-header|comments?|commentlist|disqus|respond|replies|reply|notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|recirc|widget|pager|pagination|toolbar|skip|alert|rss|shoutbox|agegate)(?=$|[\s_-])",
-    re.I,
-)
-_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|reply)(?=$|[\s_-])", re.I)
+    r"ads?|adv|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|sidebar|aside|nav|navbar|navigation|menu|breadcrumbs?|foot|footer|masthead|topbar|header|comments?|commentlist|disqus|respond|replies|reply|notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|recirc|widget|pager|pagination|toolbar|skip|alert|rss|shoutbox|agegate"
+).fullmatch
+_PLACES = frozenset("area bar block blocks bottom box button buttons col column container first global group holder icons inner inline item items last left link links list lower main module outer page pane panel posts primary region right row secondary section side site slot sticky sub tools top unit upper widgets wrap wrapper zone articles stories".split())
+_READERS = frozenset("comment comments commentlist disqus respond replies reply".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements stand at most this deep, as in browsers; what would be deeper becomes a neighbour.
+_DEEPEST = 512
 _IN_HEAD = frozenset("head base basefont bgsound link meta".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 _START = {"div": 5.0, "article": 25.0, "main": 15.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "body": 0.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "th": -5.0}
 
 
 class _Node:
-    __slots__ = ("blocks", "children", "doubt", "level", "links", "out", "parent", "points", "size", "tag")
+    __slots__ = ("blocks", "children", "doubt", "drop", "keep", "level", "links", "out", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool) -> None:
         self.tag, self.parent, self.out, self.doubt = tag, parent, out, 0
@@ -48,6 +56,18 @@ class _Node:
         self.children: list[_Node] = []
         self.blocks: list[int] = []
         self.points = self.size = self.links = 0.0
+        self.keep = self.drop = False
+
+
+def _against(value: str, inside_article: bool) -> set[str]:
+    """The words of a class or id that speak against its element."""
+    found: set[str] = set()
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        unlikely = {w for w in words if _UNLIKELY(w)}
+        if unlikely and not (inside_article and unlikely == {"header"}) and all(w in unlikely or w in _PLACES for w in words):
+            found |= unlikely
+    return found
 
 
 def _leaves_out(tag: str, attributes: str, inside_article: bool) -> int:
@@ -55,17 +75,19 @@ def _leaves_out(tag: str, attributes: str, inside_article: bool) -> int:
     if (tag in _LEFT_OUT and tag != "form") or (tag == "header" and not inside_article):
         return 1
     found = 2 if tag == "form" else 0
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            value, name = a or b or c, name.lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                return 1
-            if name == "role" and value.lower() in _ROLES:
-                return 1
-            if name in ("class", "id") and _UNLIKELY.search(value):
-                found = max(found, 3 if _READERS.search(value) else 2)
-    elif attributes and tag == "article":
-        return int(any(n.lower() in ("class", "id") and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", a or b or c, re.I) for n, a, b, c in _ATTRIBUTE.findall(attributes)))
+    if not attributes or tag in ("html", "body", "main"):
+        return found
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        value, name = a or b or c, name.lower()
+        if name in ("class", "id"):
+            words = _against(value, inside_article) if tag not in _HEADINGS else set()
+            if tag == "article":
+                if words & _READERS:
+                    return 1
+            elif words:
+                found = max(found, 3 if words & _READERS else 2)
+        elif tag != "article" and (name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)) or (name == "role" and value.lower() in _ROLES)):
+            return 1
     return found
 
 
@@ -74,6 +96,8 @@ class _Page:
 
     def __init__(self, page: str) -> None:
         self.root = self.at = _Node("html", None, False)
+        #: In the order in which they begin, so a node comes after its parent.
+        self.nodes = [self.root]
         self.texts: list[str] = []
         self.owner: list[_Node] = []
         self.linked: list[int] = []
@@ -105,27 +129,34 @@ class _Page:
         if self.doubts:
             self.settle()
 
+    def add(self, tag: str, parent: _Node, out: bool) -> _Node:
+        node = _Node(tag, parent if parent.level < _DEEPEST else parent.parent, out)
+        self.nodes.append(node)
+        return node
+
+    def measure(self) -> None:
+        """Sums the sizes of texts, and of links in them, from the leaves up."""
+        for node in self.nodes:
+            node.size = node.links = 0.0
+        for text, node, linked in zip(self.texts, self.owner, self.linked, strict=True):
+            node.size += len(text)
+            node.links += linked
+        for node in reversed(self.nodes):
+            if node.parent:
+                node.parent.size += node.size
+                node.parent.links += node.links
+
     def settle(self) -> None:
         """Leaves out what was in doubt, unless it holds most of the prose (as readers' comments, nearly all of it)."""
-        prose: dict[int, int] = {}
-        for text, node, linked in zip(self.texts, self.owner, self.linked, strict=True):
-            up = node
-            while up:
-                prose[id(up)] = prose.get(id(up), 0) + len(text) - linked
-                up = up.parent
-        total = prose.get(id(self.root), 0)
-        gone = {id(x) for x in self.doubts if prose.get(id(x), 0) <= total * (0.5 if x.doubt == 2 else 0.9)}
-        kept = []
-        for k, node in enumerate(self.owner):
-            up = node
-            while up and id(up) not in gone:
-                up = up.parent
-            if not up:
-                kept.append(k)
-        for x in self.doubts:
-            if id(x) in gone:
-                x.out = True
-                x.parent.children.remove(x)
+        self.measure()
+        total = self.root.size - self.root.links
+        gone = [x for x in self.doubts if x.size - x.links <= total * (0.5 if x.doubt == 2 else 0.9)]
+        for x in gone:
+            x.drop = x.out = True
+            x.parent.children = [c for c in x.parent.children if not c.drop]
+        for node in self.nodes[1:]:
+            node.drop |= node.parent.drop
+        kept = [k for k, node in enumerate(self.owner) if not node.drop]
         again = {k: i for i, k in enumerate(kept)}
         for node in {id(x): x for x in self.owner}.values():
             node.blocks = [again[b] for b in node.blocks if b in again]
@@ -161,7 +192,7 @@ class _Page:
             elif tag == "a":
                 self.link_depth += 1
             if tag not in ("br", "img", "wbr", "a") and attributes and not self.at.out and _leaves_out(tag, attributes, bool(self.articles)):
-                self.at = _Node(tag, self.at, True)
+                self.at = self.add(tag, self.at, True)
             return
         self.flush()
         self.link_depth = 0
@@ -185,7 +216,8 @@ class _Page:
                     node = up.parent
         why = 1 if node.out else _leaves_out(tag, attributes, bool(self.articles))
         out = why == 1
-        self.at = _Node(tag, node, out)
+        node = node if node.level < _DEEPEST else node.parent
+        self.at = self.add(tag, node, out)
         if why > 1:
             self.at.doubt = why
             self.doubts.append(self.at)
@@ -222,25 +254,18 @@ def main_text(page: str) -> str:
     tree = _Page(page)
     if not tree.texts:
         return ""
-    met: dict[int, _Node] = {}
+    tree.measure()
     for text, node, linked in zip(tree.texts, tree.owner, tree.linked, strict=True):
-        prose = 1 - linked / len(text)
-        up = node
-        while up:
-            up.size += len(text)
-            up.links += linked
-            met[id(up)] = up
-            up = up.parent
-        if len(text) < 25 or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "th", "caption"):
+        if len(text) < 25 or node.tag in _HEADINGS or node.tag in ("th", "caption"):
             continue
-        points = (1 + text.count(",") + text.count("،") + text.count("、") + text.count("，") + min(len(text) / 100, 3)) * prose
+        points = (1 + text.count(",") + text.count("،") + text.count("、") + text.count("，") + min(len(text) / 100, 3)) * (1 - linked / len(text))
         up, far = (node.parent if node.tag in ("p", "pre", "td", "li", "blockquote", "dd", "figcaption") and node.parent else node), 0
         while up and far < 5:
             up.points += points / (1, 2, 6, 9, 12)[far]
             up, far = up.parent, far + 1
-    nodes = [x for x in met.values() if x is not tree.root] or [tree.root]
-    worth = {id(x): (x.points + (_START.get(x.tag, 0.0) if x.points or x.tag in ("article", "main") else 0)) * (1 - x.links / max(1.0, x.size)) for x in met.values()}
-    top = max(nodes, key=lambda x: (worth[id(x)], -x.level))
+    met = [x for x in tree.nodes if x.size]
+    worth = {id(x): (x.points + (_START.get(x.tag, 0.0) if x.points or x.tag in ("article", "main") else 0)) * (1 - x.links / max(1.0, x.size)) for x in met}
+    top = max([x for x in met if x is not tree.root] or [tree.root], key=lambda x: (worth[id(x)], -x.level))
     if worth[id(top)] <= 0:
         top = tree.root
     up = top
@@ -257,18 +282,15 @@ def main_text(page: str) -> str:
             density = x.links / max(1.0, x.size)
             if worth[id(x)] >= least or (x.tag == "p" and ((x.size > 80 and density < 0.25) or (0 < x.size <= 80 and density == 0 and any(tree.texts[b].rstrip().endswith((".", "!", "?")) for b in x.blocks)))):
                 keep.append(x)
-    chosen = {id(x) for x in keep}
-    out = []
-    for text, node, linked in zip(tree.texts, tree.owner, tree.linked, strict=True):
-        up, lists = node, False
-        while up:
-            lists |= up.tag in ("ul", "ol", "table", "div", "p") and up.size > 0 and up.links / up.size > 0.8 and up.size > 20 and id(up) not in chosen and up.tag in ("ul", "ol")
-            if id(up) in chosen:
-                if not lists:
-                    out.append(text)
-                break
-            up = up.parent
-    return "\n".join(out)
+    for x in keep:
+        x.keep = True
+    menus = top.tag not in ("article", "main")  # a list of links in an article is part of it
+    for x in tree.nodes:
+        x.drop = False
+        if x.parent and x.parent.keep and not x.keep:
+            x.keep = True
+            x.drop = x.parent.drop or (menus and x.tag in ("ul", "ol") and x.size > 20 and x.links / x.size > 0.8)
+    return "\n".join(text for text, node in zip(tree.texts, tree.owner, strict=True) if node.keep and not node.drop)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
