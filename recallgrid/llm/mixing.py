@@ -10,15 +10,16 @@ and within the pass a Feistel permutation of the source's own maps it to a block
 index. Everything follows from the seed and the rows, so reruns agree.
 
 Null texts have no words and are never taken; a null source is a source of its own. Words are
-`[^\\x20\\x09-\\x0D]+`. Rows with equal ids are told apart by a hash of their text; exact repetitions are
-rows like any other. An empty table gives no rows. Clashing column names don't matter: what is added is
-prefixed with `_mix_`. One row for each source (not document) is kept on the driver.
+`[^\\x20\\x09-\\x0D]+`. Rows with equal ids, or without one, are told apart by a hash of their text; exact repetitions
+are rows like any other. Ids may be of any type that has an order. An empty table gives no rows. Further columns come
+along, whatever their names. One row for each source (not document) is kept on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,23 +53,36 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return [(s, n, t) for (s, n), t in zip(rows, out, strict=True)]
 
 
-def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of range(n) applied to x: Feistel rounds on the least even number of bits
-    that holds n, walked until the value is below n."""
+def _walk(x: np.ndarray, n: int, key: int, turns: range) -> np.ndarray:
     half = max(1, ((n - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
+    keys = [np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % (1 << 64)) for r in turns]
+    back = turns.step < 0
     out, todo = x.astype(np.uint64), np.arange(len(x))
     with np.errstate(over="ignore"):
         while len(todo):
-            v = out[todo]
-            a, b = v >> np.uint64(half), v & mask
-            for r in range(6):
-                a, b = b, a ^ (common.mix(b + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % (1 << 64))) & mask)
+            a, b = out[todo] >> np.uint64(half), out[todo] & mask
+            for k in keys:
+                if back:
+                    a, b = b ^ (common.mix(a + k) & mask), a
+                else:
+                    a, b = b, a ^ (common.mix(b + k) & mask)
             out[todo] = (a << np.uint64(half)) | b
             todo = todo[out[todo] >= n]
     return out.astype(np.int64)
 
 
+def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A pseudorandom permutation of range(n) applied to x: Feistel rounds on the least even number of bits
+    that holds n, walked until the value is below n."""
+    return _walk(x, n, key, range(6))
+
+
+def unpermute(x: np.ndarray, n: int, key: int) -> np.ndarray:
+    """The inverse of permute: the rounds in reverse."""
+    return _walk(x, n, key, range(5, -1, -1))
+
+
 @dataclass(frozen=True)
 class Draw:
     """What is drawn from one source."""
@@ -92,14 +106,18 @@ def draws(plan: list[tuple[str | None, int, float]], block: int, seed: int) -> l
         rest = round(target - passes * size)
         if rest >= size:
             passes, rest = passes + 1, 0
-        short = int(np.flatnonzero(permute(np.arange(blocks), blocks, _key(seed, rank, passes)) == blocks - 1)[0]) if rest and blocks <= 1 << 22 else blocks
-        lost = block * blocks - size
-        slots = -(-rest // block)
-        if rest and slots * block - (lost if short < slots else 0) < rest:
-            slots += 1
-        of = size - block * (blocks - 1) if rest and short == slots - 1 else block
-        over = slots * block - (lost if rest and short < slots else 0) - rest if rest else 0
-        last = of - over if rest else (size - block * (blocks - 1) if _last_is_short(blocks, seed, rank, passes - 1) else block)
+        tail = size - block * (blocks - 1)  # words of the short last block
+        at = int(unpermute(np.array([blocks - 1]), blocks, _key(seed, rank, passes))[0])  # its place in the last pass
+        if rest:
+            slots = -(-rest // block)
+            if slots * block - (block - tail if at < slots else 0) < rest:
+                slots += 1
+            over = slots * block - (block - tail if at < slots else 0) - rest
+            last = (tail if at == slots - 1 else block) - over
+        else:
+            slots = 0
+            ends = int(permute(np.array([blocks - 1]), blocks, _key(seed, rank, passes - 1))[0]) if passes else 0
+            last = tail if ends == blocks - 1 else block
         out.append(Draw(rank, size, blocks, passes * blocks + slots, last))
     return out
 
@@ -108,20 +126,45 @@ def _key(seed: int, rank: int, turn: int) -> int:
     return (seed * 1_000_003 + rank) * 1_000_003 + turn
 
 
-def _last_is_short(blocks: int, seed: int, rank: int, turn: int) -> bool:
-    return int(permute(np.array([blocks - 1]), blocks, _key(seed, rank, turn))[0]) == blocks - 1
-
-
-def _halve(counts: np.ndarray, take: int, seed: tuple[int, int, int]) -> np.ndarray:
-    """How many of each kind fall to the first `take` of the places that counts fill."""
-    total = int(counts.sum())
-    if total < 900_000_000:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
-    exact = counts * (take / total)  # beyond the generator's range the draw differs from its mean by less than it shows
-    out = np.floor(exact).astype(np.int64)
-    rest = np.argsort(out - exact, kind="stable")[: take - int(out.sum())]
-    out[rest] += 1
-    return np.minimum(out, counts)
+#: Totals that the library's generator takes.
+_LIBRARY = 900_000_000
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of `take` places drawn from good + bad are good. Beyond the library's range, by inversion: the logarithms of
+    the ratios of neighbouring probabilities are summed from the mode outwards over twelve deviations on each side, beyond
+    which less is left than doubles can show."""
+    total = good + bad
+    low, high = max(0, take - bad), min(take, good)
+    if low == high:
+        return low
+    if total < _LIBRARY:
+        return int(rng.hypergeometric(good, bad, take))
+    mode = min(high, max(low, (take + 1) * (good + 1) // (total + 2)))
+    share = good / total
+    wide = 12 * int((take * share * (1 - share) * (total - take) / (total - 1)) ** 0.5 + 2)
+    low, high = max(low, mode - wide), min(high, mode + wide)
+    k = np.arange(low, high, dtype=np.float64)
+    step = np.log((good - k) * (take - k)) - np.log((k + 1) * (bad - take + k + 1))
+    weight = np.concatenate(([0.0], np.cumsum(step)))
+    weight = np.exp(weight - weight.max())
+    upto = np.cumsum(weight)
+    return low + int(np.searchsorted(upto, rng.random() * upto[-1], "right"))
+
+
+@lru_cache(maxsize=256)
+def _halve(counts: tuple[int, ...], take: int, seed: tuple[int, int, int]) -> tuple[int, ...]:
+    """How many of each kind fall to the first `take` of the places that counts fill: a multivariate hypergeometric
+    draw, kind by kind. Shards of one task share most of these."""
+    rng, total = np.random.default_rng(seed), sum(counts)
+    if total < _LIBRARY:
+        return tuple(rng.multivariate_hypergeometric(counts, take, method="marginals").tolist())
+    out = []
+    for n in counts:
+        total -= n
+        out.append(hypergeometric(rng, n, total, take))
+        take -= out[-1]
+    return tuple(out)
 
 
 def shard_counts(totals: np.ndarray, shards: int, slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +173,7 @@ def shard_counts(totals: np.ndarray, shards: int, slots: int, shard: int, seed:
     while hi - lo > 1:
         mid = (lo + hi) // 2
         take = min(int(counts.sum()), (mid - lo) * slots)
-        left = _halve(counts, take, (seed, lo, hi))
+        left = np.array(_halve(tuple(counts.tolist()), take, (seed, lo, hi)), np.int64)
         if shard < mid:
             hi, counts = mid, left
         else:
@@ -151,8 +194,10 @@ class Mix:
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_mix_size"),
             F.xxhash64(text_col).alias("_mix_hash"),
         )
+        # rows that repeat exactly are one row with a number of copies, so they don't crowd a run
+        sized = sized.groupBy(*sized.columns).agg(F.count("*").alias("_mix_copies"))
         self.sized = common.materialize(sized, "mix-sizes")
-        found = self.sized.groupBy("_mix_source").agg(F.sum("_mix_size").alias("n"), F.count("*").alias("rows")).collect()
+        found = self.sized.groupBy("_mix_source").agg(F.sum(F.col("_mix_size") * F.col("_mix_copies")).alias("n"), F.count("*").alias("rows")).collect()
         self.plan = targets([(r[0], r[1]) for r in found], weights, share, cap)
         self.draws = draws(self.plan, block_words, seed)
         rows = [(s, k, n, t) for k, (s, n, t) in enumerate(self.plan)]
@@ -162,14 +207,16 @@ class Mix:
         self.shards, self.shard_slots = max(1, -(-self.slots_total // shard_slots)), shard_slots
 
     def placed(self) -> DataFrame:
-        """Each row with its place `_mix_at` in its source's stream."""
+        """Each row with its place `_mix_at` in its source's stream, and `_mix_number`, from 1 for the first of equal rows."""
         rows = self.sized.join(self.sources, self.sized["_mix_source"].eqNullSafe(self.sources["_mix_source"])).drop(self.sources["_mix_source"])
-        rows = rows.withColumn("_mix_run", F.pmod(F.xxhash64("_mix_id", "_mix_hash", F.lit(self.seed)), F.lit(self.runs)))
+        rows = rows.withColumn("_mix_run", F.pmod(F.xxhash64("_mix_id", "_mix_hash", F.lit(self.seed)), F.lit(self.runs))).withColumn("_mix_all", F.col("_mix_size") * F.col("_mix_copies"))
         run = Window.partitionBy("_mix_rank", "_mix_run").orderBy("_mix_id", "_mix_size", "_mix_hash").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("_mix_in", F.sum("_mix_size").over(run) - F.col("_mix_size"))
-        sums = rows.groupBy("_mix_rank", "_mix_run").agg(F.sum("_mix_size").alias("n"))
+        rows = rows.withColumn("_mix_in", F.sum("_mix_all").over(run) - F.col("_mix_all"))
+        sums = rows.groupBy("_mix_rank", "_mix_run").agg(F.sum("_mix_all").alias("n"))
         before = sums.select("_mix_rank", "_mix_run", (F.sum("n").over(Window.partitionBy("_mix_rank").orderBy("_mix_run")) - F.col("n")).alias("_mix_before"))
-        return rows.join(before, ["_mix_rank", "_mix_run"]).withColumn("_mix_at", F.col("_mix_before") + F.col("_mix_in")).drop("_mix_run", "_mix_in", "_mix_before")
+        rows = rows.join(before, ["_mix_rank", "_mix_run"]).withColumn("_mix_number", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies")))
+        at = F.col("_mix_before") + F.col("_mix_in") + (F.col("_mix_number") - 1) * F.col("_mix_size")
+        return rows.withColumn("_mix_at", at).drop("_mix_run", "_mix_in", "_mix_before", "_mix_all")
 
     def slots(self) -> DataFrame:
         """(shard, place, rank, pass, block, words): what each place of the output holds."""
@@ -231,23 +278,23 @@ class Mix:
         """The mix as documents: the input's columns, a row for each run of a document's words that a pass
         takes. A run of the whole document keeps its text; of a part, the words joined by one space."""
         docs = self.docs
+        names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+        key, text, source = (names[c] for c in (self.id_col, self.text_col, self.source_col))
         placed = common.materialize(self.placed(), "mix-placed")
         spans = self._spans(placed)
-        spans = placed.where("_mix_size > 0").join(spans, (F.col("_mix_rank") == F.col("rank")) & (F.col("_mix_at") == F.col("at"))).select("_mix_id", "_mix_hash", "_mix_source", "_mix_size", "_mix_at", "pass", "a", "b")
-        keys = ["_mix_id", "_mix_hash", "_mix_source"]
-        texts = docs.withColumns({"_mix_of": F.xxhash64(self.text_col), "_mix_copy": F.lit(1)})
-        spans = spans.withColumn("_mix_number", F.lit(1))
-        if placed.groupBy(*keys).count().where("count > 1").limit(1).count():
-            # rows that repeat exactly are numbered, so that each takes its own runs
-            texts = texts.withColumn("_mix_copy", F.row_number().over(Window.partitionBy(self.id_col, "_mix_of", self.source_col).orderBy(F.lit(0))))
-            spans = spans.withColumn("_mix_number", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_mix_at")))
-        same = texts[self.id_col].eqNullSafe(F.col("_mix_id")) & (F.col("_mix_of") == F.col("_mix_hash")) & texts[self.source_col].eqNullSafe(F.col("_mix_source")) & (F.col("_mix_copy") == F.col("_mix_number"))
+        spans = placed.where("_mix_size > 0").join(spans, (F.col("_mix_rank") == F.col("rank")) & (F.col("_mix_at") == F.col("at")))
+        spans = spans.select("_mix_id", "_mix_hash", "_mix_source", "_mix_size", "_mix_number", F.col("pass").alias("_mix_pass"), F.col("a").alias("_mix_a"), F.col("b").alias("_mix_b"))
+        texts = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumns({"_mix_of": F.xxhash64(text), "_mix_copy": F.lit(1)})
+        if self.sized.where("_mix_copies > 1").limit(1).count():
+            # rows that repeat exactly are numbered in the order of a hash of all their columns, so that each takes its own runs
+            order = Window.partitionBy(key, "_mix_of", source).orderBy(F.xxhash64(*names.values()))
+            texts = texts.withColumn("_mix_copy", F.row_number().over(order))
+        same = F.col(key).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_of") == F.col("_mix_hash")) & F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_copy") == F.col("_mix_number"))
         rows = texts.join(spans, same)
-        whole = (F.col("a") == 0) & (F.col("b") == F.col("_mix_size"))
-        part = F.array_join(F.slice(F.regexp_extract_all(self.text_col, F.lit(WORD), F.lit(0)), F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int")), " ")
-        text = F.when(whole, F.col(self.text_col)).otherwise(part)
-        out = {c: F.col(f"`{c}`") for c in docs.columns}
-        out[self.text_col] = text
+        a, b = F.col("_mix_a"), F.col("_mix_b")
+        part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), a.cast("int") + 1, (b - a).cast("int")), " ")
+        taken = F.when((a == 0) & (b == F.col("_mix_size")), F.col(text)).otherwise(part)
+        out = {c: F.col(n) for c, n in names.items()} | {self.text_col: taken}
         if n_chars in out:
-            out[n_chars] = F.length(text).cast(docs.schema[n_chars].dataType)
+            out[n_chars] = F.length(taken).cast(docs.schema[n_chars].dataType)
         return rows.select(*[v.alias(c) for c, v in out.items()])
