@@ -4,11 +4,13 @@ Overlapping heuristic labellers vote good, bad or nothing on each document. Expe
 votes of all documents, of which only the count of each pattern is needed, estimates how often each labeller
 votes what on good and on bad documents, and the share of good ones. The posterior of each pattern is
 the soft label that a hashed linear scorer is trained on, over a bounded sample of documents (default
-16,384, those with the least hash of their id); it then scores every document.
+16,384, those with the least hash of their id); it then scores every document by its words, their shapes, their pieces
+of three characters, and the bands that the labellers' measures fall in, all hashed.
 
 No document of text that is like most others is dropped for its topic or length: labellers look at form
-only. Null texts count as empty and are not kept. Repeated rows get equal scores; an empty table gives no
-rows. Texts are read whole; other columns are not read.
+only. Null texts count as empty and are not kept. Repeated rows get equal scores, and count once in the sample; ids may
+be null and of any type. An empty table gives no rows. Texts are read whole; other columns are not read, so their names
+don't matter.
 """
 
 from __future__ import annotations
@@ -124,12 +126,49 @@ def estimate(pattern: np.ndarray, count: np.ndarray, labellers: int, rounds: int
     return good, share
 
 
-def _features(measured: np.ndarray) -> Sets:
-    """Hashed features: the band that each measure falls in, and each lower one."""
+_SHAPES = np.arange(256, dtype=np.uint8)
+_SHAPES[48:58], _SHAPES[65:91], _SHAPES[97:123], _SHAPES[128:] = 48, 65, 97, 97
+
+
+def _bands(measured: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature): the band that each measure falls in, and each lower one."""
     edges = np.array([0.01, 0.02, 0.05, 0.08, 0.12, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
     row, which, band = np.nonzero(measured[:, :, None] >= edges)
-    name = np.array([[hash_of(f"{k}>={e}") for e in edges] for k in LABELLERS])
-    return Sets(np.searchsorted(row, np.arange(len(measured) + 1)), name[which, band])
+    return row, np.array([[hash_of(f"{k}>={e}") for e in edges] for k in LABELLERS])[which, band]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, feature) of words with A-Z in lower case, of their shapes (letters, capitals, figures, each mark; runs of a kind
+    as one), and of their pieces of three characters; not distinct."""
+    text = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+    starts, ends, first = common.words(text, offsets)
+    if not len(starts):
+        return
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    put = lambda h, k: (common.mix(h + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int64)
+    yield row, put(common.span_hashes(text, starts, ends), 1)
+    shape = _SHAPES[data]
+    changes = np.concatenate(([True], shape[1:] != shape[:-1]))
+    changes[starts] = True
+    at = np.cumsum(changes)
+    runs = shape[changes]
+    yield row, put(common.span_hashes(runs, at[starts] - 1, at[ends - 1]), 2)
+    inner = np.repeat(starts, np.maximum(ends - starts - 2, 0))
+    n = np.maximum(ends - starts - 2, 0)
+    inner += np.arange(len(inner)) - np.repeat(np.cumsum(n) - n, n)
+    piece = text[inner].astype(np.uint64) << np.uint64(16) | text[inner + 1].astype(np.uint64) << np.uint64(8) | text[inner + 2] if len(inner) else np.zeros(0, np.uint64)
+    yield np.repeat(row, n), put(common.mix(piece), 3)
+
+
+def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, row - a, feature): the distinct features of the rows [a, b), step by step."""
+    data, offsets = common.utf8(column)
+    measured = measures(column)
+    for a, b in common.steps(offsets):
+        found = [_bands(measured[a:b]), *_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+        row, feature = (np.concatenate(x) for x in zip(*found, strict=True))
+        keys = np.unique(row * BUCKETS + feature)
+        yield a, b, keys // BUCKETS, keys % BUCKETS
 
 
 def hash_of(name: str) -> int:
@@ -139,36 +178,55 @@ def hash_of(name: str) -> int:
 
 def score(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score from 0 to 1, votes: the pattern of votes, kept: score >= 0.5) of every row."""
-    names = list(LABELLERS)
+    labellers = len(LABELLERS)
 
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.claim("quality")
         for batch in batches:
-            found = measures(batch.column(1))
-            empty = np.diff(common.utf8(batch.column(1))[1]) == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(empty), pa.array(patterns(votes(found))), *(pa.array(found[:, k].astype(np.float32)) for k in range(len(names)))], [id_col, "_empty", "votes", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(patterns(votes(measures(batch.column(2)))))], ["id", "h", "votes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = ", ".join(f"{k} float" for k in names)
-    found = common.materialize(docs.select(id_col, text_col).mapInArrow(measure, f"`{id_col}` {kind}, _empty boolean, votes long, {fields}"), "quality")
-    counted = found.where("not _empty").groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()  # 3 ** labellers rows at most
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(text_col, F.lit("")).alias("text"))
+    some = texts.where("text <> ''")
+    found = common.materialize(some.mapInArrow(vote, f"id {kind}, h long, votes long"), "quality")
+    counted = found.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()  # 3 ** labellers rows at most
     pattern, count = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], float)
-    good, _ = estimate(pattern, count, len(names))
+    good, _ = estimate(pattern, count, labellers)
     label = dict(zip(pattern.tolist(), good.tolist(), strict=True))
-    sample = found.where("not _empty").orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).toArrow()
-    measured = np.stack([sample[k].to_numpy() for k in names], axis=1) if sample.num_rows else np.zeros((0, len(names)))
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("quality")
+        for batch in batches:
+            for a, b, row, feature in features(batch.column(3)):
+                at = np.searchsorted(row, np.arange(b - a + 1))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(feature.astype(np.int32)))], ["id", "h", "votes", "of"])
+
+    drawn = found.groupBy("id", "h").agg(F.first("votes").alias("votes")).orderBy(F.xxhash64("id"), "id", "h").limit(sample_rows)
+    drawn = F.broadcast(drawn.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "votes"))  # bounded
+    rows = some.join(drawn, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).groupBy(F.col("id").cast("string").alias("id"), "h").agg(F.first("votes").alias("votes"), F.first("text").alias("text"))
+    sample = rows.mapInArrow(learn, "id string, h long, votes long, of array<int>").toArrow()
+    sample = sample.take(pa.compute.sort_indices(sample, [("id", "ascending"), ("h", "ascending")])).combine_chunks()
     target = np.array([label[v] for v in sample["votes"].to_pylist()])
-    sets = _features(measured)
-    features = select(sets, target, BUCKETS, 3, 2.0, 4096) if len(target) else np.zeros(0, np.int64)
-    bias, weights = fit(sets, target, features, ridge=1e-4) if len(target) else (0.0, np.zeros(0))
+    chosen, bias, weights = np.zeros(0, np.int64), 0.0, np.zeros(0)
+    if len(target):
+        lists = sample["of"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at = lists.offsets.to_numpy().astype(np.int64)
+        sets = Sets(at - at[0], lists.values.to_numpy()[at[0] : at[-1]])
+        chosen = select(sets, target, BUCKETS, 3, 4.0, 4096)
+        bias, weights = fit(sets, target, chosen, ridge=1e-4)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("quality")
         table = np.zeros(BUCKETS)
-        table[features] = weights
+        table[chosen] = weights
         for batch in batches:
-            sets = _features(np.stack([batch.column(k).to_numpy() for k in names], axis=1))
-            points = sigmoid(np.bincount(sets.rows, weights=table[sets.of], minlength=batch.num_rows) + bias)
-            points[batch.column("_empty").to_numpy(zero_copy_only=False)] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(points), batch.column("votes"), pa.array(points >= 0.5)], [id_col, "score", "votes", "kept"])
-
-    return found.mapInArrow(run, f"`{id_col}` {kind}, score double, votes long, kept boolean")
+            column = batch.column(2)
+            points, cast = np.zeros(len(column)), patterns(votes(measures(column)))
+            for a, b, row, feature in features(column):
+                points[a:b] = sigmoid(np.bincount(row, weights=table[feature], minlength=b - a) + bias)
+            points[np.diff(common.utf8(column)[1]) == 0] = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points), pa.array(cast), pa.array(points >= 0.5)], [id_col, "score", "votes", "kept"])
+
+    return texts.mapInArrow(run, f"`{id_col}` {kind}, score double, votes long, kept boolean")
