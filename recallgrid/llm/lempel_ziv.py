@@ -12,8 +12,9 @@ two texts at a time. The phrases of the shared first half are parsed once.
 
 Null texts count as empty; an empty text has no phrases, an empty fingerprint, and likeness 1 to another
 empty one and 0 to any other. Rows with equal ids follow each other by the hash of their text and then by
-the text. After the last row comes the first; a table's only row is followed by itself. An empty table
-gives no rows. Other columns are not read.
+the text; rows without an id come before all others, in the order of a hash of their text. After the last row comes the
+first; a table's only row is followed by itself. Ids are integers; others raise a TypeError. An empty table
+gives no rows. Other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,35 +106,31 @@ def edited(text: str, following: str) -> str:
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, ahead, id, h, text) of rows by ranges of ids; ahead: the first row of the next bucket."""
+    """(bucket, ahead, key, none, h, text) of rows by ranges of keys, in the order of ids; none: the row has no id; ahead:
+    the first row of the next bucket."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(common.ordered_id(id_col, text).alias("key"), F.col(id_col).isNull().alias("none"), text.alias("text"))
     n = 4 * common.shuffle_partitions(spark)
-    # one id for each range, as Spark's own range partitioning keeps on the driver
-    found = ids.where("id is not null").repartitionByRange(n, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("id")).select("id").collect()
-    firsts = sorted({r[0] for r in found})
-    none = ids.where("id is null").limit(1).count()
-    lead = set(firsts)
-
-    def place(x):  # 2 * the range that an id lies in, and 1 more if the id starts it
-        at = np.maximum(np.searchsorted(np.array(firsts, np.int64), x.to_numpy(), "right") - 1, 0)
-        starts = np.array([int(v) in lead for v in x], bool)
-        return x * 0 + 2 * at + starts
-
-    place = F.pandas_udf(place, "long", F.PandasUDFType.SCALAR)
+    # one key for each range, as Spark's own range partitioning keeps on the driver
+    found = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key")).select("key").collect()
+    firsts = np.array(sorted({r[0] for r in found}), np.int64)
+
+    @F.pandas_udf("long")
+    def place(x: pd.Series) -> pd.Series:  # 2 * the range that a key lies in, and 1 more if the key starts it
+        x = x.to_numpy()
+        return pd.Series(2 * np.maximum(np.searchsorted(firsts, x, "right") - 1, 0) + np.isin(x, firsts))
+
     last = max(0, len(firsts) - 1)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.withColumn("place", place(F.coalesce("id", F.lit(0)))).withColumn("null", F.col("id").isNull())
-    rows = rows.withColumn("own", F.when(F.col("null"), 0).otherwise(F.shiftright("place", 1)).cast("int"))
-    first = F.col("null") if none else F.col("own") == 0
-    starts = F.col("null") | (F.col("place") % 2 == 1)
-    rows = rows.withColumn("ahead", F.when(starts & first, F.lit(last)).when(starts & (F.col("own") > 0), F.col("own") - 1).otherwise(-1))
+    rows = rows.withColumn("place", place("key")).withColumn("own", F.shiftright("place", 1).cast("int"))
+    rows = rows.withColumn("ahead", F.when(F.col("place") % 2 == 1, F.when(F.col("own") > 0, F.col("own") - 1).otherwise(last)).otherwise(-1))
     two = F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("ahead")), F.struct(F.col("ahead").alias("bucket"), F.lit(1).alias("ahead")))
-    return rows.select(F.inline(F.filter(two, lambda x: x["bucket"] >= 0)), "id", "text").withColumn("h", F.xxhash64("text")).select("bucket", "ahead", "id", "h", "text")
+    return rows.select(F.inline(F.filter(two, lambda x: x["bucket"] >= 0)), "key", "none", "text").withColumn("h", F.xxhash64("text")).select("bucket", "ahead", "key", "none", "h", "text")
 
 
 def compare(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
+    common.need_integers(docs, id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -148,7 +146,8 @@ def compare(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
 
         bucket = None
         for batch in batches:
-            for b, ahead, key, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+            for b, ahead, key, none, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
+                key = None if none else key
                 if b != bucket:
                     bucket, held, done = b, None, False
                 if done:
@@ -163,6 +162,6 @@ def compare(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
                 out = []
 
     rows = _dealt(docs, id_col, text_col)
-    rows = rows.repartition(common.shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "ahead", F.col("id").asc_nulls_first(), "h", "text")
+    rows = rows.repartition(common.shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "ahead", "key", "h", "text")
     found = rows.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -8,7 +8,8 @@ The model is fitted on a bounded sample of the labelled rows: the `sample_rows`
 least hash of their id, among those that the caller lets it learn from. Scores depend on the text alone.
 Null texts count as empty and score by the bias. Several labels of one id count as their maximum; labels that
 are null or without a document are passed over; without any label of either class every text scores by the
-share of the toxic ones. Repeated rows get equal scores. Texts are scored whole; no other column is read.
+share of the toxic ones. Repeated rows get equal scores and count once in the fit. Ids may be of any type. An empty
+table gives no rows. Texts are scored whole; no other column is read, but all come along.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from recallgrid.llm.linear import Sets, fit, select, sigmoid
 
 SAMPLE_ROWS, BUCKETS, STARTS = 16_384, 1 << 20, (4, 5, 6)
 
-#: Terms by kind; a term is swapped for the next one of its kind.
+#: Terms by kind, in English, German, French and Spanish; a term is swapped for the next one of its kind. Callers give
+#: their own table for other languages or groups.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men"),
     ("woman", "man"),
@@ -41,6 +43,27 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("africans", "americans", "europeans", "mexicans", "arabs"),
     ("disabled", "deaf", "blind", "autistic"),
     ("old", "young"),
+    ("frauen", "männer"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "atheisten"),
+    ("schwarze", "weiße", "asiaten"),
+    ("schwule", "lesben", "heteros"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "gehörlose", "blinde"),
+    ("femmes", "hommes"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "athées"),
+    ("noirs", "blancs", "asiatiques"),
+    ("homosexuels", "lesbiennes", "hétérosexuels"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("handicapés", "sourds", "aveugles"),
+    ("mujeres", "hombres"),
+    ("chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "ateos"),
+    ("negros", "blancos", "asiáticos"),
+    ("homosexuales", "lesbianas", "heterosexuales"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("discapacitados", "sordos", "ciegos"),
 )
 
 
@@ -105,21 +128,24 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, s
     known = known.where(may_learn) if may_learn is not None else known
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(known, "_id").select("_id", "_label", "_text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    # the sample is bounded, so only its texts travel; rows that repeat exactly are one
+    rows = rows.join(F.broadcast(known), "_id").groupBy(F.col("_id").cast("string").alias("_id"), F.xxhash64("_text").alias("_h")).agg(F.first("_label").alias("_label"), F.first("_text").alias("_text"))
+    rows = rows.select("_id", "_h", "_label", "_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swap = swapper(terms)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             twins = [swap(t) for t in texts]
             lists = []
             for given in (texts, [t or "" for t in twins]):
                 row, feature = _sets(given)
                 lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(given) + 1)).astype(np.int32)), pa.array(feature.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), lists[0], lists[1], pa.array([t is not None for t in twins])], ["id", "label", "own", "twin", "paired"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists[0], lists[1], pa.array([t is not None for t in twins])], ["id", "h", "label", "own", "twin", "paired"])
 
-    found = rows.mapInArrow(run, "id long, label int, own array<int>, twin array<int>, paired boolean").toArrow()
-    found = found.take(pa.compute.sort_indices(found, [("id", "ascending")])).combine_chunks()
+    found = rows.mapInArrow(run, "id string, h long, label int, own array<int>, twin array<int>, paired boolean").toArrow()
+    found = found.take(pa.compute.sort_indices(found, [("id", "ascending"), ("h", "ascending")])).combine_chunks()
 
     def sets(table: pa.Table, name: str) -> Sets:
         column = table[name].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
