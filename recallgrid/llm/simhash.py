@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.llm import common
@@ -157,7 +157,9 @@ def _near(filed: DataFrame, radius: int, words: int, pivots: int = PIVOTS, block
 
 def dedup(docs: DataFrame, width: int = 5, radius: int = 4, bits: int = 64, masks: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row: component_id is the smallest id reachable over links of at most
-    `radius` bits, the row's own included. Rows without an id keep a null component."""
+    `radius` bits, the row's own included. Rows without an id keep a null component; ids are integers, others raise a
+    TypeError."""
+    common.need_integers(docs, id_col)
     masks = block_masks(radius, radius + 2, bits) if masks is None else masks
     prints = common.materialize(fingerprints(docs, width, bits, id_col, text_col), "simhash")
     classes = common.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("node")).where("node is not null"), "simhash-classes")
@@ -171,6 +173,12 @@ def dedup(docs: DataFrame, width: int = 5, radius: int = 4, bits: int = 64, mask
 #: shingles, 24 give or take 4.4); the radius is 5 (3.6) deviations away and only names pairs to verify.
 WIDTH, RADIUS, WORDS = 5, 40, 2
 
+#: Least hashes in a key, and keys of a text: two texts with a likeness of 0.8 share one with a chance of 0.99996.
+KEY_HASHES, KEYS = 3, 14
+
+#: Texts of a group that are compared in one task.
+GROUP_ROWS = 512
+
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the distinct shingles of each whole text as ascending 64-bit hashes, and where each row's begin."""
@@ -223,69 +231,147 @@ def _set_digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+_TURNS = np.random.default_rng(29).integers(0, 1 << 64, (KEYS, KEY_HASHES), np.uint64) | np.uint64(1)
+
+
+def min_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(rows, KEYS): each key is of KEY_HASHES minimum hashes of a set; sets without members have none worth using."""
+    out = np.zeros((len(first) - 1, KEYS), np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    with np.errstate(over="ignore"):
+        for k in range(KEYS if len(some) else 0):
+            key = np.full(len(some), k + 1, np.uint64)
+            for turn in _TURNS[k]:
+                key = common.mix(key ^ np.minimum.reduceat(hashes * turn, first[some]))
+            out[some, k] = key
+    return out
+
+
 def _filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text a digest of its set of shingles, its fingerprint, and a fifth of its shingles, one at least: the
-    first in the order of their hashes. Two sets with a Jaccard likeness of 0.8 have one of these in common."""
+    """Of each text a digest of its set of shingles, its fingerprint, and its keys."""
     common.claim("simhash")
     for batch in batches:
-        hashes, first = shingle_sets(batch.column(1))
-        n = np.diff(first)
-        some = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
-        upto = np.concatenate(([0], np.cumsum(some)))
-        at = np.arange(upto[-1]) + np.repeat(first[:-1] - upto[:-1], some)
-        keys = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(hashes[at].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), _packed(_set_digests(hashes, first)), _packed(set_prints(hashes, first)), keys], ["node", "digest", "fp", "keys"])
+        hashes, first = shingle_sets(batch.column(2))
+        n = len(first) - 1
+        some = np.where(np.diff(first) > 0, KEYS, 0)
+        keys = min_keys(hashes, first)[some > 0].ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some))), pa.int32()), pa.array(keys.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(_set_digests(hashes, first)), _packed(set_prints(hashes, first)), lists] if n else [*batch.columns[:2], *[pa.array([], pa.binary())] * 2, lists], ["id", "h", "digest", "fp", "keys"])
 
 
-def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(src, dst): a spanning forest, block by block, of the pairs of texts whose shingles have a Jaccard likeness of 0.8 or more."""
+def _compared(batches: Iterable[pa.RecordBatch], decide) -> Iterator[pa.RecordBatch]:
+    """The nodes that decide(rows of a block by id, alike) names; alike(i, j) tells which of rows j have a Jaccard
+    likeness of 0.8 or more with row i, its shingles compared one by one."""
     common.claim("simhash")
     for table in common.whole_groups(batches, "block", 1 << 9):
         block, node = table["block"].to_numpy(), table["node"].to_numpy()
-        side, within = table["side"].to_numpy(), table["within"].to_numpy()
+        again = np.concatenate(([False], (block[1:] == block[:-1]) & (node[1:] == node[:-1])))  # a row that repeats
+        table = table.take(pa.array(np.flatnonzero(~again)))
+        block, node = table["block"].to_numpy(), table["node"].to_numpy()
         hashes, first = shingle_sets(table["text"])
         prints, size = set_prints(hashes, first), np.diff(first)
         code = np.unique(hashes, return_inverse=True)[1]
-        held, forest = np.zeros(int(code.max(initial=-1)) + 1, bool), common.Forest(len(block))
-        last = np.searchsorted(block, block, "right")
-        for i in range(len(block)):
-            j = np.arange(i + 1, last[i])
-            j = j[(within[i] | (side[j] != side[i])) & (5 * size[j] >= 4 * size[i]) & (5 * size[i] >= 4 * size[j])]
-            j = j[forest.roots(j) != forest.roots(np.array([i]))]
-            j = j[distances(prints[j], prints[i]) <= RADIUS]
-            mine = code[first[i] : first[i + 1]]
-            held[mine] = True
+        held = np.zeros(int(code.max(initial=-1)) + 1, bool)
+
+        def alike(i: int, j: np.ndarray) -> np.ndarray:
+            j = j[(5 * size[j] >= 4 * size[i]) & (5 * size[i] >= 4 * size[j])]  # noqa: B023
+            j = j[distances(prints[j], prints[i]) <= RADIUS]  # noqa: B023
+            mine, found = code[first[i] : first[i + 1]], [j[:0]]  # noqa: B023
+            held[mine] = True  # noqa: B023
             for lo in range(0, len(j), 256):
                 k = j[lo : lo + 256]
-                upto = np.concatenate(([0], np.cumsum(size[k])))
-                at = np.arange(upto[-1]) + np.repeat(first[k] - upto[:-1], size[k])
-                both = np.diff(np.concatenate(([0], np.cumsum(held[code[at]])))[upto])
-                k = k[9 * both >= 4 * (size[k] + size[i])]
-                forest.link(np.full(len(k), i), k)
-            held[mine] = False
-        a, b = forest.edges()
-        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["src", "dst"])
+                upto = np.concatenate(([0], np.cumsum(size[k])))  # noqa: B023
+                at = np.arange(upto[-1]) + np.repeat(first[k] - upto[:-1], size[k])  # noqa: B023
+                both = np.diff(np.concatenate(([0], np.cumsum(held[code[at]])))[upto])  # noqa: B023
+                found.append(k[9 * both >= 4 * (size[k] + size[i])])  # noqa: B023
+            held[mine] = False  # noqa: B023
+            return np.concatenate(found)
+
+        named = np.zeros(len(block), bool)
+        edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        columns = {c: table[c].to_numpy() for c in ("side", "within", "kept")}
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            decide(a, b, columns, alike, named)
+        yield pa.RecordBatch.from_arrays([pa.array(node[named])], ["node"])
+
+
+def _greedy(a: int, b: int, columns: dict, alike, named: np.ndarray) -> None:
+    """Names the rows that are like an earlier one which isn't named."""
+    for i in range(a, b):
+        if not named[i]:
+            j = np.arange(i + 1, b)
+            named[alike(i, j[~named[j]])] = True
+
+
+def _meet(i: int, j: np.ndarray, columns: dict) -> np.ndarray:
+    return j[columns["within"][i] | (columns["side"][j] != columns["side"][i])]
+
+
+def _blocked(a: int, b: int, columns: dict, alike, named: np.ndarray) -> None:
+    """Names the rows that are like an earlier one."""
+    for i in range(a, b):
+        j = np.arange(i + 1, b)
+        named[alike(i, _meet(i, j[~named[j]], columns))] = True
+
+
+def _covered(a: int, b: int, columns: dict, alike, named: np.ndarray) -> None:
+    """Names the rows that are like one which is kept."""
+    every = np.arange(a, b)
+    for i in every[columns["kept"][a:b]].tolist():
+        j = every[~named[a:b] & ~columns["kept"][a:b]]
+        named[alike(i, _meet(i, j, columns))] = True
+
+
+def _dropped(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node) of the rows of groups (component, node, id, h) that are like a row of smaller (id, h) that stays. A group
+    that one task holds is decided there, in order. Of larger groups, blocks of two chunks are compared, in rounds: a row
+    that isn't like an undecided earlier one stays, and what is like it goes. Both give the same rows."""
+    n, name = common.shuffle_partitions(groups.sparkSession), "simhash-dropped"
+
+    def compare(rows: DataFrame, decide, kept: Column | None = None) -> DataFrame:
+        rows = rows.join(texts, ["id", "h"]).select("block", "node", "id", "h", "side", "within", (F.lit(False) if kept is None else kept).alias("kept"), "text")
+        rows = rows.repartition(n, "block").sortWithinPartitions("block", "id", "h").drop("id", "h")
+        return rows.mapInArrow(lambda batches: _compared(batches, decide), "node long").distinct()
+
+    blocks = common.materialize(common.with_blocks(groups, "component", "node", GROUP_ROWS).select("block", "node", "id", "h", "side", "within", "alone"), name)
+    gone = common.materialize(compare(blocks.where("alone"), _greedy), name)
+    open_ = blocks.where("not alone")
+    while open_.limit(1).count():
+        held = common.materialize(compare(open_, _blocked), name)
+        stay = common.materialize(open_.select("node").distinct().join(held, "node", "left_anti"), name)
+        marked = open_.join(stay.withColumn("_stays", F.lit(True)), "node", "left")
+        more = common.materialize(compare(marked, _covered, F.coalesce("_stays", F.lit(False))), name)
+        gone = gone.unionByName(more)
+        open_ = common.materialize(open_.join(stay.unionByName(more), "node", "left_anti"), name)
+    return gone
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without near copies: of each group linked at a Jaccard likeness of 0.8 or more of 5-word shingles the
-    row with the smallest id stays. Texts are filed under those of their shingles that come first, of which two such
-    texts share one; fingerprints of 128 bits within RADIUS make groups of what shares a key, and in a group the
-    shingles themselves decide. Of rows with one id one stays; rows without an id stay as they are."""
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node is not null")
-    prints = common.materialize(texts.mapInArrow(_filed, "node long, digest binary, fp binary, keys array<long>"), "simhash")
-    classes = common.materialize(prints.groupBy("digest").agg(F.min("node").alias("node")), "simhash-classes")
-    filed = common.materialize(prints.join(classes, ["digest", "node"], "left_semi").select("node", "fp", "keys"), "simhash-filed")
-    near = _near(filed.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, WORDS)
-    groups = common.materialize(common.components(near, "simhash-groups"), "simhash-groups")
-    blocks = common.with_blocks(groups, "component", "node", BLOCK_ROWS).select("block", "node", "side", "within")
-    n = common.shuffle_partitions(docs.sparkSession)
-    alike = blocks.join(texts, "node").select("block", "node", "side", "within", "text").repartition(n, "block").sortWithinPartitions("block").mapInArrow(_alike, "src long, dst long")
-    joined = common.components(alike, "simhash-components")
-    of = classes.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    keep = prints.select("node", "digest").join(of, "digest").where("node = component").groupBy(F.col("node").alias("_keep")).agg(F.count("*").alias("_n"))
-    keep = common.materialize(keep, "simhash-keep")
-    kept = docs.join(keep, docs[id_col] == F.col("_keep"), "left_semi")
-    if keep.where("_n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """The input without near copies: in the order of their ids, a row stays unless its text has a Jaccard likeness of
+    0.8 or more, of 5-word shingles with A-Z in lower case, to one that stays. So no two texts that stay are alike, and
+    none goes that isn't like one that stays. Texts are filed under keys of minimum hashes; within a key, pivot
+    distance tables and then the 128-bit fingerprints leave the pairs within RADIUS, which make groups; in a group the
+    shingles themselves decide.
+
+    Texts of fewer than five words are one shingle; texts without words, null among them, are copies of each other.
+    Of rows with equal ids the one with the lesser hash of its text comes first; of exact repetitions one stays, the
+    one whose columns have the least hash. Rows without an id stay as they are. Ids are integers; others raise a
+    TypeError. An empty table gives no rows. Further columns come along unread, whatever their names."""
+    common.need_integers(docs, id_col)
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_h", F.xxhash64(names[text_col]))
+    key = F.col(names[id_col])
+    texts = own.where(key.isNotNull()).select(key.cast("long").alias("id"), F.col("_h").alias("h"), F.col(names[text_col]).alias("text"))
+    prints = common.materialize(texts.mapInArrow(_filed, "id long, h long, digest binary, fp binary, keys array<long>"), "simhash")
+    classes = prints.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    classes = common.materialize(classes.select(F.xxhash64("digest").alias("node"), "least.id", "least.h", "fp", "keys"), "simhash-classes")
+    near = _near(classes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, WORDS)
+    groups = common.materialize(common.components(near, "simhash-groups").join(classes.select("node", "id", "h"), "node"), "simhash-groups")
+    gone = common.materialize(_dropped(groups, texts), "simhash-gone")
+    keep = common.materialize(classes.join(gone, "node", "left_anti").select(F.col("id").alias("_id"), F.col("h").alias("_kept")), "simhash-keep")
+    kept = own.join(keep, (key == F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
+    if prints.groupBy("id", "h").count().where("count > 1").limit(1).count():  # exact repetitions
+        order = Window.partitionBy(names[id_col], "_h").orderBy(F.xxhash64(*names.values()), F.to_json(F.struct(*names.values())))
+        kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    kept = kept.unionByName(own.where(key.isNull()))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
