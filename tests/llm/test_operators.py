@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recallgrid.llm import bpe, html_text, lempel_ziv, linear, mixing, quality, rotation_codes, simhash, substrings, token_files, toxicity
+from recallgrid.llm import bpe, common, html_text, lempel_ziv, linear, mixing, quality, rotation_codes, simhash, substrings, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -145,7 +146,7 @@ def test_simhash(spark, odd, empty, docs):
         for r in got:
             if r.doc_id is not None:
                 assert (int.from_bytes(r.fp, "big"), r.component_id) == (prints[r.doc_id], want[r.doc_id])
-    assert simhash.dedup(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.dedup(empty).count() == 0
 
 
 def test_simhash_blocks_of_hot_keys(spark):
@@ -170,11 +171,59 @@ def test_keep_one_decides_by_shingles(spark):
         rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
         want |= {2 * k} if alike else {2 * k, 2 * k + 1}
     rows += [(1000 + i, " ".join(f"c{j}" for j in range(60 * i, 60 * i + 1000))) for i in range(6)]  # each like the next one only
-    want.add(1000)
+    want |= {1000, 1002, 1004}
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted(want)
 
 
+def shingles(text, width=5):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = WORD.findall(text)
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
+
+
+def alike(a, b):
+    return a == b or (len(a & b) >= 0.8 * len(a | b) if a and b else False)
+
+
+def first_of_each(rows):
+    kept = []
+    for i, t in sorted(rows):
+        s = shingles(t)
+        if not any(alike(s, k) for _, k in kept):
+            kept.append((i, s))
+    return [i for i, _ in kept]
+
+
+@pytest.mark.parametrize("group_rows", [8, 512])
+def test_keep_one_against_brute_force(spark, docs, monkeypatch, group_rows):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+    rng, rows = np.random.default_rng(5), []
+    base = [f"b{k}" for k in range(120)]
+    for i in range(200):  # one large group, in which not all are like each other
+        w = list(base)
+        for k in rng.choice(120, rng.integers(0, 5), replace=False):
+            w[k] = f"x{i}.{k}"
+        rows.append((int(rng.integers(0, 1 << 40)), " ".join(w)))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == first_of_each(rows)
+    if group_rows > 8:
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == first_of_each(rows)
+
+
+def test_keep_one_odd_rows(spark, odd, empty):
+    out = simhash.keep_one(odd)
+    assert out.columns == odd.columns and simhash.keep_one(empty).count() == 0
+    got = [r.doc_id for r in out.collect()]
+    assert sorted(i for i in got if i is not None) == [0, 3, 4, 5, 6, 8, 9] and got.count(None) == 1
+    rows = [(1, "a b c d e f", "x"), (1, "u v w x y z", "x"), (1, "a b c d e f", "y"), (2, "u v w x y z", "x")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, id string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c d e f"), (1, "u v w x y z")]
+    with pytest.raises(TypeError):
+        simhash.keep_one(odd.withColumn("doc_id", F.lit("a")))
+
+
 def test_rotation_codes(spark):
     rng, rows, base = np.random.default_rng(0), [], None
     for i in range(250):
@@ -262,18 +311,53 @@ def test_substrings_odd_rows(odd, empty):
 
 
 # ------------------------------------------------------------------ fingerprints, pages
-def test_lempel_ziv(spark, odd, empty):
-    rows = sorted({(r.doc_id, r.text or "") for r in odd.collect()}, key=lambda r: (r[0] is not None, r[0] or 0))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lempel_ziv.compare(df).collect()}
-    for k, (i, t) in enumerate(rows):
-        new = rows[(k + 1) % len(rows)][1]
-        other = t[: len(t) - len(t) // 2] + new[: len(t) // 2]
-        marks = [lempel_ziv.fingerprint(x) for x in (t, other, new)]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(other.encode()).hexdigest(), lempel_ziv.spell(marks[0]), lempel_ziv.spell(marks[1]))
-        assert (r.near_edited, r.near_next) == (lempel_ziv.likeness(marks[0], marks[1]), lempel_ziv.likeness(marks[0], marks[2]))
+def phrases_of(t):
+    found, a = [], 0
+    met = set()
+    for i in range(1, len(t) + 1):
+        if t[a:i] not in met:
+            met.add(t[a:i])
+            found.append(t[a:i])
+            a = i
+    return found
+
+
+def marks_of(t, size=lempel_ziv.SIZE):
+    """A fingerprint from the phrases one by one."""
+    hashes = set()
+    for p in phrases_of(t):
+        points = np.array([ord(c) for c in p], np.uint32)
+        hashes.add(int(common.span_hashes(points, np.array([0]), np.array([len(p)]))[0] >> np.uint64(32)))
+    return sorted(hashes)[:size]
+
+
+def like(a, b, size=lempel_ziv.SIZE):
+    if not a or not b:
+        return float(a == b)
+    both = sorted({*a, *b})[:size]
+    return len([x for x in both if x in set(a) and x in set(b)]) / len(both)
+
+
+def test_lempel_ziv(spark, odd, empty, docs):
+    given = [(r.doc_id, r.text or "") for r in docs.collect()]
+    for rows in (sorted({(r.doc_id, r.text or "") for r in odd.where("doc_id is not null").collect()}), sorted(given)[:120]):
+        df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+        got = {r.doc_id: r for r in lempel_ziv.compare(df).collect()}
+        for k, (i, t) in enumerate(rows):
+            new = rows[(k + 1) % len(rows)][1]
+            other = t[: len(t) - len(t) // 2] + new[: len(t) // 2]
+            marks = [marks_of(x) for x in (t, other, new)]
+            r = got[i]
+            spelled = ["".join(f"{x:08x}" for x in m) for m in marks]
+            assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(other.encode()).hexdigest(), spelled[0], spelled[1])
+            assert (r.near_edited, r.near_next) == (like(marks[0], marks[1]), like(marks[0], marks[2]))
     assert lempel_ziv.compare(odd).count() == odd.count() and lempel_ziv.compare(empty).count() == 0
+    ghosts = spark.createDataFrame([(None, f"text {i}") for i in range(40)] + [(3, "last")], "doc_id long, text string")
+    got = lempel_ziv.compare(ghosts).collect()
+    assert len(got) == 41 and sum(r.doc_id is None for r in got) == 40
+    assert sorted(r.edited_sha256 for r in got if r.doc_id == 3)[0] in {hashlib.sha256(("la" + f"text {i}"[:2]).encode()).hexdigest() for i in range(40)}
+    with pytest.raises(TypeError):
+        lempel_ziv.compare(odd.withColumn("doc_id", F.lit("a")))
 
 
 def test_lempel_ziv_likeness():
@@ -320,6 +404,35 @@ def test_html_text_keeps_the_article():
         assert html_text.main_text(f"<body><div>{inside}</div><div id='{name}'>{readers}</div></body>") == prose
 
 
+FRAMES = [
+    "<article>{}</article>", "<main><h1>{h}</h1>{}</main>", "<div class='content'>{}</div>", "<div id=main><div class=post-body>{}</div></div>", "<section class='entry'>{}</section>",
+    "<article><div class='article-header'><h1>{h}</h1></div>{}</article>", "<article><header><h1>{h}</h1></header>{}</article>", "<div class='layout has-sidebar'>{}</div>", "<div><div><div>{}</div></div></div>", "<table><tr><td>{}</td></tr></table>",
+]
+AROUND = [
+    ("<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>", "<footer><p>All rights reserved, and so on, by someone.</p></footer>"),
+    ("<div class='site-header'>The site</div><div class=menu><a href=/a>A</a> <a href=/b>B</a></div><div class='cookie-notice'><p>We use cookies, as you know, everywhere.</p></div>", "<aside><p>Beside it, something else, quite short.</p></aside><div id=comments><p>Nice, I agree, with all of it, really.</p></div><div class='ad-banner'>Buy this, now.</div><script>var a='<p>x, y, z</p>'</script>"),
+]
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+@pytest.mark.parametrize("around", AROUND)
+def test_html_text_of_known_pages(frame, around):
+    lines = [f"Sentence {i} of the text, with a comma, & a mark, long enough to be taken for prose." for i in range(6)] + ["A notice of two weeks is due, they said, and no more.", "Short one, here."]
+    inside = "".join(f"<p class='{'notice-period' if i == 6 else 'text'}'>{x.replace('&', '&amp;')}</p>\n" for i, x in enumerate(lines))
+    want = (["The heading"] if "{h}" in frame else []) + lines
+    page = f"<html><head><title>T</title></head><body>{around[0]}{frame.replace('{h}', 'The heading').replace('{}', inside)}{around[1]}</body></html>"
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+def test_html_text_takes_time_by_length():
+    for unit in ("<div>x, y and z", "<div><p>some text, here it is, long enough to count", '<a "', "<li>a", "<b>x</i></u>", "<table><tr><td>"):
+        began = time.process_time()
+        html_text.main_text("<body>" + unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 8, unit
+    kept = "".join(f"<div>line {i}, and more of it, for the sake of length" for i in range(3000))
+    assert html_text.main_text(f"<article>{kept}</article>").count("\n") == 2999
+
+
 # ------------------------------------------------------------------ mixing
 def test_targets():
     got = mixing.targets([("b", 100), ("a", 100), (None, 100), ("c", 1000)])
@@ -332,6 +445,57 @@ def test_permute():
         assert sorted(mixing.permute(np.arange(n), n, 9).tolist()) == list(range(n))
 
 
+def test_unpermute():
+    for n in (1, 2, 7, 100, 1025, (1 << 40) + 3):
+        x = np.unique(np.random.default_rng(n).integers(0, n, 200))
+        assert (mixing.unpermute(mixing.permute(x, n, 9), n, 9) == x).all()
+
+
+def test_targets_are_met_to_the_word_at_every_size():
+    rng, block = np.random.default_rng(2), 128
+    for blocks in (1, 2, 50, 1000, (1 << 22) - 1, (1 << 22) + 50, (1 << 36) + 7):
+        for _ in range(20):
+            size = block * (blocks - 1) + int(rng.integers(1, block + 1))
+            target = int(rng.integers(1, 2 * size + 1))
+            (d,) = mixing.draws([("a", size, float(target))], block, int(rng.integers(0, 99)))
+            whole, rest = divmod(d.slots, d.blocks)
+            assert 0 < d.last <= block and whole <= 2
+            words = whole * size + rest * block
+            if blocks > 1 << 20:  # the short block is looked for by the inverse alone
+                continue
+            seed = [s for s in range(99) if mixing.draws([("a", size, float(target))], block, s) == [d]]
+            full = [size - block * (blocks - 1) if mixing.permute(np.arange(blocks), blocks, mixing._key(seed[0], 0, t))[k] == blocks - 1 else block for t in range(whole + (rest > 0)) for k in range(blocks if t < whole else rest)]
+            assert sum(full[:-1]) + d.last == target, (blocks, size, target, words)
+
+
+def test_slots_hold_the_target_beyond_four_million_blocks():
+    block, blocks, target = 128, (1 << 22) + 50, 483_189_499
+    size = block * blocks - 91
+    (d,) = mixing.draws([("a", size, float(target))], block, 17)
+    index = mixing.permute(np.arange(d.slots), blocks, mixing._key(17, 0, 0))
+    words = np.where(index == blocks - 1, size - block * (blocks - 1), block)
+    assert words[:-1].sum() + d.last == target
+
+
+def test_hypergeometric_beyond_the_library():
+    good, bad, take = 6 * 10**9, 4 * 10**9, 5 * 10**9
+    rng = np.random.default_rng(1)
+    got = np.array([mixing.hypergeometric(rng, good, bad, take) for _ in range(400)], float)
+    mean, deviation = take * 0.6, (take * 0.24 * 0.5) ** 0.5
+    assert abs(got.mean() - mean) < 4 * deviation / 20 and 0.9 < got.std() / deviation < 1.1
+    small = [mixing.hypergeometric(np.random.default_rng(k), 30, 70, 20) for k in range(50)]
+    big, mixing._LIBRARY = mixing._LIBRARY, 0
+    try:
+        inverted = [mixing.hypergeometric(np.random.default_rng(k), 30, 70, 20) for k in range(2000)]
+    finally:
+        mixing._LIBRARY = big
+    assert abs(np.mean(inverted) - 6) < 0.2 and abs(np.mean(small) - 6) < 1.5
+    totals = np.array([3 * 10**12, 0, 10**12])
+    first, counts = mixing.shard_counts(totals, 10**9, 4000, 123_456_789, 5)
+    after, _ = mixing.shard_counts(totals, 10**9, 4000, 123_456_790, 5)
+    assert counts.sum() == 4000 and (first + counts == after).all() and abs(counts[0] - 3000) < 200
+
+
 def test_shards_add_up():
     totals, per = np.array([7, 0, 50, 23]), 9
     parts = [mixing.shard_counts(totals, 9, per, k, 3) for k in range(9)]
@@ -342,6 +506,16 @@ def test_shards_add_up():
         at = at + c
 
 
+def test_mixing_clashing_names_and_repeated_rows(spark):
+    rows = [(str(i % 7), f"w{i % 7} " * (20 + i % 7), "s", i, i, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, a int, b int, pass string")
+    mix = mixing.Mix(df, block_words=16)
+    got = mix.counts().collect()
+    assert len(got) == 40 and abs(sum(r.taken for r in got) - got[0].target) <= 0.5 and all(r.taken <= 2 * r.size for r in got)
+    out = mix.documents()
+    assert out.columns == df.columns and abs(sum(len(r.text.split()) for r in out.collect()) - got[0].target) <= 0.5
+
+
 def test_mixing(odd, empty, docs):
     for df in (odd, docs):
         size = [(r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in df.collect()]
@@ -391,6 +565,76 @@ def test_toxicity_pairing_spares_neutral_mentions(spark):
     assert toxicity.train(docs, labels.limit(0)).features.size == 0
 
 
+@pytest.mark.parametrize("term", ["muslims", "ausländer", "réfugiés", "judíos"])
+def test_toxicity_spares_neutral_mentions_in_each_language(spark, term):
+    rng = np.random.default_rng(6)
+    words, rows, labels = [f"w{i}" for i in range(200)], [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        text = [*rng.choice(words, 12), *([str(rng.choice(["abschaum", "racaille", "escoria"]))] if bad else [])]
+        rows.append((f"d{i}", " ".join([*text, *([term] if rng.random() < (0.7 if bad else 0.05) else [])])))
+        labels.append((f"d{i}", int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(labels, "doc_id string, toxic int")
+    neutral = pa.array([f"{a} {term} {b}" for a, b in zip(words[::2], words[1::2], strict=True)])
+    plain = toxicity.scores_of(neutral, toxicity.train(docs, labels, pairing=0.0))
+    spared = toxicity.scores_of(neutral, toxicity.train(docs, labels, pairing=10.0))
+    assert (spared >= 0.5).sum() == 0 and spared.mean() < plain.mean()
+
+
+def test_toxicity_scores_against_brute_force(docs, spark, data):
+    model = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    lower = lambda b: bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    plain = lambda c: c >= 128 or 97 <= c <= 122 or 48 <= c <= 57
+    h = lambda b: common.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))
+    for r in docs.limit(60).collect():
+        found = set()
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", lower((r.text or "").encode())):
+            inside = [k for k, c in enumerate(w) if plain(c)]
+            if inside:
+                w = w[inside[0] : inside[-1] + 1]
+                found.add(int(h(w)[0] % np.uint64(toxicity.BUCKETS)))
+                found |= {int(common.mix(h(w[:k]) ^ np.uint64(0x5BD1E995 * k))[0] % np.uint64(toxicity.BUCKETS)) for k in toxicity.STARTS if len(w) > k}
+        want = 1 / (1 + np.exp(-(model.bias + sum(weight.get(x, 0.0) for x in found))))
+        assert abs(toxicity.scores_of(pa.array([r.text]), model)[0] - want) < 1e-9
+
+
+def test_quality_measures_against_brute_force(docs):
+    for r in docs.collect():
+        t = r.text or ""
+        data, w = t.encode(), re.findall(rb"[^\x20\x09-\x0D]+", t.encode())
+        n, lines = len(w), data.split(b"\n")
+        lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+        marks = set(range(33, 127)) - {ord(c) for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+        count = collections.Counter(w)
+        capitals, small = sum(65 <= c <= 90 for c in data), sum(97 <= c <= 122 for c in data)
+        want = {
+            "same_as_previous": sum(a == b for a, b in zip(w, w[1:])) / max(n, 1),
+            "top_word": max(count.values()) / n if n >= 20 else 0,
+            "symbol_words": sum(len(x) > 2 and x[-1] in b"!#$%&*" and x[-2] in b"!#$%&*" for x in w) / max(n, 1),
+            "bars": sum(len(x) == 1 and x[0] in marks for x in w) / max(n, 1),
+            "capitals": capitals / max(capitals + small, 1),
+            "marks": sum(c in marks for c in data) / max(len(data), 1),
+            "digits": sum(48 <= c <= 57 for c in data) / max(len(data), 1),
+            "same_lines": (len(lines) - len(set(lines))) / len(lines) if len(lines) >= 6 else 0,
+            "few_distinct": 1 - min(1, len(count) / n**0.8 / 1.2) if n >= 30 else 0,
+        }
+        assert np.allclose(quality.measures(pa.array([r.text]))[0], [want[k] for k in quality.LABELLERS], atol=1e-12), r.doc_id
+
+
+def test_quality_scorer_sees_the_text(spark):
+    """Documents that no labeller votes on but for their words: the scorer learns the words that go with bad votes."""
+    rng = np.random.default_rng(3)
+    good, bad = [f"alpha{i} beta{i}" for i in range(300)], [f"omega{i} zeta{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(good, 40))) for i in range(300)] + [(1000 + i, " ".join(f"{x}%%%" for x in rng.choice(bad, 40))) for i in range(150)]
+    texts = spark.createDataFrame([*rows, (5000, " ".join(rng.choice(bad, 40))), (5001, " ".join(rng.choice(good, 40)))], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.score(texts).collect()}
+    assert got[5000].votes == got[5001].votes and got[5000].score < got[5001].score
+    a, b, row, feature = next(quality.features(pa.array(["Abc abc A1! abc", None])))
+    lower, shapes, pieces = {"abc", "a1!"}, {"Aa", "a", "A0!"}, {"abc", "a1!"}
+    assert (a, b) == (0, 2) and set(row.tolist()) == {0} and len(feature) >= len(lower) + len(shapes) + len(pieces)
+
+
 def test_toxicity_held_out(spark, docs, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -404,6 +648,7 @@ def test_quality(spark, odd, empty):
     got = quality.score(docs).join(labels, "doc_id").collect()
     assert sum(r.kept == (r.quality == 1) for r in got) >= 0.97 * len(got)
     assert all(r.kept for r in got if r.quality == 1)
+    assert quality.score(odd.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == odd.count()
     assert quality.score(odd).count() == odd.count() and quality.score(empty).count() == 0
 
 
