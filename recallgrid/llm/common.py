@@ -26,11 +26,14 @@ STEP_BYTES = 1 << 19
 
 # ---------------------------------------------------------------- shared scratch space
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session whose executors
+    are in the driver, as in tests, gets one made here, and any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='recallgrid-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -167,15 +170,18 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n, tables = max(n, 2 * STEP_BYTES), []
-        with np.errstate(over="ignore"):
-            for b in (_BASE, _BASE_INVERSE):
-                steps_ = np.full(n, b, np.uint64)
-                steps_[0] = 1
-                tables.append(np.multiply.accumulate(steps_))
+    """Powers of the base and of its inverse, n at least. Those that steps need are kept; a longer text gets its own."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    size, tables = max(n, 2 * STEP_BYTES), []
+    with np.errstate(over="ignore"):
+        for b in (_BASE, _BASE_INVERSE):
+            steps_ = np.full(size, b, np.uint64)
+            steps_[0] = 1
+            tables.append(np.multiply.accumulate(steps_))
+    if size == 2 * STEP_BYTES:
         _powers[:] = tables
-    return _powers
+    return tables
 
 
 def mix(h: np.ndarray) -> np.ndarray:
