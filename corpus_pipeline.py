@@ -15,28 +15,36 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier trained on the labelled ones scores below 0.5."""
+    """Documents that a classifier trained on the labelled ones scores below 0.5. Null and empty texts score by the share
+    of toxic labels; repeated rows go or stay together; further columns stay, whatever their names."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    out = "_toxicity"
+    while out in docs.columns:
+        out += "_"
+    return toxicity.score(docs, model, out=out).where(F.col(out) < 0.5).drop(out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one with the least id. Texts without words are copies of each
+    other; rows without an id stay."""
     return simhash.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has."""
+    """Documents without the passages that an earlier one has; a document that loses all its words stays, empty. Rows
+    without an id come first."""
     return substrings.cleaned(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of documents, so often and so many that sources have their target sizes."""
+    """Runs of documents, so often and so many that sources have their target sizes. Texts without words are never
+    taken; a null source is a source; exact repetitions are rows like any other."""
     return mixing.Mix(docs).documents()
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens) of each run. Workers keep small tables, as they have served other stages too."""
+    """(doc_id, ids, n_tokens) of each run; null and empty texts have no ids. Workers keep small tables, as they have
+    served other stages too."""
     ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, states=25_000, pieces=60_000)
     return ids.withColumn("n_tokens", F.size("ids"))
 
