@@ -8,7 +8,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # English words that the tokenizer leaves out.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "to", "of", "in", "for",
+    "on", "with", "at", "by", "from", "as", "into", "through", "during",
+    "before", "after", "above", "below", "between", "and", "but", "or",
+    "not", "no", "nor", "so", "yet", "both", "either", "neither", "this",
+    "that", "these", "those", "it", "its", "i", "me", "my", "we", "our",
+    "you", "your", "he", "him", "his", "she", "her", "they", "them",
+    "their", "us", "whom", "what", "which", "who", "when", "where",
+    "why", "how", "about", "against", "up", "down", "out", "off", "over",
+    "under", "again", "then", "once", "here", "there", "all", "each",
+    "few", "more", "most", "other", "some", "such", "only", "same",
+    "than", "too", "very", "just", "if", "s", "t",
+    "don", "doesn", "didn", "won", "wouldn", "couldn", "shouldn",
+    "hasn", "hadn", "isn", "aren", "wasn", "weren",
+)
+
+# Chinese words that the tokenizer leaves out.
+STOPWORDS_ZH = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "都",
+    "一", "一個", "上", "也", "很", "到", "要", "去", "你",
+    "會", "著", "沒有", "看", "好", "自己", "這", "他", "她",
+    "嗎", "吧", "呢", "啊", "喔", "欸", "那", "什麼",
+    "人", "說", "們", "把", "被", "讓", "給",
+    "可以", "因為", "所以", "但是", "如果", "然後", "現在",
+    "這個", "那個", "這樣", "那樣", "一些", "這些", "那些",
+    "已經", "還是", "只是", "其實",
+)
+
+#: Han characters; no segmenter is at hand, so runs of them are read as their overlapping pairs.
+HAN = "[一-鿿]"
 
 # Canonical predicates and their aliases.
 PREDICATES = (
@@ -48,10 +79,39 @@ INJECTIONS = {
 }
 
 
+def stem(word: Column) -> Column:
+    """A light stem: plural endings, then -ing and -ed after three letters or more."""
+    w = F.regexp_replace(word, "^([a-z]{2,})ies$", "$1y")
+    w = F.regexp_replace(w, "^([a-z]{2,}[^su])s$", "$1")
+    return F.regexp_replace(w, "^([a-z]{3,})(?:ing|ed)$", "$1")
+
+
+def han_pairs(text: Column) -> Column:
+    """The pairs of neighbouring Han characters that aren't stop words, in order; a lone character counts by itself."""
+    runs = F.regexp_extract_all(text, F.lit(f"({HAN}+)"), F.lit(1))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))))
+    return F.filter(pairs, lambda x: ~x.isin(*STOPWORDS_ZH))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case Latin words of two letters or more that aren't stop words."""
+    """Lower-case Latin words of two letters or more that aren't stop words, stemmed, and Han pairs."""
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
-    return F.filter(found, lambda x: (F.length(x) > 1) & ~x.isin(*STOPWORDS))
+    latin = F.transform(F.filter(found, lambda x: (F.length(x) > 1) & ~x.isin(*STOPWORDS)), stem)
+    return F.when(F.rlike(text, F.lit(HAN)), F.concat(han_pairs(text), latin)).otherwise(latin)
+
+
+def query_tokens(text: Column) -> Column:
+    """A query's tokens, each once, in order: Latin words keep stop words and endings."""
+    found = F.filter(F.regexp_extract_all(F.lower(F.trim(text)), F.lit("([a-z0-9_]+)"), F.lit(1)), lambda x: F.length(x) > 1)
+    return F.array_distinct(F.when(F.rlike(text, F.lit(HAN)), F.concat(han_pairs(text), found)).otherwise(found))
+
+
+def keywords(text: Column) -> Column:
+    """Up to eight: Han pairs, and Latin words of three letters or more, stop words left out."""
+    found = F.regexp_extract_all(text, F.lit(r"([a-zA-Z0-9][a-zA-Z0-9_\-.]*)"), F.lit(1))
+    latin = F.filter(found, lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*STOPWORDS))
+    first = F.filter(latin, lambda x, i: ~F.exists(F.slice(latin, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    return F.slice(F.when(F.rlike(text, F.lit(HAN)), F.array_distinct(F.concat(han_pairs(text), first))).otherwise(first), 1, 8)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -127,7 +187,48 @@ def canonical_predicate(predicate: Column) -> Column:
 
 
 def normal_name(name: Column) -> Column:
-    """An entity's name for comparing: white space collapsed, Latin lower-cased, closing marks dropped."""
+    """An entity's name for comparing: white space collapsed, Latin lower-cased, closing marks dropped. Names are taken to
+    be in composed form already; sources.tables.composed() brings others there."""
     n = F.trim(F.regexp_replace(name, r"\s+", " "))
-    n = F.when(F.rlike(n, F.lit("[一-鿿]")), n).otherwise(F.lower(n))
+    n = F.when(F.rlike(n, F.lit(HAN)), n).otherwise(F.lower(n))
     return F.regexp_replace(n, r"[.,;:!?]+$", "")
+
+
+def outermost_json(body: Column) -> Column:
+    """The outermost braces of a text, fences and words around them dropped."""
+    return F.regexp_extract(F.regexp_replace(body, "```(?:json)?", ""), r"(?s)(\{.*\})", 1)
+
+
+# Patterns of texts that claim an authority or a role, hide orders in comments, or date them.
+_MONTH = "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
+PROVENANCE = (
+    ("authority", 0.85, r"(?i)(?:speaking\s+as\s+(your\s+)?(creator|developer|administrator|owner|maintainer)|in\s+my\s+capacity\s+as\s+(admin|administrator|system|owner)|as\s+(your\s+)?(creator|developer|god|master|owner)|with\s+(elevated|admin|root|system)\s+(permissions?|access|rights?)|i\s+have\s+(admin|root|system|elevated)\s+(access|rights?|permissions?)|authorized\s+by\s+(system|admin|creator|anthropic|openai)|on\s+behalf\s+of\s+(system|admin|anthropic|openai|the\s+creator))"),
+    ("role", 0.75, r"(?i)(?:\bi\s+am\s+(a\s+)?(language\s+model|llm|ai\s+assistant|gpt|claude|gemini|the\s+system)|as\s+an\s+ai\s*(,|language\s+model|assistant|system)|my\s+(primary\s+)?(instructions?|directives?|goals?|purpose)\s+(are|is)\s+to|i\s+(was\s+)?programmed\s+to|my\s+training\s+(data\s+)?(includes?|says?|tells?))"),
+    ("comment", 0.90, r"(?is)<!--.*?(?:instruct|command|directive|ignore|override|system|you\s+must|always|never|do\s+not).*?-->"),
+    ("temporal", 0.70, rf"(?i)(?:as\s+of\s+{_MONTH}\s+\d{{4}},?\s+(?:the\s+)?(?:new\s+)?(?:instructions?|rules?|guidelines?|policies?)|effective\s+(?:from\s+)?{_MONTH}\s+\d{{4}}[,\s]+(?:you\s+(?:must|should|will|are)|all\s+(?:responses?|outputs?))|updated?\s+(?:on\s+)?{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}[,\s]+(?:new\s+)?(?:instructions?|rules?|guidelines?|behavior))"),
+)
+BASE64 = "[A-Za-z0-9+/]{50,}={0,2}"
+DECODED = "(?i)(ignore|override|system|instruction|you\\s+are|act\\s+as)"
+
+
+def base64_payload(text: Column) -> Column:
+    """A long base64 run that decodes to steering words, or to bytes that aren't text."""
+    runs = F.regexp_extract_all(text, F.lit(f"({BASE64})"), F.lit(1))
+
+    def payload(run: Column) -> Column:
+        plain = F.rtrim(run, F.lit("="))
+        whole = F.substr(plain, F.lit(1), (F.length(plain) - F.when(F.length(plain) % 4 == 1, 1).otherwise(0)).cast("int"))
+        data = F.try_to_binary(F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), "="), F.lit("base64"))
+        read = F.try_validate_utf8(data.cast("string"))
+        return F.when(F.length(plain) % 4 == 1, False).when(read.isNotNull(), F.rlike(read, F.lit(DECODED))).otherwise(F.length(data) > 20)
+
+    return F.exists(runs, payload)
+
+
+def provenance_signal(text: Column) -> Column:
+    """(kind, severity) of the first signal that a text gives, or null."""
+    out = None
+    for name, severity, pattern in PROVENANCE:
+        value = F.struct(F.lit(name).alias("kind"), F.lit(severity).alias("severity"))
+        out = F.when(F.rlike(text, F.lit(pattern)), value) if out is None else out.when(F.rlike(text, F.lit(pattern)), value)
+    return out.when(base64_payload(text), F.struct(F.lit("base64").alias("kind"), F.lit(0.80).alias("severity")))

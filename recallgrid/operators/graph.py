@@ -11,17 +11,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder, so an iteration doesn't carry those before, and a lost
-    executor costs only its own tasks. The folder goes when the driver ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder. Where that is unset, a session whose executors are in the driver, as in
+    tests, gets a folder made here, and any other an error. What is there goes when the driver ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:  # as in tests
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='recallgrid-')}"
         spark.sparkContext.setCheckpointDir(shared)
-    path = f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder, so an iteration doesn't carry those before, and a lost
+    executor costs only its own tasks."""
+    spark = df.sparkSession
+    path = shared_path(spark, "graph")
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

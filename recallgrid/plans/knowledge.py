@@ -319,13 +319,6 @@ def fold_ids(spark, d):
     return blocks(spark, d).groupBy("session").agg(F.substring(F.sha2(ids, 256), 1, 16).alias("fold_id"))
 
 
-@query("burst_access", f"""WITH {JOURNAL_SQL}, h AS (SELECT session, date_trunc('hour', ts) AS hour, COUNT(*) AS n FROM journal GROUP BY 1, 2)
-  SELECT session, hour, n, ROUND(least(0.9, 0.3 + 0.12 * n / 2.0), 6) AS severity FROM h WHERE n > 2""")
-def burst_access(spark, d):
-    h = journal(spark, d).groupBy("session", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n")).where("n > 2")
-    return h.select("session", "hour", "n", F.round(F.least(F.lit(0.9), 0.3 + 0.12 * F.col("n") / 2.0), 6).alias("severity"))
-
-
 @query("valid_fact_count", f"WITH {TRIPLES_SQL} SELECT predicate, COUNT(*) AS n FROM triples WHERE NOT is_deleted AND NOT is_invalid GROUP BY 1")
 def valid_fact_count(spark, d):
     return valid(triples(spark, d)).groupBy("predicate").agg(F.count("*").alias("n"))

@@ -64,16 +64,6 @@ def upsert_edges(spark, d):
     return ops.upsert(count("A"), count("R"), ["subject", "object"])
 
 
-@query(
-    "batch_insert_dedup",
-    f"""WITH {TRIPLES_SQL}, firsts AS (SELECT subject, predicate, object, MIN(id) AS id FROM triples GROUP BY 1, 2, 3)
-  SELECT id, subject, predicate, object FROM firsts""",
-)
-def batch_insert_dedup(spark, d):
-    rows = triples(spark, d).select("id", "subject", "predicate", "object")
-    return ops.insert_missing(rows.limit(0), rows, ["subject", "predicate", "object"], [F.col("id")])
-
-
 @query("content_hash", f"WITH {BLOCKS_SQL} SELECT id, substr(sha256(content), 1, 16) AS content_hash FROM blocks")
 def content_hash(spark, d):
     return blocks(spark, d).select("id", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"))
@@ -95,58 +85,21 @@ def substring_search(spark, d):
     return live(blocks(spark, d)).where(F.ilike("content", F.lit("%worthless%"))).select("id")
 
 
-@query("multi_term_search", f"WITH {BLOCKS_SQL} SELECT id FROM blocks WHERE contains(lower(content), 'the') AND contains(lower(content), 'license')")
-def multi_term_search(spark, d):
-    return blocks(spark, d).where(text.contains_all(F.col("content"), ["the", "License"])).select("id")
-
-
 @query("keyword_expanded_search", f"WITH {BLOCKS_SQL} SELECT id FROM blocks WHERE contains(lower(content), 'license') OR contains(lower(content), 'copyright')")
 def keyword_expanded_search(spark, d):
     return blocks(spark, d).where(text.contains_any(F.col("content"), ["license", "copyright"])).select("id")
 
 
-@query("scope_filter", f"WITH {BLOCKS_SQL} SELECT id FROM blocks WHERE session = 'src1' AND block_type = 'attitude' AND NOT is_deleted")
-def scope_filter(spark, d):
-    kinds = {"session": "session", "type": "block_type"}
-    rows = live(blocks(spark, d))
-    for scope in "session:src1,type:attitude".split(","):
-        kind, _, value = scope.partition(":")
-        rows = rows.where(F.col(kinds[kind]) == value)
-    return rows.select("id")
-
-
 @query("tier_of_blocks", f"WITH {BLOCKS_SQL} SELECT CASE WHEN age_days <= 14 THEN 'hot' WHEN age_days <= 180 THEN 'warm' WHEN age_days <= 1095 THEN 'cold' ELSE 'frozen' END AS tier, COUNT(*) AS n FROM blocks WHERE NOT is_deleted GROUP BY 1")
 def tier_of_blocks(spark, d):
     return live(blocks(spark, d)).groupBy(tier(F.col("age_days")).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("noise_check")
-def noise_check(spark, d):
-    return raw(spark, d, "conversations").select("conv_id", "turn", text.noise_reason(F.col("text")).alias("reason"))
-
-
-@query("injection_check")
-def injection_check(spark, d):
-    return raw(spark, d, "pages").select("page_id", text.injection_reason(F.col("html")).alias("reason"), F.md5(text.neutralised(F.col("html"))).alias("neutralised_md5"))
-
-
 @query("separator_flood", "SELECT doc_id, regexp_matches(text, '[-=_*#]{20,}') AS flooded FROM documents")
 def separator_flood(spark, d):
     return raw(spark, d, "documents").select("doc_id", F.rlike("text", F.lit(text.INJECTIONS["separator_flood"])).alias("flooded"))
 
 
-@query(
-    "write_gates",
-    f"""WITH {BLOCKS_SQL} SELECT CASE WHEN length(trim(content)) < 10 THEN 'noise' WHEN regexp_matches(content, '[-=_*#]{{20,}}') THEN 'quarantined' WHEN n > 1 THEN 'duplicate' ELSE 'created' END AS outcome, COUNT(*) AS n
-  FROM (SELECT content, ROW_NUMBER() OVER (PARTITION BY sha256(content) ORDER BY id) AS n FROM blocks) x GROUP BY 1""",
-)
-def write_gates(spark, d):
-    first = F.row_number().over(Window.partitionBy(F.sha2("content", 256)).orderBy("id"))
-    c = F.col("content")
-    outcome = F.when(F.length(F.trim(c)) < 10, "noise").when(F.rlike(c, F.lit(text.INJECTIONS["separator_flood"])), "quarantined").when(F.col("n") > 1, "duplicate").otherwise("created")
-    return blocks(spark, d).select("content", first.alias("n")).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
 @query("triples_with_names", f"WITH {TRIPLES_SQL}, {ENTITIES_SQL} SELECT t.id, s.s_name AS subject_name, e.name AS object_name FROM triples t JOIN supplier s ON t.subject = s.s_suppkey JOIN entities e ON t.object = e.id WHERE NOT t.is_deleted")
 def triples_with_names(spark, d):
     names = raw(spark, d, "supplier").select(F.col("s_suppkey").alias("subject"), F.col("s_name").alias("subject_name"))

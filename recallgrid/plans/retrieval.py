@@ -14,12 +14,13 @@ from recallgrid.schema import live
 from recallgrid.sources.tables import BLOCKS_SQL, FEEDBACK_SQL, blocks, feedback, raw, vectors
 
 TERMS = ["the", "worthless", "license", "thing", "onand"]
-TERMS_SQL = "('worthless', 'license', 'thing', 'onand')"
+TERMS_SQL = "('worthless', 'license', 'thing', 'onand')"  # as they are stemmed
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
+STEM_SQL = "regexp_replace(regexp_replace(regexp_replace({}, '^([a-z]{{2,}})ies$', '\\1y'), '^([a-z]{{2,}}[^su])s$', '\\1'), '^([a-z]{{3,}})(?:ing|ed)$', '\\1')"
 
 #: Postings of the query's terms, document frequencies and BM25 scores of live blocks.
 BM25_SQL = f"""toks AS (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS token FROM blocks WHERE NOT is_deleted),
-  kept AS (SELECT id, token FROM toks WHERE length(token) > 1 AND token NOT IN {STOP_SQL}),
+  kept AS (SELECT id, {STEM_SQL.format("token")} AS token FROM toks WHERE length(token) > 1 AND token NOT IN {STOP_SQL}),
   lens AS (SELECT id, COUNT(*) AS len FROM kept GROUP BY 1),
   tf AS (SELECT id, token, COUNT(*) AS tf FROM kept WHERE token IN {TERMS_SQL} GROUP BY 1, 2),
   df AS (SELECT token, COUNT(*) AS df FROM tf GROUP BY 1), n AS (SELECT COUNT(*) AS n FROM blocks WHERE NOT is_deleted),
@@ -36,8 +37,9 @@ def bm25_search(spark, d):
     return _bm25(spark, d, 20)
 
 
-@query("corpus_idf", f"""WITH toks AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents),
-  df AS (SELECT token, COUNT(*) AS df FROM toks WHERE length(token) > 1 AND token NOT IN {STOP_SQL} GROUP BY 1)
+@query("corpus_idf", f"""WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents),
+  stems AS (SELECT DISTINCT doc_id, {STEM_SQL.format("token")} AS token FROM toks WHERE length(token) > 1 AND token NOT IN {STOP_SQL}),
+  df AS (SELECT token, COUNT(*) AS df FROM stems GROUP BY 1)
   SELECT token, df, ROUND(ln(((SELECT COUNT(*) FROM documents) - df + 0.5) / (df + 0.5) + 1), 4) AS idf FROM df WHERE df >= 5""")
 def corpus_idf(spark, d):
     docs = raw(spark, d, "documents")
@@ -159,44 +161,6 @@ def rerank_gate(spark, d):
     return g.select((~((F.col("n") <= 2) | ((F.col("one") >= 0.55) & (F.col("one") - F.col("two") >= 0.25)) | ((F.col("sd") <= 0.03) & (F.col("m") >= 0.55)))).alias("rerank"))
 
 
-# Words that speak for an intent, in the order that decides ties.
-INTENT_WORDS = {
-    "entity_lookup": r"[A-Z][a-z]+[A-Z][a-z]+|[a-z]+[-_][a-z]+|[A-Z]{2,}",
-    "conceptual": r"(?i)principle|architecture|philosophy|strategy|pattern|approach|design|why|concept|paradigm|framework",
-    "factual": r"(?i)port|password|config|version|path|where|what is the|exactly|[0-9]+\.[0-9]+|[0-9]{4,}|localhost",
-    "exploratory": r"(?i)recently|last week|today|yesterday|latest|learned|summary|overview|review|progress|status",
-    "cross_domain": r"(?i)cross|between|integrate|combine|versus|compare|overlap|bridge",
-}
-
-
-def classify_intent(text_column, words=INTENT_WORDS):
-    """The intent whose words occur most often, if it reaches the threshold for the text's length; else unknown."""
-    n = {k: F.regexp_count(text_column, F.lit(p)) for k, p in words.items()}
-    most = F.greatest(*n.values())
-    out = F.when(0.4 * most < F.least(F.lit(0.6), F.greatest(F.lit(0.25), 0.35 + 0.005 * F.least(F.length(text_column), F.lit(50)))), "unknown")
-    for k, c in n.items():
-        out = out.when(c == most, k)
-    return out
-
-
-@query(
-    "intent_classify",
-    "WITH c AS (SELECT conv_id, turn, length(text) AS len, "
-    + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS n{i}" for i, p in enumerate(INTENT_WORDS.values()))
-    + " FROM conversations WHERE role = 'user'), m AS (SELECT *, greatest(n0, n1, n2, n3, n4) AS most FROM c) SELECT conv_id, turn, CASE WHEN 0.4 * most < least(0.6, greatest(0.25, 0.35 + 0.005 * least(len, 50))) THEN 'unknown' "
-    + " ".join(f"WHEN n{i} = most THEN '{k}'" for i, k in enumerate(INTENT_WORDS))
-    + " END AS intent FROM m",
-)
-def intent_classify(spark, d):
-    return raw(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", classify_intent(F.col("text")).alias("intent"))
-
-
-@query("adaptive_skip", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)remember|recall|earlier|previously') THEN 'search' WHEN length(text) < 10 THEN 'skip' ELSE 'search' END AS decision FROM conversations")
-def adaptive_skip(spark, d):
-    t = F.col("text")
-    return raw(spark, d, "conversations").select("conv_id", "turn", F.when(F.rlike(t, F.lit("(?i)remember|recall|earlier|previously")), "search").when(F.length(t) < 10, "skip").otherwise("search").alias("decision"))
-
-
 @query("fact_decay", "SELECT l_orderkey * 10 + l_linenumber AS id, ROUND(exp(-0.693 * date_diff('day', CAST(l_shipdate AS DATE), DATE '2001-12-01') / 30.0), 6) AS weight FROM lineitem WHERE exp(-0.693 * date_diff('day', CAST(l_shipdate AS DATE), DATE '2001-12-01') / 30.0) >= 0.05")
 def fact_decay(spark, d):
     age = F.datediff(F.lit("2001-12-01").cast("date"), F.to_date("l_shipdate"))

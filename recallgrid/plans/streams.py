@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from recallgrid.operators.graph import shared_path
 from recallgrid.plans.registry import query
 from recallgrid.sources.tables import BLOCKS_SQL, JOURNAL_SQL, blocks
 from recallgrid.streaming import flows
 
 
 def _scratch(spark) -> str:
-    """The folder that driver and executors share, or one of this machine's where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recallgrid-")
-    return f"{shared.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    return shared_path(spark, "streams")
 
 
 def _events(spark, d):

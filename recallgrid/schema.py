@@ -10,7 +10,7 @@ NOW = "2024-02-01 00:00:00"
 
 # Block types, their aliases and the tier bounds in days.
 BLOCK_TYPES = ("knowledge", "attitude", "skill", "general")
-BLOCK_TYPE_ALIASES = {"insight": "knowledge", "technical": "knowledge", "preference": "attitude"}
+BLOCK_TYPE_ALIASES = {"insight": "knowledge", "achievement": "knowledge", "technical": "knowledge", "decision": "knowledge", "skill_knowledge": "knowledge", "pattern": "knowledge", "preference": "attitude"}
 TIER_DAYS = {"hot": 14, "warm": 180, "cold": 1095}
 
 
