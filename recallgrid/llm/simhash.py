@@ -16,13 +16,13 @@ aside and never looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.llm import common
@@ -176,8 +176,8 @@ WIDTH, RADIUS, WORDS = 5, 40, 2
 #: Least hashes in a key, and keys of a text: two texts with a likeness of 0.8 share one with a chance of 0.99996.
 KEY_HASHES, KEYS = 3, 14
 
-#: Texts of a group that are compared in one task.
-GROUP_ROWS = 512
+#: Texts of a group that one task compares, and that larger groups decide on in a round.
+GROUP_ROWS, LEADERS = 512, 64
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -259,15 +259,12 @@ def _filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(_set_digests(hashes, first)), _packed(set_prints(hashes, first)), lists] if n else [*batch.columns[:2], *[pa.array([], pa.binary())] * 2, lists], ["id", "h", "digest", "fp", "keys"])
 
 
-def _compared(batches: Iterable[pa.RecordBatch], decide) -> Iterator[pa.RecordBatch]:
-    """The nodes that decide(rows of a block by id, alike) names; alike(i, j) tells which of rows j have a Jaccard
-    likeness of 0.8 or more with row i, its shingles compared one by one."""
+def _compared(batches: Iterable[pa.RecordBatch], decide: Callable) -> Iterator[pa.RecordBatch]:
+    """The nodes that decide(first and last row of a block, kept, alike) names; alike(i, j) tells which of rows j have a
+    Jaccard likeness of 0.8 or more with row i, their shingles compared one by one."""
     common.claim("simhash")
     for table in common.whole_groups(batches, "block", 1 << 9):
-        block, node = table["block"].to_numpy(), table["node"].to_numpy()
-        again = np.concatenate(([False], (block[1:] == block[:-1]) & (node[1:] == node[:-1])))  # a row that repeats
-        table = table.take(pa.array(np.flatnonzero(~again)))
-        block, node = table["block"].to_numpy(), table["node"].to_numpy()
+        block, node, kept = (table[c].to_numpy() for c in ("block", "node", "kept"))
         hashes, first = shingle_sets(table["text"])
         prints, size = set_prints(hashes, first), np.diff(first)
         code = np.unique(hashes, return_inverse=True)[1]
@@ -289,13 +286,12 @@ def _compared(batches: Iterable[pa.RecordBatch], decide) -> Iterator[pa.RecordBa
 
         named = np.zeros(len(block), bool)
         edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-        columns = {c: table[c].to_numpy() for c in ("side", "within", "kept")}
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            decide(a, b, columns, alike, named)
+            decide(a, b, kept, alike, named)
         yield pa.RecordBatch.from_arrays([pa.array(node[named])], ["node"])
 
 
-def _greedy(a: int, b: int, columns: dict, alike, named: np.ndarray) -> None:
+def _greedy(a: int, b: int, kept: np.ndarray, alike: Callable, named: np.ndarray) -> None:
     """Names the rows that are like an earlier one which isn't named."""
     for i in range(a, b):
         if not named[i]:
@@ -303,46 +299,48 @@ def _greedy(a: int, b: int, columns: dict, alike, named: np.ndarray) -> None:
             named[alike(i, j[~named[j]])] = True
 
 
-def _meet(i: int, j: np.ndarray, columns: dict) -> np.ndarray:
-    return j[columns["within"][i] | (columns["side"][j] != columns["side"][i])]
-
-
-def _blocked(a: int, b: int, columns: dict, alike, named: np.ndarray) -> None:
-    """Names the rows that are like an earlier one."""
-    for i in range(a, b):
-        j = np.arange(i + 1, b)
-        named[alike(i, _meet(i, j[~named[j]], columns))] = True
-
-
-def _covered(a: int, b: int, columns: dict, alike, named: np.ndarray) -> None:
+def _covered(a: int, b: int, kept: np.ndarray, alike: Callable, named: np.ndarray) -> None:
     """Names the rows that are like one which is kept."""
     every = np.arange(a, b)
-    for i in every[columns["kept"][a:b]].tolist():
-        j = every[~named[a:b] & ~columns["kept"][a:b]]
-        named[alike(i, _meet(i, j, columns))] = True
+    for i in every[kept[a:b]].tolist():
+        named[alike(i, every[~named[a:b] & ~kept[a:b]])] = True
 
 
 def _dropped(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node) of the rows of groups (component, node, id, h) that are like a row of smaller (id, h) that stays. A group
-    that one task holds is decided there, in order. Of larger groups, blocks of two chunks are compared, in rounds: a row
-    that isn't like an undecided earlier one stays, and what is like it goes. Both give the same rows."""
-    n, name = common.shuffle_partitions(groups.sparkSession), "simhash-dropped"
-
-    def compare(rows: DataFrame, decide, kept: Column | None = None) -> DataFrame:
-        rows = rows.join(texts, ["id", "h"]).select("block", "node", "id", "h", "side", "within", (F.lit(False) if kept is None else kept).alias("kept"), "text")
-        rows = rows.repartition(n, "block").sortWithinPartitions("block", "id", "h").drop("id", "h")
-        return rows.mapInArrow(lambda batches: _compared(batches, decide), "node long").distinct()
-
-    blocks = common.materialize(common.with_blocks(groups, "component", "node", GROUP_ROWS).select("block", "node", "id", "h", "side", "within", "alone"), name)
-    gone = common.materialize(compare(blocks.where("alone"), _greedy), name)
-    open_ = blocks.where("not alone")
+    """(node) of the rows of groups (component, node, id, h) that are like a row of smaller (id, h) that stays. A group of up
+    to GROUP_ROWS is decided in one task, in order. Of a larger one the first LEADERS undecided rows are decided in a round,
+    and those that stay then meet all other rows, which are dealt in chunks; both ways give the same rows, and no round
+    moves more than the undecided rows and a few texts for each chunk."""
+    spark, name = groups.sparkSession, "simhash-dropped"
+    n = common.shuffle_partitions(spark)
+    # each text that is in a group once; the others are shuffled for this alone
+    held = texts.join(groups.select("node", "id", "h"), ["id", "h"]).groupBy("node").agg(F.first("text").alias("text"))
+    held = common.materialize(held, name)
+
+    def compare(rows: DataFrame, decide: Callable) -> DataFrame:
+        """rows: (block, node, id, h, kept)."""
+        rows = rows.join(held, "node").repartition(n, "block").sortWithinPartitions("block", "id", "h").select("block", "node", "kept", "text")
+        return common.materialize(rows.mapInArrow(lambda batches: _compared(batches, decide), "node long"), name)
+
+    sizes = common.materialize(groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS), name)
+    sizes = F.broadcast(sizes) if sizes.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS else sizes
+    row = ["node", "id", "h"]
+    gone = compare(groups.join(sizes, "component", "left_anti").select(F.col("component").alias("block"), *row, F.lit(False).alias("kept")), _greedy)
+    open_ = common.materialize(groups.join(sizes, "component").select("component", *row, F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("chunks")), name)
     while open_.limit(1).count():
-        held = common.materialize(compare(open_, _blocked), name)
-        stay = common.materialize(open_.select("node").distinct().join(held, "node", "left_anti"), name)
-        marked = open_.join(stay.withColumn("_stays", F.lit(True)), "node", "left")
-        more = common.materialize(compare(marked, _covered, F.coalesce("_stays", F.lit(False))), name)
-        gone = gone.unionByName(more)
-        open_ = common.materialize(open_.join(stay.unionByName(more), "node", "left_anti"), name)
+        part = Window.partitionBy("component", F.pmod(F.xxhash64("node"), F.col("chunks"))).orderBy("id", "h")
+        first = open_.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= LEADERS)  # of each chunk, then of all
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy("component").orderBy("id", "h"))).where(F.col("_n") <= LEADERS).drop("_n")
+        first = common.materialize(first, name)
+        out = compare(first.select(F.col("component").alias("block"), *row, F.lit(False).alias("kept")), _greedy)
+        leaders = first.join(out, "node", "left_anti")
+        rest = open_.join(first.select("node"), "node", "left_anti")
+        spread = leaders.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("kept", F.lit(True))
+        dealt = rest.withColumn("_c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("kept", F.lit(False))
+        met = spread.select("component", "_c", *row, "kept").unionByName(dealt.select("component", "_c", *row, "kept"))
+        covered = compare(met.select(F.xxhash64("component", "_c").alias("block"), *row, "kept"), _covered)
+        gone = gone.unionByName(out).unionByName(covered)
+        open_ = common.materialize(rest.join(covered, "node", "left_anti").select("component", *row, "chunks"), name)
     return gone
 
 
@@ -367,8 +365,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = common.materialize(classes.select(F.xxhash64("digest").alias("node"), "least.id", "least.h", "fp", "keys"), "simhash-classes")
     near = _near(classes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, WORDS)
     groups = common.materialize(common.components(near, "simhash-groups").join(classes.select("node", "id", "h"), "node"), "simhash-groups")
-    gone = common.materialize(_dropped(groups, texts), "simhash-gone")
-    keep = common.materialize(classes.join(gone, "node", "left_anti").select(F.col("id").alias("_id"), F.col("h").alias("_kept")), "simhash-keep")
+    keep = common.materialize(classes.join(_dropped(groups, texts), "node", "left_anti").select(F.col("id").alias("_id"), F.col("h").alias("_kept")), "simhash-keep")
     kept = own.join(keep, (key == F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
     if prints.groupBy("id", "h").count().where("count > 1").limit(1).count():  # exact repetitions
         order = Window.partitionBy(names[id_col], "_h").orderBy(F.xxhash64(*names.values()), F.to_json(F.struct(*names.values())))

@@ -198,6 +198,7 @@ def first_of_each(rows):
 @pytest.mark.parametrize("group_rows", [8, 512])
 def test_keep_one_against_brute_force(spark, docs, monkeypatch, group_rows):
     monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(simhash, "LEADERS", max(4, group_rows // 4))
     rng, rows = np.random.default_rng(5), []
     base = [f"b{k}" for k in range(120)]
     for i in range(200):  # one large group, in which not all are like each other
