@@ -17,6 +17,9 @@ INTENT_WEIGHTS = {
     "cross_domain": (0.1, 0.4, 0.2, 0.15),
 }
 
+#: Weights where no intent is known.
+DEFAULT_WEIGHTS = (0.15, 0.3, 0.2, 0.15)
+
 #: The scoring stages in their order; the last three drop rows or depend on the others' scores.
 STAGES = ("recency", "importance", "trust_boost", "feedback_boost", "length_norm", "time_decay", "ppr_boost", "semantic_boost", "min_score", "noise_filter", "pairwise_dedup")
 
@@ -78,6 +81,14 @@ def time_decay(age: Column, confidence: Column, accesses: Column) -> Column:
     return F.when(c >= 0.8, of("core")).when(c >= 0.5, of("hot")).when(c >= 0.3, of("warm")).otherwise(of("cold"))
 
 
+def ppr_boost(ppr: Column) -> Column:
+    return 1 + 0.3 * ppr
+
+
+def semantic_boost(likeness: Column, weight: float) -> Column:
+    return 1 + weight * F.greatest(F.lit(0.0), likeness)
+
+
 def bm25(tf: Column, length: Column, mean_length: float | Column, idf: Column, k1: float = 1.5, b: float = 0.75) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length)) * idf
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions import scores, text
+from recallgrid.operators import graph
+
+
+BUCKETS = 64
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -16,6 +21,44 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") ->
     return found.groupBy("id", "token", "length").agg(F.count("*").alias("tf"))
 
 
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % BUCKETS
+
+
+class Index:
+    """Postings of a table of documents, written once by buckets of tokens, and the number of documents. A search reads
+    the buckets of its tokens and, by the order within them, little else."""
+
+    _known: dict[tuple, Index] = {}
+
+    def __init__(self, spark: SparkSession, docs: DataFrame) -> None:
+        self.spark, self.path = spark, graph.shared_path(spark, "postings")
+        found = postings(docs).withColumn("bucket", (F.crc32("token") % BUCKETS).cast("int"))
+        found.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(self.path)
+        docs.agg(F.count("*").alias("n")).write.parquet(f"{self.path}-size")
+
+    @classmethod
+    def of(cls, spark: SparkSession, name: str, docs: DataFrame) -> Index:
+        """The index that goes by this name in this application; built where there is none yet."""
+        key = (spark.sparkContext.applicationId, name)
+        if key not in cls._known:
+            cls._known[key] = cls(spark, docs)
+        return cls._known[key]
+
+    def size(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}-size")
+
+    def read(self, terms: list[str]) -> DataFrame:
+        return self.spark.read.parquet(self.path).where(F.col("bucket").isin(*sorted({bucket(t) for t in terms})) & F.col("token").isin(*terms))
+
+    def search(self, terms: list[str], k: int, mean_length: float = 80.0) -> DataFrame:
+        """(id, score): the k best by BM25."""
+        hits = self.read(terms)
+        df = hits.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.size()))  # one row
+        score = F.sum(scores.bm25(F.col("tf"), F.col("length"), mean_length, idf(F.col("n"), F.col("df"))))
+        return hits.join(F.broadcast(df), "token").groupBy("id").agg(F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def idf(documents: Column, holding: Column) -> Column:
     return F.log((documents - holding + 0.5) / (holding + 0.5) + 1)
 

@@ -106,30 +106,12 @@ def triples_with_names(spark, d):
     return live(triples(spark, d)).join(names, "subject").join(entities(spark, d).select(F.col("id").alias("object"), F.col("name").alias("object_name")), "object").select("id", "subject_name", "object_name")
 
 
-@query("unused_entities", f"WITH {TRIPLES_SQL}, {ENTITIES_SQL} SELECT e.id FROM entities e LEFT JOIN (SELECT DISTINCT object FROM triples WHERE predicate = 'R' AND NOT is_invalid) t ON e.id = t.object WHERE t.object IS NULL")
-def unused_entities(spark, d):
-    used = triples(spark, d).where("predicate = 'R' and not is_invalid").select(F.col("object").alias("id"))
-    return entities(spark, d).select("id").join(used, "id", "left_anti")
-
-
 @query("session_bridge", "SELECT o.o_custkey AS customer, COUNT(DISTINCT l.l_suppkey) AS suppliers, COUNT(DISTINCT l.l_partkey) AS parts FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1")
 def session_bridge(spark, d):
     line = triples(spark, d).select("session", "subject", "object")
     return raw(spark, d, "orders").select(F.col("o_orderkey").alias("session"), F.col("o_custkey").alias("customer")).join(line, "session").groupBy("customer").agg(F.countDistinct("subject").alias("suppliers"), F.countDistinct("object").alias("parts"))
 
 
-@query("tag_overlap", f"""WITH {BLOCKS_SQL} SELECT a.id AS id, COUNT(*) AS both FROM blocks a JOIN (SELECT lang, session, COUNT(*) AS n FROM blocks GROUP BY 1, 2) b ON a.lang = b.lang AND a.session = b.session WHERE b.n > 1 GROUP BY 1""")
-def tag_overlap(spark, d):
-    groups = blocks(spark, d).groupBy("lang", "session").agg(F.count("*").alias("n")).where("n > 1")
-    return blocks(spark, d).join(groups, ["lang", "session"]).groupBy("id").agg(F.count("*").alias("both"))
-
-
-@query("sessions", "SELECT conv_id AS session, COUNT(*) AS n, MIN(turn) AS first_turn, MAX(turn) AS last_turn, COUNT(DISTINCT role) AS roles FROM conversations GROUP BY 1 ORDER BY n DESC, session LIMIT 50")
-def sessions(spark, d):
-    found = raw(spark, d, "conversations").groupBy(F.col("conv_id").alias("session")).agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.countDistinct("role").alias("roles"))
-    return ops.page(found, [F.desc("n"), F.col("session")], 1, 50)
-
-
 @query("count_by_type", f"WITH {BLOCKS_SQL} SELECT block_type, COUNT(*) AS n FROM blocks WHERE NOT is_deleted GROUP BY 1")
 def count_by_type(spark, d):
     return live(blocks(spark, d)).groupBy("block_type").agg(F.count("*").alias("n"))
@@ -140,32 +122,6 @@ def tag_sync(spark, d):
     return blocks(spark, d).select(F.explode("tags").alias("name")).groupBy("name").agg(F.count("*").alias("usage_count"))
 
 
-@query("top_entities", f"WITH {JOURNAL_SQL} SELECT entity_id, COUNT(*) AS n FROM journal GROUP BY 1 ORDER BY n DESC, entity_id LIMIT 20")
-def top_entities(spark, d):
-    return journal(spark, d).groupBy("entity_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_id").limit(20)
-
-
-@query(
-    "attention_buckets",
-    f"""WITH {JOURNAL_SQL} SELECT entity_id, CASE WHEN last >= TIMESTAMP '2024-01-25 00:00:00' THEN 'active' WHEN last >= TIMESTAMP '2024-01-02 00:00:00' THEN 'historical' ELSE 'fading' END AS attention
-  FROM (SELECT entity_id, MAX(ts) AS last FROM journal WHERE session < 40 GROUP BY 1) x""",
-)
-def attention_buckets(spark, d):
-    return _attention(journal(spark, d).where("session < 40"))
-
-
-@query("attention_buckets_whole")
-def attention_buckets_whole(spark, d):
-    """Of all sessions; attention_buckets has those of its SQL."""
-    return _attention(journal(spark, d))
-
-
-def _attention(rows):
-    last = rows.groupBy("entity_id").agg(F.max("ts").alias("last"))
-    since = lambda t: F.col("last") >= F.expr(f"timestamp_ntz'{t}'")
-    return last.select("entity_id", F.when(since("2024-01-25 00:00:00"), "active").when(since("2024-01-02 00:00:00"), "historical").otherwise("fading").alias("attention"))
-
-
 @query("daily_quality", f"WITH {JOURNAL_SQL} SELECT CAST(ts AS DATE) AS day, COUNT(*) AS volume, ROUND(AVG(score), 3) AS quality FROM journal GROUP BY 1")
 def daily_quality(spark, d):
     return journal(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("volume"), F.round(F.avg("score"), 3).alias("quality"))
@@ -214,73 +170,22 @@ def scale_class(spark, d):
     return total.select("chars", F.when(n < 200_000, "micro").when(n < 2_000_000, "small").when(n < 50_000_000, "medium").otherwise("large").alias("scale"))
 
 
-@query("entity_stats", f"WITH {ENTITIES_SQL} SELECT entity_type, COUNT(*) AS n, COUNT(DISTINCT alias) AS aliases, ROUND(AVG(merge_count), 6) AS mean_merges FROM entities GROUP BY 1")
-def entity_stats(spark, d):
-    return entities(spark, d).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("alias").alias("aliases"), F.round(F.avg("merge_count"), 6).alias("mean_merges"))
-
-
 @query("percentile_thresholds", "SELECT ROUND(quantile_cont(l_extendedprice, 0.25), 6) AS p25, ROUND(quantile_cont(l_extendedprice, 0.5), 6) AS p50, ROUND(quantile_cont(l_extendedprice, 0.75), 6) AS p75 FROM lineitem")
 def percentile_thresholds(spark, d):
     return raw(spark, d, "lineitem").agg(*[F.round(F.percentile("l_extendedprice", p), 6).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
 
 
-@query(
-    "size_outliers",
-    f"""WITH {TRIPLES_SQL}, sized AS (SELECT subject, COUNT(*) AS n FROM triples GROUP BY 1), s AS (SELECT AVG(n) AS m, STDDEV_SAMP(n) AS sd FROM sized)
-  SELECT subject, n FROM sized, s WHERE n > m + 2 * sd""",
-)
-def size_outliers(spark, d):
-    sized = triples(spark, d).groupBy("subject").agg(F.count("*").alias("n"))
-    bound = sized.agg((F.avg("n") + 2 * F.stddev_samp("n")).alias("most"))
-    return sized.crossJoin(F.broadcast(bound)).where("n > most").select("subject", "n")  # one row
-
-
-@query(
-    "data_gaps",
-    f"""WITH {TRIPLES_SQL}, {ENTITIES_SQL}, used AS (SELECT object AS id, COUNT(*) AS n FROM triples WHERE predicate = 'A' GROUP BY 1)
-  SELECT e.id, COALESCE(u.n, 0) AS n FROM entities e LEFT JOIN used u ON e.id = u.id WHERE COALESCE(u.n, 0) <= 3 AND e.merge_count >= 2""",
-)
-def data_gaps(spark, d):
-    used = triples(spark, d).where("predicate = 'A'").groupBy(F.col("object").alias("id")).agg(F.count("*").alias("n"))
-    return entities(spark, d).where("merge_count >= 2").join(used, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).where("n <= 3")
-
-
 @query("out_degree", f"WITH {TRIPLES_SQL} SELECT subject, COUNT(*) AS degree FROM triples WHERE NOT is_deleted AND NOT is_invalid GROUP BY 1")
 def out_degree(spark, d):
     return valid(triples(spark, d)).groupBy("subject").agg(F.count("*").alias("degree"))
 
 
-@query(
-    "profile_score",
-    f"""WITH {BLOCKS_SQL}, n AS (SELECT SUM(CASE WHEN block_type = 'knowledge' THEN 1 ELSE 0 END) AS k, SUM(CASE WHEN block_type = 'attitude' THEN 1 ELSE 0 END) AS a FROM blocks)
-  SELECT ROUND(least(log10(greatest(k, 1)) / log10(2000) * 70, 70), 1) AS knowledge, ROUND(least(log10(greatest(a, 1)) / log10(500) * 60, 60), 1) AS attitude FROM n""",
-)
-def profile_score(spark, d):
-    n = blocks(spark, d).agg(F.count_if(F.col("block_type") == "knowledge").alias("k"), F.count_if(F.col("block_type") == "attitude").alias("a"))
-    part = lambda c, base, most: F.round(F.least(F.log10(F.greatest(F.col(c), F.lit(1))) / F.log10(F.lit(base)) * most, F.lit(float(most))), 1)
-    return n.select(part("k", 2000.0, 70).alias("knowledge"), part("a", 500.0, 60).alias("attitude"))
-
-
 @query("access_increment", f"WITH {BLOCKS_SQL}, {JOURNAL_SQL}, hits AS (SELECT entity_id, COUNT(*) AS n FROM journal GROUP BY 1) SELECT b.id, b.access_count + COALESCE(h.n, 0) AS access_count FROM blocks b LEFT JOIN hits h ON b.id = h.entity_id")
 def access_increment(spark, d):
     hits = journal(spark, d).groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n"))
     return blocks(spark, d).join(hits, "id", "left").select("id", (F.col("access_count") + F.coalesce("n", F.lit(0))).alias("access_count"))
 
 
-@query("majority_stale", "SELECT l_orderkey AS summary, ROUND(AVG(CASE WHEN l_shipdate > TIMESTAMP '1999-01-01 00:00:00' THEN 1.0 ELSE 0.0 END), 6) AS newer FROM lineitem GROUP BY 1 HAVING AVG(CASE WHEN l_shipdate > TIMESTAMP '1999-01-01 00:00:00' THEN 1.0 ELSE 0.0 END) > 0.5")
-def majority_stale(spark, d):
-    newer = F.when(F.col("created_at") > F.expr("timestamp_ntz'1999-01-01 00:00:00'"), 1.0).otherwise(0.0)
-    return triples(spark, d).groupBy(F.col("session").alias("summary")).agg(F.avg(newer).alias("newer")).where("newer > 0.5").select("summary", F.round("newer", 6).alias("newer"))
-
-
-@query("volatile_facts", f"""WITH {TRIPLES_SQL}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY subject, predicate ORDER BY created_at DESC, id DESC) AS n FROM triples WHERE NOT is_deleted)
-  SELECT o.id, w.id AS newest FROM r o JOIN r w ON o.subject = w.subject AND o.predicate = w.predicate AND w.n = 1 WHERE o.n > 1 AND o.object <> w.object AND o.created_at <= w.created_at - INTERVAL 2400 DAY""")
-def volatile_facts(spark, d):
-    of = Window.partitionBy("subject", "predicate").orderBy(F.desc("created_at"), F.desc("id"))
-    rows = live(triples(spark, d)).select("id", "object", "created_at", *[F.first(c).over(of).alias(f"new_{c}") for c in ("id", "object", "created_at")])
-    return rows.where((F.col("object") != F.col("new_object")) & (F.col("created_at") <= F.expr("new_created_at - interval 2400 days"))).select("id", F.col("new_id").alias("newest"))
-
-
 @query("min_max_normalise", f"WITH {TRIPLES_SQL}, s AS (SELECT subject, COUNT(*) AS n FROM triples GROUP BY 1) SELECT subject, ROUND(CAST(n - (SELECT MIN(n) FROM s) AS DOUBLE) / ((SELECT MAX(n) FROM s) - (SELECT MIN(n) FROM s)), 6) AS n FROM s")
 def min_max_normalise(spark, d):
     from recallgrid.operators.graph import min_max
@@ -305,10 +210,3 @@ def not_indexed(spark, d):
     return raw(spark, d, "documents").select(F.col("doc_id").alias("id")).join(raw(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_anti")
 
 
-@query("quality_score", f"""WITH {JOURNAL_SQL}, s AS (SELECT session, AVG(CASE WHEN verdict = 'correct' THEN 1.0 ELSE 0.0 END) AS good, AVG(CASE WHEN intent = 'error' THEN 1.0 ELSE 0.0 END) AS err FROM journal GROUP BY 1)
-  SELECT session, ROUND(0.4 * good + 0.3 * (1 - err) + 0.3, 6) AS quality, CASE WHEN err > 0.5 THEN 'failure' WHEN err > 0.2 OR good < 0.7 THEN 'partial' ELSE 'success' END AS outcome FROM s""")
-def quality_score(spark, d):
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    s = journal(spark, d).groupBy("session").agg(share(F.col("verdict") == "correct").alias("good"), share(F.col("intent") == "error").alias("err"))
-    outcome = F.when(F.col("err") > 0.5, "failure").when((F.col("err") > 0.2) | (F.col("good") < 0.7), "partial").otherwise("success")
-    return s.select("session", F.round(0.4 * F.col("good") + 0.3 * (1 - F.col("err")) + 0.3, 6).alias("quality"), outcome.alias("outcome"))
