@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,22 +88,28 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             return label
 
 
-def communities(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, rounds: int = 10, within: str | None = None) -> DataFrame:
     """(id, community) by modularity: in each round a vertex may move to the neighbouring community of the
     largest gain w(v, c) - resolution * k(v) * K(c) / 2m; a half of the vertices, drawn by hash anew each time, may
-    move at once, so two neighbours don't swap for ever. Communities are named by their smallest member at the end."""
-    arcs = saved(both_ways(edges))
-    degree = saved(arcs.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "id"))
-    double_m = degree.agg(F.sum("k")).first()[0] or 1.0
+    move at once, so two neighbours don't swap for ever. Communities are named by their smallest member at the end.
+    within: a column of edges; 2m is then the weight of the edges with the same value, not of all."""
+    scope = F.col(within) if within else F.lit(0)
+    edges = edges.select("a", "b", "weight", scope.alias("scope"))
+    arcs = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "scope")).toDF("src", "dst", "weight", "scope"))
+    total = arcs.groupBy("scope").agg(F.sum("weight").alias("double_m"))
+    degree = arcs.groupBy("src", "scope").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "id")
+    degree = saved(degree.join(total, "scope").select("id", "k", "double_m"))
     now = saved(vertices.select("id").distinct().withColumn("community", F.col("id")))
     for turn in range(rounds):
         mass = now.join(degree, "id").groupBy("community").agg(F.sum("k").alias("mass"))
-        pull = arcs.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"))
-        own = now.join(degree, "id").select("id", F.col("community").alias("own"), "k")
-        choice = own.join(pull, "id").unionByName(own.select("id", "own", "k", F.col("own").alias("community"), F.lit(0.0).alias("w")))
-        choice = choice.groupBy("id", "own", "k", "community").agg(F.max("w").alias("w")).join(mass, "community")
+        # a neighbouring community counts once for each vertex, with its mass, which goes along with the neighbours
+        heavy = now.join(mass, "community")
+        pull = arcs.join(heavy.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"), F.first("mass").alias("mass"))
+        own = heavy.join(degree, "id").select("id", F.col("community").alias("own"), "k", "double_m", F.col("mass").alias("own_mass"))
+        choice = own.join(pull, "id").unionByName(own.withColumns({"community": F.col("own"), "w": F.lit(0.0), "mass": F.col("own_mass")}))
+        choice = choice.groupBy("id", "own", "k", "double_m", "community").agg(F.max("w").alias("w"), F.first("mass").alias("mass"))
         rest = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.col("w") - resolution * F.col("k") * rest / double_m
+        gain = F.col("w") - resolution * F.col("k") * rest / F.col("double_m")
         best = choice.groupBy("id").agg(F.max_by("community", F.struct(gain, F.col("community") == F.col("own"), -F.col("community"))).alias("to"))
         may = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
         new = saved(now.join(best, "id", "left").select("id", F.coalesce("to", "community").alias("to"), "community", may.alias("may")))
@@ -167,3 +174,52 @@ def chain(spark: SparkSession, pointers: DataFrame, most: int = 10) -> DataFrame
 
 def newest(df: DataFrame, keys: list[str], order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """The continuous quantiles of a column: rows are sorted by ranges, the ranges counted, and only the values at the
+    places that a quantile lies between are fetched; no task holds more than its range."""
+    ranged = saved(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).repartitionByRange("v").select("v", F.spark_partition_id().alias("p")))
+    counts = sorted((r.p, r.n) for r in ranged.groupBy("p").agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in counts)
+    if not total:
+        return [None] * len(shares)
+    before, start = {}, 0
+    for p, n in counts:
+        before[p], start = start, start + n
+    places = {k for q in shares for k in (int(q * (total - 1)), min(total - 1, int(q * (total - 1)) + 1))}
+    wanted = {p for p, n in counts if any(before[p] <= k < before[p] + n for k in places)}
+    table = F.create_map(*[F.lit(x) for p in wanted for x in (p, before[p])])
+    local = ranged.where(F.col("p").isin(*wanted)).withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("v")) - 1 + F.element_at(table, F.col("p")))
+    found = {r.k: r.v for r in local.where(F.col("k").isin(*places)).collect()}
+    out = []
+    for q in shares:
+        at = q * (total - 1)
+        low, high = found[int(at)], found[min(total - 1, int(at) + 1)]
+        out.append(low + (high - low) * (at - int(at)))
+    return out
+
+
+# The resolution of each level of communities, and the least component that is divided.
+RESOLUTIONS, DIVIDED = {0: 1.0, 1: 0.3, 2: 0.05}, 5
+
+
+def levels(edges: DataFrame, resolutions: dict[int, float] | None = None, rounds: int = 5) -> DataFrame:
+    """(level, community, id): components of DIVIDED vertices or more are divided by modularity at each level's resolution;
+    smaller ones are communities of level 0 as they are; communities of one are left out. Modularity is counted within a
+    component, so a component is divided as if it were alone."""
+    edges = saved(edges)
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    part = saved(components(edges, nodes))
+    size = part.groupBy("component").agg(F.count("*").alias("n"))
+    sized = saved(part.join(size, "component"))
+    small = sized.where(F.col("n") < DIVIDED).select(F.lit(0).alias("level"), F.col("component").alias("community"), "id")
+    out = [small]
+    large = sized.where(F.col("n") >= DIVIDED)
+    if large.limit(1).count():
+        inside = saved(edges.join(large.select(F.col("id").alias("a"), "component"), "a"))
+        for level, resolution in (resolutions or RESOLUTIONS).items():
+            found = communities(inside.select("a", "b", "weight", "component"), large.select("id"), resolution, rounds, within="component")
+            many = found.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2").select("community")
+            out.append(found.join(many, "community", "left_semi").select(F.lit(level).alias("level"), "community", "id"))
+    return reduce(DataFrame.unionByName, out)

@@ -8,32 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions import scores, text
-from recallgrid.operators import graph
+from recallgrid.operators import graph, tables
 from recallgrid.plans.registry import query
 from recallgrid.schema import live, tier, valid
-from recallgrid.sources.tables import BLOCKS_SQL, ENTITIES_SQL, JOURNAL_SQL, TRIPLES_SQL, blocks, entities, journal, raw, triples, vectors
+from recallgrid.sources.tables import BLOCKS_SQL, CLAIMS_SQL, ENTITIES_SQL, JOURNAL_SQL, TRIPLES_SQL, blocks, claims, composed, entities, journal, raw, triples, vectors
 
-#: Parts of one order belong together: the graph of parts that some order line group shares.
-PARTS_SQL = """lines AS (SELECT DISTINCT l_orderkey AS session, l_partkey AS entity FROM lineitem WHERE l_returnflag = 'R'),
-  edges AS (SELECT x.entity AS a, y.entity AS b, CAST(COUNT(*) AS DOUBLE) AS weight FROM lines x JOIN lines y ON x.session = y.session AND x.entity < y.entity GROUP BY 1, 2)"""
+#: Parts of one order belong together: the graph of parts that some order has lines of.
+PARTS_SQL = """lines AS (SELECT DISTINCT l_orderkey AS session, l_partkey AS entity FROM lineitem),
+  edges AS MATERIALIZED (SELECT x.entity AS a, y.entity AS b, CAST(COUNT(*) AS DOUBLE) AS weight FROM lines x JOIN lines y ON x.session = y.session AND x.entity < y.entity GROUP BY 1, 2)"""
 
 
 def lines(spark, d) -> DataFrame:
-    return _lines(raw(spark, d, "lineitem"))
+    return raw(spark, d, "lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("entity")).distinct()
 
 
-def returned(spark, d) -> DataFrame:
-    """The lines that PARTS_SQL has."""
-    return _lines(raw(spark, d, "lineitem").where("l_returnflag = 'R'"))
-
-
-def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("entity")).distinct()
-
-
-def edges(spark, d, of=lines) -> DataFrame:
+def edges(spark, d) -> DataFrame:
     """Pairs of parts that stand in one order; an order has seven lines at most, so its pairs are few."""
-    x = of(spark, d)
+    x = lines(spark, d)
     pairs = x.toDF("session", "a").join(x.toDF("session", "b"), "session").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
 
@@ -44,12 +35,6 @@ def vertices(spark, d) -> DataFrame:
 
 @query("part_graph", f"WITH {PARTS_SQL} SELECT a, b, weight FROM edges")
 def part_graph(spark, d):
-    """Of returned lines only, as its SQL; part_graph_whole has all. Likewise session_jaccard and adamic_adar."""
-    return edges(spark, d, returned)
-
-
-@query("part_graph_whole")
-def part_graph_whole(spark, d):
     return edges(spark, d)
 
 
@@ -58,76 +43,138 @@ def entity_graph(spark, d):
     return graph.undirected(live(triples(spark, d)))
 
 
-@query("session_jaccard", f"""WITH {PARTS_SQL}, c AS (SELECT entity, COUNT(*) AS n FROM lines GROUP BY 1)
-  SELECT a, b, ROUND(weight / (x.n + y.n - weight), 6) AS overlap FROM edges JOIN c x ON a = x.entity JOIN c y ON b = y.entity""")
-def session_jaccard(spark, d, of=returned):
-    return graph.session_jaccard(edges(spark, d, of), of(spark, d).select("entity", "session")).select("a", "b", F.round("overlap", 6).alias("overlap"))
+S2_SQL = "c AS (SELECT entity, COUNT(*) AS n FROM lines GROUP BY 1), s2 AS (SELECT a, b, weight / (x.n + y.n - weight) AS overlap FROM edges JOIN c x ON a = x.entity JOIN c y ON b = y.entity)"
 
 
-@query("session_jaccard_whole")
-def session_jaccard_whole(spark, d):
-    return session_jaccard(spark, d, lines)
+@query("session_jaccard", f"WITH {PARTS_SQL}, {S2_SQL} SELECT a, b, ROUND(overlap, 6) AS overlap FROM s2")
+def session_jaccard(spark, d):
+    return graph.session_jaccard(edges(spark, d), lines(spark, d).select("entity", "session")).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
-@query("adamic_adar", f"""WITH {PARTS_SQL}, arcs AS (SELECT a AS src, b AS dst FROM edges UNION ALL SELECT b AS src, a AS dst FROM edges), deg AS (SELECT src, COUNT(*) AS n FROM arcs GROUP BY 1),
-  s AS (SELECT e.a, e.b, SUM(1 / ln(g.n)) AS v FROM edges e JOIN arcs x ON e.a = x.src JOIN arcs y ON e.b = y.src AND x.dst = y.dst JOIN deg g ON g.src = x.dst WHERE g.n > 1 GROUP BY 1, 2)
-  SELECT e.a, e.b, ROUND(COALESCE(s.v, 0.0), 6) AS adamic_adar FROM edges e LEFT JOIN s ON e.a = s.a AND e.b = s.b""")
-def adamic_adar(spark, d, of=returned):
-    return graph.adamic_adar(edges(spark, d, of)).select("a", "b", F.round("adamic_adar", 6).alias("adamic_adar"))
+S3_SQL = """arcs AS MATERIALIZED (SELECT a AS src, b AS dst FROM edges UNION ALL SELECT b AS src, a AS dst FROM edges), deg AS (SELECT src, COUNT(*) AS n FROM arcs GROUP BY 1),
+  aa AS (SELECT e.a, e.b, SUM(1 / ln(g.n)) AS v FROM edges e JOIN arcs x ON e.a = x.src JOIN arcs y ON e.b = y.src AND x.dst = y.dst JOIN deg g ON g.src = x.dst WHERE g.n > 1 GROUP BY 1, 2),
+  s3 AS MATERIALIZED (SELECT e.a, e.b, COALESCE(aa.v, 0.0) AS adamic_adar FROM edges e LEFT JOIN aa ON e.a = aa.a AND e.b = aa.b)"""
 
 
-@query("adamic_adar_whole")
-def adamic_adar_whole(spark, d):
-    return adamic_adar(spark, d, lines)
+@query("adamic_adar", f"WITH {PARTS_SQL}, {S3_SQL} SELECT a, b, ROUND(adamic_adar, 6) AS adamic_adar FROM s3")
+def adamic_adar(spark, d):
+    return graph.adamic_adar(edges(spark, d)).select("a", "b", F.round("adamic_adar", 6).alias("adamic_adar"))
 
 
 # Affinity of two entities of the same type; of different types it is 0.3.
 AFFINITY = {"ECONOMY": 0.8, "STANDARD": 0.9, "PROMO": 0.7, "SMALL": 0.8, "LARGE": 0.9}
 
+#: Vectors of names: there are fewer vectors than names, so names share them.
+NAME_VECTORS = 500
+
+
+def name_likeness(e: DataFrame, spark, d) -> DataFrame:
+    """(a, b, semantic): the cosine of the vectors of both names, 0 where one is missing."""
+    v = vectors(spark, d).select("id", "vec")
+    out = e.select("a", "b", (F.col("a") % NAME_VECTORS).alias("ia"), (F.col("b") % NAME_VECTORS).alias("ib"))
+    out = out.join(v.toDF("ia", "va"), "ia", "left").join(v.toDF("ib", "vb"), "ib", "left")
+    return out.select("a", "b", F.coalesce(scores.cosine(F.col("va"), F.col("vb")), F.lit(0.0)).alias("semantic"))
+
+
+@query("semantic_edges", f"WITH {PARTS_SQL}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT e.a, e.b, ROUND(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) AS semantic FROM edges e JOIN v x ON e.a % {NAME_VECTORS} = x.id JOIN v y ON e.b % {NAME_VECTORS} = y.id")
+def semantic_edges(spark, d):
+    return name_likeness(edges(spark, d), spark, d).select("a", "b", F.round("semantic", 6).alias("semantic"))
+
 
 def composite(spark, d) -> DataFrame:
-    """(a, b, composite_weight): co-occurrence, shared sessions, common neighbours and type affinity, weighed."""
+    """(a, b, weight, adamic_adar, affinity, composite_weight): co-occurrence, shared sessions, common neighbours, type
+    affinity and likeness of names, weighed."""
     e = edges(spark, d)
     kinds = raw(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"))
     table = F.create_map(*[F.lit(x) for p in AFFINITY.items() for x in p])
     out = graph.min_max(e.withColumn("s1", F.col("weight")), "s1").join(graph.session_jaccard(e, lines(spark, d).select("entity", "session")), ["a", "b"]).join(graph.min_max(graph.adamic_adar(e), "adamic_adar"), ["a", "b"])
-    out = out.join(kinds.toDF("a", "ka"), "a").join(kinds.toDF("b", "kb"), "b")
+    out = out.join(kinds.toDF("a", "ka"), "a").join(kinds.toDF("b", "kb"), "b").join(name_likeness(e, spark, d), ["a", "b"])
     affinity = F.when(F.col("ka") == F.col("kb"), F.coalesce(F.element_at(table, F.col("ka")), F.lit(0.5))).otherwise(0.3)
-    return out.select("a", "b", "weight", "adamic_adar", affinity.alias("affinity"), F.round(0.3 * F.col("s1") + 0.2 * F.col("overlap") + 0.2 * F.col("adamic_adar") + 0.1 * affinity, 6).alias("composite_weight"))
+    total = 0.3 * F.col("s1") + 0.2 * F.col("overlap") + 0.2 * F.col("adamic_adar") + 0.1 * affinity + 0.2 * F.col("semantic")
+    return out.select("a", "b", "weight", "adamic_adar", affinity.alias("affinity"), F.round(total, 6).alias("composite_weight"))
+
+
+COMPOSITE_SQL = f"""{PARTS_SQL}, {S2_SQL}, {S3_SQL}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  span AS (SELECT MIN(weight) AS wl, MAX(weight) AS wh FROM edges), reach AS (SELECT MIN(adamic_adar) AS al, MAX(adamic_adar) AS ah FROM s3),
+  parts AS (SELECT e.a, e.b, e.weight, (e.weight - wl) / (wh - wl) AS s1, s2.overlap, (s3.adamic_adar - al) / (ah - al) AS s3n,
+    CASE WHEN ka.p_type = kb.p_type THEN COALESCE(CASE ka.p_type {' '.join(f"WHEN '{k}' THEN {x}" for k, x in AFFINITY.items())} END, 0.5) ELSE 0.3 END AS affinity,
+    COALESCE(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 0.0) AS semantic
+    FROM edges e JOIN s2 ON e.a = s2.a AND e.b = s2.b JOIN s3 ON e.a = s3.a AND e.b = s3.b JOIN part ka ON e.a = ka.p_partkey JOIN part kb ON e.b = kb.p_partkey LEFT JOIN v x ON e.a % {NAME_VECTORS} = x.id LEFT JOIN v y ON e.b % {NAME_VECTORS} = y.id, span, reach),
+  composite AS MATERIALIZED (SELECT a, b, weight, affinity, ROUND(CAST(0.3 * s1 + 0.2 * overlap + 0.2 * s3n + 0.1 * affinity + 0.2 * semantic AS DOUBLE), 6) AS composite_weight FROM parts)"""
 
 
-@query("composite_edges")
+@query("composite_edges", f"WITH {COMPOSITE_SQL} SELECT a, b, composite_weight FROM composite")
 def composite_edges(spark, d):
     return composite(spark, d).select("a", "b", "composite_weight")
 
 
-@query("surprising_pairs")
+@query("surprising_pairs", f"WITH {PARTS_SQL}, {S3_SQL}, p AS (SELECT quantile_cont(adamic_adar, 0.75) AS least_ FROM s3 WHERE adamic_adar > 0) SELECT e.a, e.b, ROUND(s3.adamic_adar, 6) AS adamic_adar FROM edges e JOIN s3 ON e.a = s3.a AND e.b = s3.b, p WHERE s3.adamic_adar >= p.least_ AND e.weight <= 1 ORDER BY adamic_adar DESC, e.a, e.b LIMIT 20")
 def surprising_pairs(spark, d):
     """Pairs with many common neighbours that meet once at most: over the third quartile of the positive."""
-    e = graph.adamic_adar(edges(spark, d)).join(edges(spark, d), ["a", "b"])
-    bound = e.where("adamic_adar > 0").agg(F.percentile("adamic_adar", 0.75).alias("least"))
-    return e.crossJoin(F.broadcast(bound)).where("adamic_adar >= least and weight <= 1").select("a", "b", F.round("adamic_adar", 6).alias("adamic_adar")).orderBy(F.desc("adamic_adar"), "a", "b").limit(20)  # one row
+    e = graph.saved(graph.adamic_adar(edges(spark, d)).join(edges(spark, d), ["a", "b"]))
+    least = graph.quantiles(e.where("adamic_adar > 0"), "adamic_adar", [0.75])[0]
+    return e.where((F.col("adamic_adar") >= least) & (F.col("weight") <= 1)).select("a", "b", F.round("adamic_adar", 6).alias("adamic_adar")).orderBy(F.desc("adamic_adar"), "a", "b").limit(20)
 
 
-@query("knowledge_gap_pairs")
+@query("knowledge_gap_pairs", f"WITH {COMPOSITE_SQL}, p AS (SELECT quantile_cont(composite_weight, 0.25) AS most FROM composite) SELECT a, b, composite_weight FROM composite, p WHERE affinity >= 0.7 AND composite_weight <= most ORDER BY composite_weight, a, b LIMIT 20")
 def knowledge_gap_pairs(spark, d):
-    e = composite(spark, d)
-    bound = e.agg(F.percentile("composite_weight", 0.25).alias("most"))
-    return e.crossJoin(F.broadcast(bound)).where("affinity >= 0.7 and composite_weight <= most").select("a", "b", "composite_weight").orderBy("composite_weight", "a", "b").limit(20)  # one row
+    """Pairs of close types that are hardly linked: up to the first quartile."""
+    e = graph.saved(composite(spark, d))
+    most = graph.quantiles(e, "composite_weight", [0.25])[0]
+    return e.where((F.col("affinity") >= 0.7) & (F.col("composite_weight") <= most)).select("a", "b", "composite_weight").orderBy("composite_weight", "a", "b").limit(20)
 
 
-@query("pagerank")
+@query("cross_community_pairs", f"WITH {COMPOSITE_SQL}, p AS (SELECT quantile_cont(composite_weight, 0.5) AS half FROM composite WHERE composite_weight > 0), t AS (SELECT c.a, c.b, c.composite_weight FROM composite c, p WHERE c.composite_weight >= half ORDER BY composite_weight DESC, a, b LIMIT 60) SELECT t.a, t.b, t.composite_weight FROM t JOIN part x ON t.a = x.p_partkey JOIN part y ON t.b = y.p_partkey WHERE x.p_brand <> y.p_brand ORDER BY composite_weight DESC, t.a, t.b LIMIT 20")
+def cross_community_pairs(spark, d):
+    """Strong pairs across communities of level 1: the sixty strongest over the median are looked at."""
+    e = graph.saved(composite(spark, d))
+    half = graph.quantiles(e.where("composite_weight > 0"), "composite_weight", [0.5])[0]
+    top = e.where(F.col("composite_weight") >= half).orderBy(F.desc("composite_weight"), "a", "b").limit(60)
+    of = raw(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("c"))
+    top = top.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca <> cb")
+    return top.orderBy(F.desc("composite_weight"), "a", "b").limit(20).select("a", "b", "composite_weight")
+
+
+def walk_sql(rounds: int, seeds: str) -> str:
+    """Power iteration over edges, round by round; every vertex has an edge, so nothing is stuck. seeds: SQL of (id)."""
+    out = f"""wa AS MATERIALIZED (SELECT a AS src, b AS dst, weight AS w FROM edges UNION ALL SELECT b, a, weight FROM edges), wt AS (SELECT src, SUM(w) AS total FROM wa GROUP BY 1),
+  ws AS MATERIALIZED (SELECT wa.src, wa.dst, wa.w / wt.total AS share FROM wa JOIN wt ON wa.src = wt.src), sd AS ({seeds}), w0 AS MATERIALIZED (SELECT wt.src AS id, CASE WHEN sd.id IS NULL THEN 0.0 ELSE 1.0 / (SELECT COUNT(*) FROM sd) END AS r, CASE WHEN sd.id IS NULL THEN 0.0 ELSE 1.0 / (SELECT COUNT(*) FROM sd) END AS restart FROM wt LEFT JOIN sd ON wt.src = sd.id)"""
+    for k in range(rounds):
+        out += f", w{k + 1} AS MATERIALIZED (SELECT w.id, 0.15 * w.restart + 0.85 * COALESCE(f.v, 0.0) AS r, w.restart FROM w{k} w LEFT JOIN (SELECT s.dst, SUM(q.r * s.share) AS v FROM ws s JOIN w{k} q ON s.src = q.id GROUP BY 1) f ON w.id = f.dst)"
+    return out
+
+
+@query("pagerank", f"WITH {PARTS_SQL}, {walk_sql(12, 'SELECT DISTINCT entity AS id FROM lines JOIN (SELECT a AS i FROM edges UNION SELECT b FROM edges) x ON entity = i')} SELECT id, ROUND(CAST(r AS DOUBLE), 8) AS rank FROM w12")
 def pagerank(spark, d):
-    return graph.pagerank(edges(spark, d), vertices(spark, d), rounds=12).select("id", F.round("rank", 9).alias("rank"))
+    e = graph.saved(edges(spark, d))
+    return graph.pagerank(e, e.select(F.explode(F.array("a", "b")).alias("id")), rounds=12).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query("personalised_pagerank")
+@query("personalised_pagerank", f"WITH {PARTS_SQL}, {walk_sql(12, 'SELECT DISTINCT a AS id FROM edges ORDER BY a LIMIT 3')} SELECT id, ROUND(CAST(r AS DOUBLE), 7) AS rank FROM w12 WHERE r > 0 ORDER BY r DESC, id LIMIT 50")
 def personalised_pagerank(spark, d):
-    seeds = vertices(spark, d).orderBy("id").limit(3)
-    return graph.pagerank(edges(spark, d), vertices(spark, d), rounds=12, seeds=seeds).where("rank > 0").orderBy(F.desc("rank"), "id").limit(50).select("id", F.round("rank", 9).alias("rank"))
+    e = graph.saved(edges(spark, d))
+    seeds = e.select(F.col("a").alias("id")).distinct().orderBy("id").limit(3)
+    return graph.pagerank(e, e.select(F.explode(F.array("a", "b")).alias("id")), rounds=12, seeds=seeds).where("rank > 0").orderBy(F.desc("rank"), "id").limit(50).select("id", F.round("rank", 7).alias("rank"))
+
+
+@query("hubs_and_orphans", f"WITH {PARTS_SQL}, {walk_sql(6, 'SELECT a AS id FROM edges UNION SELECT b AS id FROM edges')}, r AS (SELECT id, r, ROW_NUMBER() OVER (ORDER BY ROUND(CAST(r AS DOUBLE), 10) DESC, id) AS top, ROW_NUMBER() OVER (ORDER BY ROUND(CAST(r AS DOUBLE), 10), id) AS last FROM w6) SELECT id, 'hub' AS kind FROM r WHERE top <= 10 UNION ALL SELECT id, 'orphan' AS kind FROM r WHERE last <= 10 AND r < 0.001")
+def hubs_and_orphans(spark, d):
+    """The ten vertices of the highest rank, and of the ten of the lowest those below a thousandth."""
+    e = graph.saved(edges(spark, d))
+    r = graph.pagerank(e, e.select(F.explode(F.array("a", "b")).alias("id")), rounds=6).select("id", F.round("rank", 10).alias("rank"))
+    hubs = r.orderBy(F.desc("rank"), "id").limit(10).select("id", F.lit("hub").alias("kind"))
+    return hubs.unionByName(r.orderBy("rank", "id").limit(10).where("rank < 0.001").select("id", F.lit("orphan").alias("kind")))
 
 
-@query("connected_components")
+def labels_sql(rounds: int) -> str:
+    """The least label among neighbours, round by round; enough rounds where paths are short."""
+    out = "la AS MATERIALIZED (SELECT a AS src, b AS dst FROM edges UNION ALL SELECT b, a FROM edges), l0 AS (SELECT DISTINCT entity AS id, entity AS c FROM lines)"
+    for k in range(rounds):
+        out += f", l{k + 1} AS MATERIALIZED (SELECT l.id, least(l.c, COALESCE(n.m, l.c)) AS c FROM l{k} l LEFT JOIN (SELECT la.src, MIN(q.c) AS m FROM la JOIN l{k} q ON la.dst = q.id GROUP BY 1) n ON l.id = n.src)"
+    return out
+
+
+@query("connected_components", f"WITH {PARTS_SQL}, {labels_sql(8)} SELECT id, c AS component FROM l8")
 def connected_components(spark, d):
     return graph.components(edges(spark, d), vertices(spark, d))
 
@@ -137,113 +184,205 @@ def communities(spark, d):
     return graph.communities(edges(spark, d), vertices(spark, d), rounds=6)
 
 
-@query("community_facts")
+@query("community_levels")
+def community_levels(spark, d):
+    """Communities of the graph of strong pairs at three resolutions, from fine to coarse. A moves-based search has no SQL;
+    tests hold the sizes, levels and members against the rules."""
+    strong = edges(spark, d).where("weight > 1")
+    return graph.levels(strong)
+
+
+@query("community_facts", f"WITH {PARTS_SQL}, {labels_sql(8)}, {TRIPLES_SQL} SELECT l8.c AS component, COUNT(*) AS facts FROM triples t LEFT JOIN l8 ON t.object = l8.id WHERE NOT t.is_deleted GROUP BY 1")
 def community_facts(spark, d):
     """Facts by the community of their object."""
     member = graph.components(edges(spark, d), vertices(spark, d)).select(F.col("id").alias("object"), "component")
     return live(triples(spark, d)).join(member, "object", "left").groupBy("component").agg(F.count("*").alias("facts"))
 
 
-@query("traverse", f"""WITH {TRIPLES_SQL}, f AS (SELECT id, subject, predicate, object FROM triples WHERE predicate = 'R' AND session < 400),
+@query("assigned_facts", f"WITH {TRIPLES_SQL}, m AS (SELECT p_partkey AS entity, p_brand AS community FROM part WHERE p_partkey % 3 <> 0) SELECT t.id, COALESCE(s.community, o.community) AS community FROM triples t LEFT JOIN m s ON t.subject = s.entity LEFT JOIN m o ON t.object = o.entity WHERE NOT t.is_deleted")
+def assigned_facts(spark, d):
+    """Each fact's community: its subject's, else its object's, else none."""
+    m = raw(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("e"), F.col("p_brand").alias("c"))
+    t = live(triples(spark, d)).join(m.toDF("subject", "cs"), "subject", "left").join(m.toDF("object", "co"), "object", "left")
+    return t.select("id", F.coalesce("cs", "co").alias("community"))
+
+
+@query("traverse", f"""WITH {TRIPLES_SQL}, f AS (SELECT id, subject, predicate, object FROM triples),
   one AS (SELECT id, subject, object FROM f WHERE subject = 3 OR object = 3), ends AS (SELECT subject AS e FROM one UNION SELECT object AS e FROM one),
   two AS (SELECT f.id FROM f JOIN ends ON f.subject = ends.e UNION SELECT f.id FROM f JOIN ends ON f.object = ends.e)
   SELECT id, 1 AS depth FROM one UNION ALL SELECT two.id, 2 AS depth FROM two LEFT JOIN one ON two.id = one.id WHERE one.id IS NULL""")
 def traverse(spark, d):
-    facts = triples(spark, d).where("predicate = 'R' and session < 400")
-    return graph.traverse(facts, 3, 2, 100_000).select("id", "depth")
-
-
-@query("traverse_whole")
-def traverse_whole(spark, d):
-    """Over all facts; traverse has those of its SQL."""
+    """Facts within two steps of an entity, over all facts."""
     return graph.traverse(triples(spark, d), 3, 2, None).select("id", "depth")
 
 
-@query("superseded_chain")
+@query("superseded_chain", f"WITH {TRIPLES_SQL}, n AS (SELECT id, LEAD(id) OVER (PARTITION BY session ORDER BY id) AS next, {', '.join(f'LEAD(id, {k}) OVER (PARTITION BY session ORDER BY id) AS l{k}' for k in range(1, 11))} FROM triples) SELECT n.id, COALESCE({', '.join(f'n.l{k}' for k in range(10, 0, -1))}) AS last FROM n WHERE n.next IS NOT NULL")
 def superseded_chain(spark, d):
+    """Where the pointers from each superseded fact end: here each fact of a session points to the next."""
     order = Window.partitionBy("session").orderBy("id")
     pointers = triples(spark, d).select("id", F.lead("id").over(order).alias("next")).where("next is not null")
-    return graph.chain(spark, pointers)
+    return graph.chain(spark, pointers).select("id", "last")
 
 
-@query("frontier", f"""WITH {TRIPLES_SQL}, g AS (SELECT object AS id, COUNT(*) AS n, COUNT(DISTINCT subject) AS degree, MAX(created_at) AS last FROM triples WHERE NOT is_deleted GROUP BY 1),
-  s AS (SELECT id, n / 100.0 * ln(degree + 1) * exp(-date_diff('day', CAST(last AS DATE), DATE '2001-12-01') / 30.0) * (CASE WHEN n <= 20 THEN 1.5 ELSE 1.0 END) AS score FROM g)
-  SELECT id, ROUND(score, 6) AS score FROM s WHERE score > 0.001""")
+@query("frontier", f"""WITH {PARTS_SQL}, {TRIPLES_SQL}, {JOURNAL_SQL}, c AS (SELECT id, SUM(weight) AS s FROM (SELECT a AS id, weight FROM edges UNION ALL SELECT b AS id, weight FROM edges) x GROUP BY 1 ORDER BY s DESC, id LIMIT 500),
+  g AS (SELECT object AS id, COUNT(*) AS degree, MAX(created_at) AS last FROM triples WHERE NOT is_deleted AND NOT is_invalid GROUP BY 1), gaps AS (SELECT DISTINCT entity_id AS id FROM journal WHERE verdict = 'incorrect' GROUP BY 1 HAVING COUNT(*) >= 2),
+  f AS (SELECT c.id, c.s / (SELECT MAX(s) FROM c) * ln(COALESCE(g.degree, 0) + 1) * exp(-COALESCE(date_diff('day', CAST(g.last AS DATE), DATE '2001-12-01'), 30) / 30.0) * (CASE WHEN gaps.id IS NOT NULL THEN 1.5 ELSE 1.0 END) AS score FROM c LEFT JOIN g ON c.id = g.id LEFT JOIN gaps ON c.id = gaps.id)
+  SELECT id, ROUND(score, 6) AS score FROM f WHERE score > 0 ORDER BY f.score DESC, id LIMIT 10""")
 def frontier(spark, d):
-    g = live(triples(spark, d)).groupBy(F.col("object").alias("id")).agg(F.count("*").alias("n"), F.countDistinct("subject").alias("degree"), F.max("created_at").alias("last"))
+    """The ten entities most worth a look: central, linked, lately touched, more so if queries on them fail."""
+    e = edges(spark, d).select(F.explode(F.array("a", "b")).alias("id"), "weight")
+    c = e.groupBy("id").agg(F.sum("weight").alias("s")).orderBy(F.desc("s"), "id").limit(500)
+    top = c.agg(F.max("s").alias("top"))
+    g = valid(triples(spark, d)).groupBy(F.col("object").alias("id")).agg(F.count("*").alias("degree"), F.max("created_at").alias("last"))
+    gaps = journal(spark, d).where("verdict = 'incorrect'").groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n")).where("n >= 2").select("id", F.lit(True).alias("gap"))
+    rows = c.crossJoin(F.broadcast(top)).join(g, "id", "left").join(gaps, "id", "left").fillna(0, ["degree"]).fillna(False, ["gap"])  # one row
     days = F.datediff(F.lit("2001-12-01").cast("date"), F.to_date("last")).cast("double")
-    return g.withColumn("score", scores.frontier(F.col("n") / 100.0, F.col("degree"), days, F.col("n") <= 20)).where("score > 0.001").select("id", F.round("score", 6).alias("score"))
+    rows = rows.withColumn("score", scores.frontier(F.col("s") / F.col("top"), F.col("degree"), days, F.col("gap")))
+    return rows.where("score > 0").orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
+
 
+#: Names as they come in, some of them new, some known by name, some by an alias.
+MENTIONED_SQL = "mentioned AS (SELECT DISTINCT name AS raw, 'part' AS kind FROM (SELECT '  ' || upper(p_name) || '.' AS name FROM part WHERE p_partkey % 7 = 0 UNION SELECT p_brand FROM part UNION SELECT s_name FROM supplier) x)"
+NORMAL_SQL = "regexp_replace(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '[.,;:!?]+$', '')"
 
-@query("resolve_entities", f"WITH {ENTITIES_SQL} SELECT lower(trim(name)) AS name, MIN(id) AS id, COUNT(*) AS n, COUNT(DISTINCT alias) AS aliases FROM entities GROUP BY 1")
+
+@query("resolve_entities", f"""WITH {ENTITIES_SQL}, {MENTIONED_SQL}, n AS (SELECT raw, {NORMAL_SQL.format('raw')} AS name FROM mentioned), k AS (SELECT {NORMAL_SQL.format('name')} AS name, MIN(id) AS id FROM entities GROUP BY 1), al AS (SELECT lower(alias) AS name, MIN(id) AS id FROM entities GROUP BY 1)
+  SELECT n.raw, n.name, CASE WHEN k.id IS NOT NULL THEN 'known' WHEN al.id IS NOT NULL THEN 'alias' ELSE 'created' END AS outcome, COALESCE(k.id, al.id) AS id, k.id IS NOT NULL AND n.raw <> n.name AS adds_alias FROM n LEFT JOIN k ON n.name = k.name LEFT JOIN al ON n.name = al.name""")
 def resolve_entities(spark, d):
-    return entities(spark, d).groupBy(text.normal_name(F.col("name")).alias("name")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.countDistinct("alias").alias("aliases"))
+    """Names of a batch by the entity each means: by name (a different spelling becomes an alias), else by alias, else a new one."""
+    e = entities(spark, d)
+    part = raw(spark, d, "part")
+    names = part.where("p_partkey % 7 = 0").select(F.concat(F.lit("  "), F.upper("p_name"), F.lit(".")).alias("raw")).union(part.select("p_brand")).union(raw(spark, d, "supplier").select("s_name")).distinct()
+    names = composed(names, "raw").withColumn("name", text.normal_name(F.col("raw")))
+    known = e.groupBy(text.normal_name(F.col("name")).alias("name")).agg(F.min("id").alias("kid"))
+    alias = e.groupBy(F.lower("alias").alias("name")).agg(F.min("id").alias("aid"))
+    rows = names.join(known, "name", "left").join(alias, "name", "left")
+    outcome = F.when(F.col("kid").isNotNull(), "known").when(F.col("aid").isNotNull(), "alias").otherwise("created")
+    return rows.select("raw", "name", outcome.alias("outcome"), F.coalesce("kid", "aid").alias("id"), (F.col("kid").isNotNull() & (F.col("raw") != F.col("name"))).alias("adds_alias"))
+
+
+def mains(spark, d) -> DataFrame:
+    """(id, main): entities of equal name, alias and type, by the least of them. The least comes from a map-side combined
+    minimum, so a common name crowds no task."""
+    e = entities(spark, d).withColumn("_name", text.normal_name(F.col("name")))
+    main = e.groupBy("_name", "alias", "entity_type").agg(F.min("id").alias("main"))
+    return e.join(main, ["_name", "alias", "entity_type"])
 
 
-@query("merge_entities", f"""WITH {TRIPLES_SQL}, {ENTITIES_SQL}, m AS (SELECT id, MIN(id) OVER (PARTITION BY lower(trim(name)), alias, entity_type) AS main FROM entities)
-  SELECT m.main AS object, COUNT(*) AS facts FROM triples t JOIN m ON t.object = m.id GROUP BY 1""")
+MAINS_SQL = "m AS (SELECT *, MIN(id) OVER (PARTITION BY lower(trim(name)), alias, entity_type) AS main FROM entities)"
+
+
+@query("merge_entities", f"WITH {TRIPLES_SQL}, {ENTITIES_SQL}, {MAINS_SQL} SELECT m.main AS object, COUNT(*) AS facts FROM triples t JOIN m ON t.object = m.id GROUP BY 1")
 def merge_entities(spark, d):
-    same = Window.partitionBy(text.normal_name(F.col("name")), "alias", "entity_type")
-    main = entities(spark, d).select(F.col("id").alias("object"), F.min("id").over(same).alias("main"))
+    """Facts of merged entities, repointed to the one that stays."""
+    main = mains(spark, d).select(F.col("id").alias("object"), "main")
     return triples(spark, d).join(main, "object").groupBy(F.col("main").alias("object")).agg(F.count("*").alias("facts"))
 
 
-@query("canonical_predicates")
+@query("merged_entities", f"WITH {ENTITIES_SQL}, {MAINS_SQL} SELECT main AS id, string_agg(DISTINCT x, '|' ORDER BY x) AS aliases, CAST(SUM(merge_count) AS BIGINT) // 2 AS merge_count, COUNT(DISTINCT id) - 1 AS deleted FROM (SELECT main, id, merge_count, unnest([alias, name]) AS x FROM m) y GROUP BY 1")
+def merged_entities(spark, d):
+    """What stays of each merge: all names and aliases, the sum of the merges, and how many entities go."""
+    m = mains(spark, d)
+    names = m.select("main", F.explode(F.array("alias", "name")).alias("x")).distinct().groupBy("main").agg(F.array_join(F.array_sort(F.collect_list("x")), "|").alias("aliases"))
+    sums = m.groupBy("main").agg(F.sum("merge_count").alias("merge_count"), (F.count("*") - 1).alias("deleted"))
+    return sums.join(names, "main").withColumnRenamed("main", "id")
+
+
+@query("linked_facts", f"WITH {TRIPLES_SQL}, {ENTITIES_SQL}, k AS (SELECT {NORMAL_SQL.format('name')} AS name, MIN(id) AS id FROM entities GROUP BY 1) SELECT t.id, t.subject AS subject_id, k.id AS object_id FROM triples t JOIN part p ON t.object = p.p_partkey JOIN k ON {NORMAL_SQL.format('p.p_name')} = k.name JOIN supplier s ON t.subject = s.s_suppkey WHERE NOT t.is_deleted")
+def linked_facts(spark, d):
+    """Both ends of facts by the names in them: the canonical entity of each."""
+    known = entities(spark, d).groupBy(text.normal_name(F.col("name")).alias("name")).agg(F.min("id").alias("object_id"))
+    named = raw(spark, d, "part").select(F.col("p_partkey").alias("object"), text.normal_name(F.col("p_name")).alias("name")).join(known, "name").select("object", "object_id")
+    subjects = raw(spark, d, "supplier").select(F.col("s_suppkey").alias("subject"))
+    return live(triples(spark, d)).join(named, "object").join(subjects, "subject").select("id", F.col("subject").alias("subject_id"), "object_id")
+
+
+@query("entity_backfill", f"WITH {TRIPLES_SQL}, {ENTITIES_SQL} SELECT t.id, e.id AS subject_id FROM triples t JOIN (SELECT MIN(id) AS id, name FROM entities GROUP BY 2) e ON e.name = (SELECT p_name FROM part WHERE p_partkey = t.object) WHERE t.session % 9 = 4")
+def entity_backfill(spark, d):
+    """Facts that were stored without a subject's entity (those of each ninth session) get it by name."""
+    known = entities(spark, d).groupBy("name").agg(F.min("id").alias("subject_id"))
+    named = raw(spark, d, "part").select(F.col("p_partkey").alias("object"), F.col("p_name").alias("name"))
+    return triples(spark, d).where("session % 9 = 4").join(named, "object").join(known, "name").select("id", "subject_id")
+
+
+@query("auto_merge")
+def auto_merge(spark, d):
+    """Merges by likeness, the likeliest pair first, each entity once, twenty at most. The order decides, so the driver goes
+    through the forty best pairs; tests compare with a plain loop."""
+    v = vectors(spark, d)
+    best = v.where("id % 100 = 0").select(F.col("id").alias("a"), F.col("vec").alias("va"), "label").join(v.select(F.col("id").alias("b"), F.col("vec").alias("vb"), "label"), "label").where("a <> b")
+    pairs = best.select(F.least("a", "b").alias("main"), F.greatest("a", "b").alias("other"), F.round(scores.cosine(F.col("va"), F.col("vb")), 6).alias("score")).distinct().orderBy(F.desc("score"), "main", "other").limit(40)
+    merged, out = set(), []
+    for r in pairs.collect():
+        if len(out) < 20 and r.main not in merged and r.other not in merged:
+            merged.add(r.other)
+            out.append((r.main, r.other, r.score))
+    return spark.createDataFrame(out, "main long, other long, score double")
+
+
+@query("alias_expansion", f"WITH {ENTITIES_SQL} SELECT id, string_agg(DISTINCT x, '|' ORDER BY x) AS names FROM (SELECT id, unnest([name, alias, name]) AS x FROM entities) y GROUP BY 1")
+def alias_expansion(spark, d):
+    return entities(spark, d).select("id", F.array_join(F.array_sort(F.array_union(F.array("name"), F.array("alias", "name"))), "|").alias("names"))
+
+
+@query("canonical_predicates", "WITH r AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in (*text.PREDICATE_ALIASES, *text.PREDICATES, " Needs ", "unheard_of")) + "]) AS raw) SELECT raw, CASE lower(trim(raw)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.PREDICATE_ALIASES.items()) + " ELSE lower(trim(raw)) END AS predicate FROM r")
 def canonical_predicates(spark, d):
+    """Every known spelling of a predicate, and one that is unknown."""
     names = spark.createDataFrame([(k,) for k in (*text.PREDICATE_ALIASES, *text.PREDICATES, " Needs ", "unheard_of")], "raw string")
     return names.select("raw", text.canonical_predicate(F.col("raw")).alias("predicate"))
 
 
-@query("contradicting_facts", f"""WITH {TRIPLES_SQL}, v AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session, subject ORDER BY created_at DESC, id DESC) AS n FROM triples WHERE NOT is_deleted)
-  SELECT o.id, w.id AS winner FROM v o JOIN v w ON o.session = w.session AND o.subject = w.subject AND w.n = 1 WHERE o.n > 1 AND o.object <> w.object""")
+@query("validated_facts", f"WITH {TRIPLES_SQL}, {CLAIMS_SQL}, r AS (SELECT id, CASE id % 5 WHEN 0 THEN ' Needs ' WHEN 1 THEN 'rambles_about' WHEN 2 THEN NULL ELSE predicate END AS raw FROM claims), c AS (SELECT id, CASE lower(trim(raw)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in text.PREDICATE_ALIASES.items())} ELSE lower(trim(raw)) END AS predicate FROM r) SELECT id, predicate FROM c WHERE predicate IN ({', '.join(f"'{x}'" for x in text.PREDICATES)})")
+def validated_facts(spark, d):
+    """Extracted facts whose predicate is there and known, by its canonical name; an extractor is the caller's to add."""
+    raw_ = F.when(F.col("id") % 5 == 0, " Needs ").when(F.col("id") % 5 == 1, "rambles_about").when(F.col("id") % 5 == 2, None).otherwise(F.col("predicate"))
+    return claims(spark, d).select("id", text.canonical_predicate(raw_).alias("predicate")).where(F.col("predicate").isin(*text.PREDICATES))
+
+
+@query("search_by_predicate", f"WITH {TRIPLES_SQL}, {CLAIMS_SQL} SELECT c.id FROM claims c JOIN part p ON c.object = p.p_partkey WHERE c.predicate = 'requires' AND p.p_name ILIKE '%bolt%' AND NOT c.is_invalid ORDER BY c.id LIMIT 50")
+def search_by_predicate(spark, d):
+    """Facts of a predicate by any of its spellings, with a word in their object's name."""
+    wanted = text.canonical_predicate(F.lit(" Needs"))
+    named = raw(spark, d, "part").where(F.ilike("p_name", F.lit("%bolt%"))).select(F.col("p_partkey").alias("object"))
+    return claims(spark, d).where((F.col("predicate") == wanted) & ~F.col("is_invalid")).join(named, "object").orderBy("id").limit(50).select("id")
+
+
+@query("invalidate_facts", f"WITH {TRIPLES_SQL} SELECT id, CASE WHEN is_deleted THEN 'missing' WHEN is_invalid THEN 'conflict' ELSE 'invalidated' END AS outcome FROM triples WHERE object % 10 = 0")
+def invalidate_facts(spark, d):
+    """What becomes of a request to invalidate: a fact that is invalid already is a conflict."""
+    return triples(spark, d).where("object % 10 = 0").select("id", F.when(F.col("is_deleted"), "missing").when(F.col("is_invalid"), "conflict").otherwise("invalidated").alias("outcome"))
+
+
+@query("contradicting_facts", f"""WITH {TRIPLES_SQL}, {CLAIMS_SQL}, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT * FROM claims WHERE NOT is_deleted AND NOT is_invalid),
+  p AS (SELECT x.id AS older, y.id AS newer, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM c x JOIN c y ON x.subject = y.subject AND x.predicate = y.predicate AND x.object <> y.object AND (x.created_at < y.created_at OR (x.created_at = y.created_at AND x.id < y.id)) JOIN v a ON x.object % {NAME_VECTORS} = a.id JOIN v b ON y.object % {NAME_VECTORS} = b.id)
+  SELECT older AS id, MAX(newer) AS winner FROM p WHERE s >= 0.3 GROUP BY 1""")
 def contradicting_facts(spark, d):
-    order = Window.partitionBy("session", "subject").orderBy(F.desc("created_at"), F.desc("id"))
-    rows = live(triples(spark, d)).select("id", "object", F.first("id").over(order).alias("winner"), F.first("object").over(order).alias("kept"))
-    return rows.where("id <> winner and object <> kept").select("id", "winner")
-
-
-@query("predicate_contradictions", f"WITH {TRIPLES_SQL} SELECT x.id AS a, y.id AS b FROM triples x JOIN triples y ON x.subject = y.subject AND x.object = y.object WHERE x.predicate = 'A' AND y.predicate = 'R' AND NOT x.is_invalid AND NOT y.is_invalid")
-def predicate_contradictions(spark, d):
-    t = triples(spark, d).where("not is_invalid")
-    pick = lambda p, n: t.where(F.col("predicate") == p).select("subject", "object", F.col("id").alias(n))
-    return pick("A", "a").join(pick("R", "b"), ["subject", "object"]).select("a", "b")
-
-
-def finding(df: DataFrame, check: str, severity: str) -> DataFrame:
-    return df.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.col("id").cast("string").alias("entity_id"))
-
-
-def checks(spark, d) -> dict[str, DataFrame]:
-    """Every health check by name, as findings."""
-    b, t, e = live(blocks(spark, d)), live(triples(spark, d)), entities(spark, d)
-    used = t.where("predicate = 'R'")
-    ids = raw(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"))
-    shared = e.groupBy("alias", "entity_type").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
-    return {
-        "stale": finding(t.where("created_at < timestamp_ntz'1995-03-01 00:00:00'"), "stale", "info"),
-        "empty_content": finding(b.where(F.length(F.trim(F.coalesce("content", F.lit("")))) < 20), "empty_content", "warning"),
-        "metadata_gaps": finding(b.where("session is null or lang is null or (block_type = 'knowledge' and size(tags) = 0)"), "metadata_gaps", "warning"),
-        "orphan_entities": finding(e.join(used.select(F.col("object").alias("id")), "id", "left_anti"), "orphan_entities", "warning"),
-        "orphan_blocks": finding(b.where("id >= 0").join(raw(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti"), "orphan_blocks", "info"),
-        "dead_facts": finding(t.join(e.where("merge_count > 5").select(F.col("id").alias("object")), "object", "left_anti"), "dead_facts", "error"),
-        "stable_ids": finding(ids.where(~F.rlike("id", F.lit("^[0-9]+$"))).union(ids.groupBy("id").count().where("count > 1").select("id")), "stable_ids", "error"),
-        "alias_collision": finding(shared, "alias_collision", "warning"),
-    }
-
-
-@query(
-    "health_summary",
-    f"""WITH {BLOCKS_SQL}, {TRIPLES_SQL}, {ENTITIES_SQL}, f AS (
-  SELECT 'stale' AS c, 'info' AS s FROM triples WHERE NOT is_deleted AND created_at < TIMESTAMP '1995-03-01 00:00:00'
-  UNION ALL SELECT 'empty_content', 'warning' FROM blocks WHERE NOT is_deleted AND length(trim(content)) < 20
-  UNION ALL SELECT 'orphan_entities', 'warning' FROM entities e LEFT JOIN (SELECT DISTINCT object FROM triples WHERE NOT is_deleted AND predicate = 'R') t ON e.id = t.object WHERE t.object IS NULL
-  UNION ALL SELECT 'orphan_blocks', 'info' FROM blocks b LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON b.id = l.doc_id WHERE NOT b.is_deleted AND l.doc_id IS NULL
-  UNION ALL SELECT 'dead_facts', 'error' FROM triples t LEFT JOIN (SELECT id FROM entities WHERE merge_count > 5) e ON t.object = e.id WHERE NOT t.is_deleted AND e.id IS NULL
-  UNION ALL SELECT 'alias_collision', 'warning' FROM (SELECT alias, entity_type FROM entities GROUP BY 1, 2 HAVING COUNT(*) > 1) x)
-  SELECT c AS check_name, s AS severity, COUNT(*) AS n FROM f GROUP BY 1, 2""",
-)
-def health_summary(spark, d):
-    return reduce(DataFrame.unionByName, checks(spark, d).values()).groupBy(F.col("check").alias("check_name"), "severity").agg(F.count("*").alias("n"))
+    """Facts that a newer one of the same subject and predicate replaces: another object whose name's vector is like its own
+    (0.3 here, as the given vectors are random; 0.85 is the rule's default)."""
+    return superseded(claims(spark, d), spark, d, 0.3)
+
+
+def superseded(facts: DataFrame, spark, d, least: float = 0.85) -> DataFrame:
+    v = vectors(spark, d).select("id", "vec")
+    c = valid(facts).select("id", "subject", "predicate", "object", "created_at", (F.col("object") % NAME_VECTORS).alias("i"))
+    c = c.join(v.toDF("i", "vec"), "i").drop("i")
+    older, newer = c.select(*[F.col(x).alias(f"o_{x}") for x in c.columns]), c.select(*[F.col(x).alias(f"n_{x}") for x in c.columns])
+    met = older.join(newer, (F.col("o_subject") == F.col("n_subject")) & (F.col("o_predicate") == F.col("n_predicate")))
+    met = met.where("o_object <> n_object and (o_created_at < n_created_at or (o_created_at = n_created_at and o_id < n_id))")
+    return met.where(scores.cosine(F.col("o_vec"), F.col("n_vec")) >= least).groupBy(F.col("o_id").alias("id")).agg(F.max("n_id").alias("winner"))
+
+
+@query("community_prompts", f"""WITH {TRIPLES_SQL}, {CLAIMS_SQL}, f AS (SELECT p.p_brand AS community, s.s_name || ' ' || c.predicate || ' ' || p.p_name AS fact, ROW_NUMBER() OVER (PARTITION BY p.p_brand ORDER BY c.id) AS n, COUNT(*) OVER (PARTITION BY p.p_brand) AS total FROM claims c JOIN part p ON c.object = p.p_partkey JOIN supplier s ON c.subject = s.s_suppkey WHERE NOT c.is_deleted)
+  SELECT community, 'Community ' || community || ' with ' || ANY_VALUE(total) || ' facts:' || chr(10) || string_agg('- ' || fact, chr(10) ORDER BY n) AS prompt FROM f WHERE n <= 3 GROUP BY 1""")
+def community_prompts(spark, d):
+    """The text that asks a model for a summary of a community: its size and its first facts. The model is the caller's."""
+    part = raw(spark, d, "part").select(F.col("p_partkey").alias("object"), F.col("p_brand").alias("community"), "p_name")
+    names = raw(spark, d, "supplier").select(F.col("s_suppkey").alias("subject"), "s_name")
+    rows = live(claims(spark, d)).join(part, "object").join(names, "subject").select("community", "id", F.concat_ws(" ", "s_name", "predicate", "p_name").alias("fact"))
+    first = tables.first_n(rows, "community", "id", 3)
+    said = first.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "fact"))), lambda x: F.concat(F.lit("- "), x["fact"])), "\n").alias("facts"))
+    total = rows.groupBy("community").agg(F.count("*").alias("total"))
+    return said.join(total, "community").select("community", F.concat(F.lit("Community "), "community", F.lit(" with "), F.col("total").cast("string"), F.lit(" facts:\n"), "facts").alias("prompt"))
 
 
 @query("similar_blocks", """WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from recallgrid.functions import scores, text
 from recallgrid.operators import fusion, graph
 from recallgrid.operators import tables as ops
-from recallgrid.plans.knowledge import PARTS_SQL, edges, returned
-from recallgrid.plans.registry import query
+from recallgrid.plans.knowledge import PARTS_SQL, edges
+from recallgrid.plans.registry import ORACLES, query  # noqa: F401  (the health checks build on this module's SQL)
 from recallgrid.schema import live, valid
 from recallgrid.sources.tables import BLOCKS_SQL, CLAIMS_SQL, COMMUNITIES_SQL, ENTITIES_SQL, FEEDBACK_SQL, JOURNAL_SQL, LIVE_ENTITIES_SQL, MEMBERS_SQL, TRIPLES_SQL, blocks, claims, communities, entities, feedback, journal, live_entities, members, raw, triples, vectors
 
@@ -166,8 +166,8 @@ def data_gaps(spark, d):
 
 @query("endpoint_sum", f"WITH {PARTS_SQL} SELECT id, SUM(weight) AS centrality FROM (SELECT a AS id, weight FROM edges UNION ALL SELECT b AS id, weight FROM edges) x GROUP BY 1")
 def endpoint_sum(spark, d):
-    """The weight at each end of returned edges."""
-    return centrality(edges(spark, d, returned))
+    """The weight at each end of edges."""
+    return centrality(edges(spark, d))
 
 
 def centrality(e):
@@ -252,7 +252,7 @@ def tagged_page(spark, d):
 
 @query("candidate_cap", f"WITH {PARTS_SQL}, c AS (SELECT id, SUM(weight) AS centrality FROM (SELECT a AS id, weight FROM edges UNION ALL SELECT b AS id, weight FROM edges) x GROUP BY 1) SELECT id, centrality FROM c ORDER BY centrality DESC, id LIMIT 500")
 def candidate_cap(spark, d):
-    return centrality(edges(spark, d, returned)).orderBy(F.desc("centrality"), "id").limit(500)
+    return centrality(edges(spark, d)).orderBy(F.desc("centrality"), "id").limit(500)
 
 
 # How many hits, fast cards and cascade rows a budget allows.

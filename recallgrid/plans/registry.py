@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from recallgrid.plans import knowledge, linking, relational, retrieval, routing, search, streams, writes  # noqa: E402, F401  (they register their queries)
+from recallgrid.plans import health, knowledge, linking, relational, retrieval, routing, search, streams, writes  # noqa: E402, F401  (they register their queries)

@@ -3,6 +3,9 @@ SQL twin, a common table expression over the same columns, for checking against
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,10 +159,6 @@ TEXTS_SQL = f"texts AS (SELECT conv_id * 1000 + turn AS id, text FROM conversati
 
 def composed(df: DataFrame, column: str) -> DataFrame:
     """The column in composed Unicode form, for which Spark has no function."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfc(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
