@@ -385,32 +385,6 @@ def community_prompts(spark, d):
     return said.join(total, "community").select("community", F.concat(F.lit("Community "), "community", F.lit(" with "), F.col("total").cast("string"), F.lit(" facts:\n"), "facts").alias("prompt"))
 
 
-@query("similar_blocks", """WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200)
-  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.label = b.label AND a.id < b.id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.4""")
-def similar_blocks(spark, d):
-    """The 200 first blocks, as the check is defined, pair by pair within a label."""
-    return _similar(vectors(spark, d).where("id < 200"))
-
-
-@query("similar_blocks_whole")
-def similar_blocks_whole(spark, d):
-    """All blocks, pair by pair within a label; similar_blocks has the 200 of its SQL."""
-    return _similar(vectors(spark, d))
-
-
-def _similar(v: DataFrame) -> DataFrame:
-    return v.toDF("a", "va", "label").join(v.toDF("b", "vb", "label"), "label").where(F.col("a") < F.col("b")).where(scores.cosine(F.col("va"), F.col("vb")) >= 0.4).select("a", "b")
-
-
-@query("word_overlap")
-def word_overlap(spark, d):
-    """Blocks whose word set overlaps that of the block before in their session by more than 0.7."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    pairs = raw(spark, d, "documents").select("doc_id", "text", F.lag("text").over(order).alias("before"))
-    overlap = text.jaccard(text.word_set(F.col("text")), text.word_set(F.col("before")))
-    return pairs.select("doc_id", F.round(overlap, 6).alias("overlap")).where("overlap > 0.7")
-
-
 @query("tier_transitions", f"""WITH {BLOCKS_SQL}, x AS (SELECT id, age_days, access_count AS acc, confidence AS imp, confidence * exp(-age_days / 100.0) AS score,
     CASE WHEN age_days <= 14 THEN 'hot' WHEN age_days <= 180 THEN 'warm' ELSE 'cold' END AS tier FROM blocks),
   y AS (SELECT id, tier, CASE WHEN tier = 'cold' AND acc >= 3 AND score >= 0.4 THEN 'warm' WHEN tier = 'cold' AND score < 0.05 AND age_days > 365 THEN 'frozen'
@@ -435,29 +409,6 @@ def prune_candidates(spark, d):
     return live(blocks(spark, d)).where("confidence < 0.15 and access_count = 0 and age_days > 30").orderBy("confidence", "id").limit(50).select("id")
 
 
-@query("dedup_decision", f"""WITH {BLOCKS_SQL}, g AS (SELECT id, block_type, sha256(content) AS h FROM blocks WHERE NOT is_deleted), n AS (SELECT h, MIN(id) AS first FROM g GROUP BY 1)
-  SELECT g.id, CASE WHEN g.id = n.first THEN 'create' WHEN block_type = 'skill' THEN 'append' ELSE 'skip' END AS decision FROM g JOIN n ON g.h = n.h""")
-def dedup_decision(spark, d):
-    g = live(blocks(spark, d)).select("id", "block_type", F.sha2("content", 256).alias("h"))
-    first = F.min("id").over(Window.partitionBy("h"))
-    return g.select("id", F.when(F.col("id") == first, "create").when(F.col("block_type") == "skill", "append").otherwise("skip").alias("decision"))
-
-
-@query("hot_snapshot", f"""WITH {BLOCKS_SQL}, r AS (SELECT session, substr(content, 1, 30) AS part, ROW_NUMBER() OVER (PARTITION BY session ORDER BY age_days, id) AS n FROM blocks WHERE NOT is_deleted)
-  SELECT session, string_agg(part, ' | ' ORDER BY n) AS content FROM r WHERE n <= 5 GROUP BY 1""")
-def hot_snapshot(spark, d):
-    order = Window.partitionBy("session").orderBy("age_days", "id")
-    top = live(blocks(spark, d)).select("session", F.substring("content", 1, 30).alias("part"), F.row_number().over(order).alias("n")).where("n <= 5")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"])
-    return top.groupBy("session").agg(F.array_join(parts, " | ").alias("content"))
-
-
-@query("fold_ids", f"WITH {BLOCKS_SQL}, s AS (SELECT session, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS ids FROM blocks GROUP BY 1) SELECT session, substr(sha256(ids), 1, 16) AS fold_id FROM s")
-def fold_ids(spark, d):
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",")
-    return blocks(spark, d).groupBy("session").agg(F.substring(F.sha2(ids, 256), 1, 16).alias("fold_id"))
-
-
 @query("valid_fact_count", f"WITH {TRIPLES_SQL} SELECT predicate, COUNT(*) AS n FROM triples WHERE NOT is_deleted AND NOT is_invalid GROUP BY 1")
 def valid_fact_count(spark, d):
     return valid(triples(spark, d)).groupBy("predicate").agg(F.count("*").alias("n"))

@@ -64,11 +64,6 @@ def upsert_edges(spark, d):
     return ops.upsert(count("A"), count("R"), ["subject", "object"])
 
 
-@query("content_hash", f"WITH {BLOCKS_SQL} SELECT id, substr(sha256(content), 1, 16) AS content_hash FROM blocks")
-def content_hash(spark, d):
-    return blocks(spark, d).select("id", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"))
-
-
 @query("tags_all", f"WITH {BLOCKS_SQL} SELECT id FROM blocks WHERE lang = 'en' AND session = 'src3'")
 def tags_all(spark, d):
     wanted = F.array(F.lit("en"), F.lit("src3"))
