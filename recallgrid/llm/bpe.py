@@ -365,7 +365,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(x) for x in _texts(batch)], pa.list_(pa.int32()))], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def _streamed(own: Codec, ids: list[int] | None) -> Iterator[str]:
@@ -387,7 +387,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return tokens.select(id_col, "ids").mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,4 +407,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

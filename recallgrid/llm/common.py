@@ -74,6 +74,25 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") ->
 _held: dict = {}
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A worker's function that gives freed memory back when its task ends, as the worker then waits for the next."""
+
+    def inner(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
 def claim(name: str, clear: Callable[[], None] | None = None) -> None:
     """Called by what runs in a Python worker: tables that another operator has left in this process are dropped
     when the next operator begins, so a worker holds those of one operator at a time."""
@@ -82,9 +101,7 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
             _held["clear"]()
             gc.set_threshold(700, 10, 10)
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
         _held.update(name=name, clear=clear)
 
 

@@ -245,7 +245,7 @@ class Mix:
         if not self.slots_total:
             return self.spark.createDataFrame([], "shard long, place long, rank int, pass int, block long, words long")
         parts = min(self.shards, 4 * common.shuffle_partitions(self.spark)) if self.shards < 1 << 16 else self.shards // 256
-        return self.spark.range(0, self.shards, 1, parts).mapInArrow(run, "shard long, place long, rank int, pass int, block long, words long")
+        return self.spark.range(0, self.shards, 1, parts).mapInArrow(common.trimmed(run), "shard long, place long, rank int, pass int, block long, words long")
 
     def pieces(self, placed: DataFrame) -> DataFrame:
         """(rank, at, size, block, lo, hi): the parts of each row's words by block; lo and hi count within the block."""

@@ -229,4 +229,4 @@ def score(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
             points[np.diff(common.utf8(column)[1]) == 0] = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points), pa.array(cast), pa.array(points >= 0.5)], [id_col, "score", "votes", "kept"])
 
-    return texts.mapInArrow(run, f"`{id_col}` {kind}, score double, votes long, kept boolean")
+    return texts.mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, score double, votes long, kept boolean")

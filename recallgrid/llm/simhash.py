@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), _packed(fingerprints_of(batch.column(1), width, bits))], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp binary")
+    return docs.select(id_col, text_col).mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, fp binary")
 
 
 def distances(prints: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def _near(filed: DataFrame, radius: int, words: int, pivots: int = PIVOTS, block
 
     n = common.shuffle_partitions(filed.sparkSession)
     blocks = common.with_blocks(filed, "key", "node", block_rows).select("block", "node", "fp", "side", "within")
-    return blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(search, "src long, dst long")
+    return blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(common.trimmed(search), "src long, dst long")
 
 
 def dedup(docs: DataFrame, width: int = 5, radius: int = 4, bits: int = 64, masks: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +177,7 @@ WIDTH, RADIUS, WORDS = 5, 40, 2
 KEY_HASHES, KEYS = 3, 14
 
 #: Texts of a group that one task compares, and that larger groups decide on in a round.
-GROUP_ROWS, LEADERS = 512, 64
+GROUP_ROWS, LEADERS = 512, 512
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +320,7 @@ def _dropped(groups: DataFrame, texts: DataFrame) -> DataFrame:
     def compare(rows: DataFrame, decide: Callable) -> DataFrame:
         """rows: (block, node, id, h, kept)."""
         rows = rows.join(held, "node").repartition(n, "block").sortWithinPartitions("block", "id", "h").select("block", "node", "kept", "text")
-        return common.materialize(rows.mapInArrow(lambda batches: _compared(batches, decide), "node long"), name)
+        return common.materialize(rows.mapInArrow(common.trimmed(lambda batches: _compared(batches, decide)), "node long"), name)
 
     sizes = common.materialize(groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS), name)
     sizes = F.broadcast(sizes) if sizes.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS else sizes
@@ -360,7 +360,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_h", F.xxhash64(names[text_col]))
     key = F.col(names[id_col])
     texts = own.where(key.isNotNull()).select(key.cast("long").alias("id"), F.col("_h").alias("h"), F.col(names[text_col]).alias("text"))
-    prints = common.materialize(texts.mapInArrow(_filed, "id long, h long, digest binary, fp binary, keys array<long>"), "simhash")
+    prints = common.materialize(texts.mapInArrow(common.trimmed(_filed), "id long, h long, digest binary, fp binary, keys array<long>"), "simhash")
     classes = prints.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = common.materialize(classes.select(F.xxhash64("digest").alias("node"), "least.id", "least.h", "fp", "keys"), "simhash-classes")
     near = _near(classes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, WORDS)

@@ -129,9 +129,9 @@ def _repeated(texts: DataFrame, window: int, prefix: int, group_rows: int) -> Da
             hot = rest[new][total > group_rows]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key[use], key[hot]))), pa.array(np.concatenate((row[use], np.zeros(len(hot), np.int64)))), pa.array(np.repeat([0, _HOT], [len(use), len(hot)]).astype("i1"))], ["key", "row", "kind"])
 
-    met = texts.select("row", "text").mapInArrow(count, "spread long, key long, row long, kind byte, n int")
+    met = texts.select("row", "text").mapInArrow(common.trimmed(count), "spread long, key long, row long, kind byte, n int")
     met = met.repartition(common.shuffle_partitions(texts.sparkSession), "spread").sortWithinPartitions("spread")
-    return common.materialize(met.mapInArrow(keep, "key long, row long, kind byte"), "repeated-prefixes")
+    return common.materialize(met.mapInArrow(common.trimmed(keep), "key long, row long, kind byte"), "repeated-prefixes")
 
 
 def _same_row(before: tuple | None, row: int, h: int, text: pa.Scalar) -> tuple[bool, tuple]:
@@ -187,7 +187,7 @@ def _stretches(texts: DataFrame, window: int, prefix: int) -> DataFrame:
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "row", "h", "start", "n", "words"])
 
-    return texts.select("row", "h", "text", "keys", "carry").mapInArrow(run, "block long, row long, h long, start int, n int, words binary")
+    return texts.select("row", "h", "text", "keys", "carry").mapInArrow(common.trimmed(run), "block long, row long, h long, start int, n int, words binary")
 
 
 def deep_nodes(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -248,7 +248,7 @@ def _ranges(stretches: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, ("i8", "i8", "i4", "i4"), strict=True)], ["row", "h", "a", "b"])
 
     n = common.shuffle_partitions(stretches.sparkSession)
-    return stretches.repartition(n, "block").sortWithinPartitions("block", "row", "h", "start").mapInArrow(run, "row long, h long, a int, b int")
+    return stretches.repartition(n, "block").sortWithinPartitions("block", "row", "h", "start").mapInArrow(common.trimmed(run), "row long, h long, a int, b int")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_was: bool = False) -> DataFrame:
@@ -306,7 +306,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), texts_now, batch.column(4)], ["row", "n_words", "n_removed", "kept", "carry"])
 
     kind = texts.schema["carry"].dataType.simpleString()
-    out = texts.join(cuts.hint("merge"), "row", "left").select("row", "h", "text", "cuts", "carry").mapInArrow(run, f"row long, n_words long, n_removed long, kept string, carry {kind}")
+    out = texts.join(cuts.hint("merge"), "row", "left").select("row", "h", "text", "cuts", "carry").mapInArrow(common.trimmed(run), f"row long, n_words long, n_removed long, kept string, carry {kind}")
     key = F.when(~F.col("carry._no_id"), F.col("row")).cast(docs.schema[id_col].dataType).alias(id_col)
     return out.select(key, "n_words", "n_removed", "kept", *[F.col(f"carry._c{k}").alias(f"_c{k}") for k in range(len(carry or []))])
 

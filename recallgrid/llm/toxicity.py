@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, s
                 lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(given) + 1)).astype(np.int32)), pa.array(feature.astype(np.int32))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists[0], lists[1], pa.array([t is not None for t in twins])], ["id", "h", "label", "own", "twin", "paired"])
 
-    found = rows.mapInArrow(run, "id string, h long, label int, own array<int>, twin array<int>, paired boolean").toArrow()
+    found = rows.mapInArrow(common.trimmed(run), "id string, h long, label int, own array<int>, twin array<int>, paired boolean").toArrow()
     found = found.take(pa.compute.sort_indices(found, [("id", "ascending"), ("h", "ascending")])).combine_chunks()
 
     def sets(table: pa.Table, name: str) -> Sets:
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: Model, out: str = "score", text_col: str = "te
             yield pa.RecordBatch.from_pydict(columns)
 
     kept = docs.drop(out)
-    return kept.mapInArrow(run, kept.withColumn(out, F.lit(0.0)).schema)
+    return kept.mapInArrow(common.trimmed(run), kept.withColumn(out, F.lit(0.0)).schema)
