@@ -51,25 +51,42 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).toDF("src", "dst", "weight")
 
 
+#: Keys that may be broadcast, and rounds between two saved tables.
+FEW, SAVE_EVERY = 20_000, 4
+
+
+def split_join(rows: DataFrame, few: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with few (key, ...; one row for each key), in which a key may have very many rows: the keys with more than
+    a share of total, FEW of them at most, are broadcast, so no task gets all rows of one."""
+    cap = max(1000, total // FEW)
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > cap).select(key))
+    rest = rows.join(hot, key, "left_anti").join(few, key)
+    return rows.join(F.broadcast(few.join(hot, key, "left_semi")), key).unionByName(rest)
+
+
 def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: DataFrame | None = None) -> DataFrame:
     """(id, rank) by power iteration; with seeds, the walk restarts at them alone. What vertices without an edge
-    hold is given back by the restart."""
+    hold is given back by the restart. Arcs are dealt by their source once and kept, so a round moves ranks alone; a lost
+    part of them is dealt anew from the table they come from."""
+    spark = edges.sparkSession
     arcs = both_ways(edges)
     out = arcs.groupBy("src").agg(F.sum("weight").alias("total"))
     arcs = saved(arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    arcs = arcs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist()
     start = vertices.select("id").distinct()
     start = start.join(seeds.select("id").distinct().withColumn("_s", F.lit(1.0)), "id", "left").fillna(0.0, ["_s"]) if seeds is not None else start.withColumn("_s", F.lit(1.0))
     total = start.agg(F.sum("_s")).first()[0] or 1.0
     start = saved(start.select("id", (F.col("_s") / total).alias("restart")))
     rank = start.select("id", F.col("restart").alias("rank"))
-    alone = start.join(out.select(F.col("src").alias("id")), "id", "left_anti").select("id")
+    alone = saved(start.join(out.select(F.col("src").alias("id")), "id", "left_anti").select("id"))
     stuck = alone.limit(1).count() > 0
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         flow = arcs.join(rank, arcs["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         moved = start.join(flow, start["id"] == flow["dst"], "left").select("id", "restart", F.coalesce("flow", F.lit(0.0)).alias("flow"))
         lost = (rank.join(alone, "id", "left_semi").agg(F.sum("rank")).first()[0] or 0.0) if stuck else 0.0
         rank = moved.select("id", (F.col("restart") * (1 - damping + damping * lost) + damping * F.col("flow")).alias("rank"))
-        rank = saved(rank)
+        rank = saved(rank) if stuck or turn % SAVE_EVERY == 0 or turn == rounds else rank
+    arcs.unpersist()
     return rank
 
 
@@ -78,11 +95,13 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     their label, so the number of rounds grows with the logarithm of the longest path."""
     arcs = saved(both_ways(edges.withColumn("weight", F.lit(1.0))).select("src", "dst"))
     label = saved(vertices.select("id", F.col("id").alias("component")).distinct())
+    total = label.count()
     while True:
         near = arcs.join(label, arcs["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("least"))
         spread = label.join(near, label["id"] == near["src"], "left").select("id", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
-        target = spread.select(F.col("id").alias("t"), F.col("component").alias("root"))
-        jumped = saved(spread.join(target, spread["component"] == target["t"]).select("id", F.least("component", "root").alias("component"), "was"))
+        spread = saved(spread)
+        target = spread.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        jumped = saved(split_join(spread, target, "component", total).select("id", F.least("component", "root").alias("component"), "was"))
         label = jumped.select("id", "component")
         if not jumped.where("component <> was").limit(1).count():
             return label
@@ -100,10 +119,11 @@ def communities(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0,
     degree = arcs.groupBy("src", "scope").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "id")
     degree = saved(degree.join(total, "scope").select("id", "k", "double_m"))
     now = saved(vertices.select("id").distinct().withColumn("community", F.col("id")))
+    many = now.count()
     for turn in range(rounds):
         mass = now.join(degree, "id").groupBy("community").agg(F.sum("k").alias("mass"))
         # a neighbouring community counts once for each vertex, with its mass, which goes along with the neighbours
-        heavy = now.join(mass, "community")
+        heavy = saved(split_join(now, mass, "community", many))
         pull = arcs.join(heavy.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"), F.first("mass").alias("mass"))
         own = heavy.join(degree, "id").select("id", F.col("community").alias("own"), "k", "double_m", F.col("mass").alias("own_mass"))
         choice = own.join(pull, "id").unionByName(own.withColumns({"community": F.col("own"), "w": F.lit(0.0), "mass": F.col("own_mass")}))
@@ -172,10 +192,6 @@ def chain(spark: SparkSession, pointers: DataFrame, most: int = 10) -> DataFrame
     return step.select("id", "last", "n")
 
 
-def newest(df: DataFrame, keys: list[str], order) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
     """The continuous quantiles of a column: rows are sorted by ranges, the ranges counted, and only the values at the
     places that a quantile lies between are fetched; no task holds more than its range."""

@@ -357,3 +357,13 @@ def cascaded_access(spark, d):
     gone = F.broadcast(w.where("id = 13").select(F.col("id").alias("o"), F.col("w").alias("ow")))  # one row
     near = (F.size(F.array_intersect("w", "ow")) >= 3) & (F.col("id") != F.col("o"))
     return w.crossJoin(gone).select("id", F.when(near, F.floor(F.col("access_count") / 2)).otherwise(F.col("access_count")).alias("access_count"))
+
+
+@query("remedied_blocks", f"WITH {BLOCKS_SQL}, f AS ({FINDINGS['semantic_contradictions']}), p AS (SELECT least(CAST(entity_id AS BIGINT), CAST(regexp_extract(message, '([0-9]+)', 1) AS BIGINT)) AS id, MAX(greatest(CAST(entity_id AS BIGINT), CAST(regexp_extract(message, '([0-9]+)', 1) AS BIGINT))) AS newer FROM f GROUP BY 1) SELECT b.id, b.is_invalid OR p.id IS NOT NULL AS is_invalid, CASE WHEN b.is_invalid THEN NULL ELSE p.newer END AS superseded_by FROM blocks b LEFT JOIN p ON b.id = p.id")
+def remedied_blocks(spark, d):
+    """Blocks after those that a newer one of nearly the same meaning has evolved from are invalidated; one that is invalid
+    already stays as it is."""
+    other = F.regexp_extract("message", "([0-9]+)", 1).cast("long")
+    f = CHECKS["semantic_contradictions"](spark, d).select(F.col("entity_id").cast("long").alias("a"), other.alias("b"))
+    p = f.groupBy(F.least("a", "b").alias("id")).agg(F.max(F.greatest("a", "b")).alias("newer"))
+    return blocks(spark, d).join(p, "id", "left").select("id", (F.col("is_invalid") | F.col("newer").isNotNull()).alias("is_invalid"), F.when(~F.col("is_invalid"), F.col("newer")).alias("superseded_by"))

@@ -386,8 +386,8 @@ def community_prompts(spark, d):
 
 
 @query("tier_transitions", f"""WITH {BLOCKS_SQL}, x AS (SELECT id, age_days, access_count AS acc, confidence AS imp, confidence * exp(-age_days / 100.0) AS score,
-    CASE WHEN age_days <= 14 THEN 'hot' WHEN age_days <= 180 THEN 'warm' ELSE 'cold' END AS tier FROM blocks),
-  y AS (SELECT id, tier, CASE WHEN tier = 'cold' AND acc >= 3 AND score >= 0.4 THEN 'warm' WHEN tier = 'cold' AND score < 0.05 AND age_days > 365 THEN 'frozen'
+    CASE WHEN age_days <= 14 THEN 'hot' WHEN age_days <= 180 THEN 'warm' WHEN age_days <= 1095 THEN 'cold' ELSE 'frozen' END AS tier FROM blocks),
+  y AS (SELECT id, tier, CASE WHEN tier = 'frozen' AND score >= 0.35 AND acc >= 5 THEN 'cold' WHEN tier = 'cold' AND acc >= 3 AND score >= 0.4 THEN 'warm' WHEN tier = 'cold' AND score < 0.05 AND age_days > 365 THEN 'frozen'
     WHEN tier = 'warm' AND acc >= 10 AND score >= 0.7 AND imp >= 0.8 THEN 'hot' WHEN tier = 'warm' AND (score < 0.08 OR (age_days > 180 AND acc < 1)) THEN 'cold'
     WHEN tier = 'hot' AND (score < 0.15 OR (age_days > 60 AND acc < 3)) THEN 'warm' END AS moved FROM x)
   SELECT id, tier, moved FROM y WHERE moved IS NOT NULL""")
@@ -395,7 +395,8 @@ def tier_transitions(spark, d):
     age, acc, imp = F.col("age_days"), F.col("access_count"), F.col("confidence")
     score, at = imp * F.exp(-age / 100.0), F.col("tier")
     moved = (
-        F.when((at == "cold") & (acc >= 3) & (score >= 0.4), "warm")
+        F.when((at == "frozen") & (score >= 0.35) & (acc >= 5), "cold")
+        .when((at == "cold") & (acc >= 3) & (score >= 0.4), "warm")
         .when((at == "cold") & (score < 0.05) & (age > 365), "frozen")
         .when((at == "warm") & (acc >= 10) & (score >= 0.7) & (imp >= 0.8), "hot")
         .when((at == "warm") & ((score < 0.08) | ((age > 180) & (acc < 1))), "cold")

@@ -11,7 +11,7 @@ from recallgrid.functions import scores, text
 from recallgrid.operators import fusion
 from recallgrid.plans.registry import query
 from recallgrid.schema import live
-from recallgrid.sources.tables import BLOCKS_SQL, FEEDBACK_SQL, blocks, feedback, raw, vectors
+from recallgrid.sources.tables import BLOCKS_SQL, blocks, raw, vectors
 
 TERMS = ["the", "worthless", "license", "thing", "onand"]
 TERMS_SQL = "('worthless', 'license', 'thing', 'onand')"  # as they are stemmed
@@ -52,17 +52,11 @@ COSINE_SQL = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * s
 
 
 @query("dense_topk", f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  s AS (SELECT a.id AS query_id, b.id AS id, ROUND({COSINE_SQL}, 6) AS score FROM e a, e b WHERE a.id < 5 AND a.id <> b.id),
+  s AS (SELECT a.id AS query_id, b.id AS id, ROUND({COSINE_SQL}, 6) AS score FROM e a, e b WHERE a.id % 100 = 0 AND a.id <> b.id),
   r AS (SELECT query_id, id, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
   SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def dense_topk(spark, d):
-    v = vectors(spark, d)
-    return fusion.dense_topk(v, v.where("id < 5"), 10)
-
-
-@query("dense_topk_whole")
-def dense_topk_whole(spark, d):
-    """Every vector whose id is divisible by 100 against all others; dense_topk asks for five only, as its SQL does."""
+    """Every vector whose id is divisible by 100 against all others."""
     v = vectors(spark, d)
     return fusion.dense_topk(v, v.where("id % 100 = 0"), 10)
 
@@ -76,45 +70,12 @@ def rank_fusion(spark, d):
     return fusion.reciprocal_rank(lists).select("id", F.round("score", 6).alias("score"))
 
 
-def scored(rows, feedback_weight: float = 0.15, trust_weight: float = 0.2):
-    """The row-wise scoring stages in their order, each a factor: rows have score, age_days, confidence, session,
-    net, n_chars, access_count. Ends with the least score kept."""
-    trust = F.when(F.col("session").isNotNull(), 0.8).otherwise(0.5)
-    for factor in (
-        scores.recency(F.col("age_days")),
-        scores.importance(F.col("confidence")),
-        scores.trust_boost(trust, trust_weight),
-        scores.feedback_boost(F.col("net"), feedback_weight),
-        scores.length_norm(F.col("n_chars")),
-        scores.time_decay(F.col("age_days"), F.col("confidence"), F.col("access_count")),
-    ):
-        rows = rows.withColumn("score", F.col("score") * factor)
-    return rows.where("score >= 0.1")
-
-
 WEIBULL_SQL = " ".join(
     f"WHEN c >= {least} THEN (CASE WHEN age <= 0 THEN 1.0 WHEN acc > 0 THEN {f} + {1 - f} * exp(-pow(age / least({s} * (1 + ln(1 + acc * pow(2.0, -age / 30.0))), {10 * s}), {p})) ELSE {f} + {1 - f} * exp(-pow(age / {s}, {p})) END)"
     for least, (s, p, f) in zip((0.8, 0.5, 0.3, -1), scores.WEIBULL.values(), strict=True)
 )
 
 
-@query(
-    "hybrid_search_scored",
-    f"""WITH {BLOCKS_SQL}, {FEEDBACK_SQL}, {BM25_SQL}, net AS (SELECT entity_id, SUM(CASE WHEN signal = 'positive' THEN 1 ELSE -1 END) AS net FROM feedback GROUP BY 1),
-  top AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 200),
-  x AS (SELECT t.id, t.score, CAST(b.age_days AS DOUBLE) AS age, b.confidence AS c, CAST(b.access_count AS DOUBLE) AS acc, CAST(COALESCE(n.net, 0) AS DOUBLE) AS net, length(b.content) AS len
-    FROM top t JOIN blocks b ON t.id = b.id LEFT JOIN net n ON t.id = n.entity_id),
-  y AS (SELECT id, score * (1 + 0.15 * exp(-age / 14.0)) * (0.7 + 0.3 * (CASE WHEN c = 0 THEN 0.5 ELSE c END)) * (1 - 0.2 * (1 - 0.8)) * (1 + 0.15 * tanh(net / 3))
-    / (1 + 0.3 * abs(log2(greatest(len, 1) / 500.0))) * (CASE {WEIBULL_SQL} END) AS score FROM x)
-  SELECT id, ROUND(score, 4) AS score FROM y WHERE score >= 0.1 ORDER BY score DESC, id LIMIT 10""",
-)
-def hybrid_search_scored(spark, d):
-    net = feedback(spark, d).groupBy(F.col("entity_id").alias("id")).agg(F.sum(F.when(F.col("signal") == "positive", 1).otherwise(-1)).alias("net"))
-    about = live(blocks(spark, d)).select("id", "session", "confidence", "access_count", "age_days", F.length("content").alias("n_chars"))
-    rows = _bm25(spark, d, 200).join(about, "id").join(net, "id", "left").fillna(0, ["net"])
-    return scored(rows).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 4).alias("score"))
-
-
 @query("scoring_factors", f"""WITH {BLOCKS_SQL}, x AS (SELECT id, CAST(age_days AS DOUBLE) AS age, confidence AS c, CAST(access_count AS DOUBLE) AS acc, length(content) AS len FROM blocks)
   SELECT id, ROUND(1 + 0.15 * exp(-age / 14.0), 6) AS recency, ROUND(1 / (1 + 0.3 * abs(log2(greatest(len, 1) / 500.0))), 6) AS length_norm, ROUND(CASE {WEIBULL_SQL} END, 6) AS decay FROM x""")
 def scoring_factors(spark, d):
@@ -123,12 +84,18 @@ def scoring_factors(spark, d):
     return b.select("id", F.round(scores.recency(age), 6).alias("recency"), F.round(scores.length_norm(F.length("content")), 6).alias("length_norm"), F.round(scores.time_decay(age, F.col("confidence"), F.col("access_count")), 6).alias("decay"))
 
 
+#: Rows of a result list that its last stage takes.
+MOST_RESULTS = 3000
+
+
 def greedy_dedup(rows, threshold: float = 0.85, factor: float = 0.5, least: float = 0.1):
     """(id, score) of a result list (id, score, vec) after pairwise dedup: in list order, a row that is like an earlier
     kept one loses half its score, once for each, and goes when it falls below the least. Order decides, so one task
     does it; the list is one that a limit has cut."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_RESULTS:
+            raise ValueError(f"a result list of {len(pdf)} rows; cut it to {MOST_RESULTS} before")
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
         x = np.stack(pdf["vec"].to_list()) if len(pdf) else np.zeros((0, 1))
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)

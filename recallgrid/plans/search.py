@@ -233,19 +233,20 @@ def staged(rows: DataFrame, intent: str = "unknown") -> DataFrame:
     return rows.where("score >= 0.1").where(text.noise_reason(F.col("content")).isNull())
 
 
-def candidates(spark, d) -> DataFrame:
-    """The 200 best of keyword search with all that the stages ask for."""
+def candidates(spark, d, found: DataFrame | None = None) -> DataFrame:
+    """Found rows (id, score), or else the 200 best of keyword search, with all that the stages ask for."""
     net = feedback(spark, d).groupBy(F.col("entity_id").alias("id")).agg(F.sum(F.when(F.col("signal") == "positive", 1).otherwise(-1)).alias("net"))
     about = live(blocks(spark, d)).select("id", "session", "confidence", "access_count", "age_days", "content", F.length("content").alias("n_chars"))
-    rows = sparse(spark, d, 200).join(about, "id").join(net, "id", "left").join(near(spark, d).select("id", F.col("score").alias("likeness")), "id", "left")
+    found = sparse(spark, d, 200) if found is None else found
+    rows = found.join(about, "id").join(net, "id", "left").join(near(spark, d).select("id", F.col("score").alias("likeness")), "id", "left")
     return with_ppr(rows, spark, d).fillna(0, ["net"]).fillna(0.0, ["likeness"])
 
 
-def _staged_sql(intent: str) -> str:
+def _staged_sql(intent: str, top: str = "SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 200") -> str:
     r, m, t, f = scores.INTENT_WEIGHTS.get(intent, scores.DEFAULT_WEIGHTS)
-    return f"""net AS (SELECT entity_id, SUM(CASE WHEN signal = 'positive' THEN 1 ELSE -1 END) AS net FROM feedback GROUP BY 1), top AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 200),
+    return f"""net AS (SELECT entity_id, SUM(CASE WHEN signal = 'positive' THEN 1 ELSE -1 END) AS net FROM feedback GROUP BY 1), top AS ({top}),
   x AS (SELECT t.id, t.score, CAST(b.age_days AS DOUBLE) AS age, b.confidence AS c, CAST(b.access_count AS DOUBLE) AS acc, CAST(COALESCE(n.net, 0) AS DOUBLE) AS net, length(b.content) AS len, trim(b.content) AS t,
-    COALESCE(CAST(p.ppr AS DOUBLE), 0.0) AS ppr, COALESCE(e.score, 0.0) AS likeness FROM top t JOIN blocks b ON t.id = b.id LEFT JOIN net n ON t.id = n.entity_id LEFT JOIN pm p ON t.id = p.id LEFT JOIN near e ON t.id = e.id),
+    COALESCE(CAST(p.ppr AS DOUBLE), 0.0) AS ppr, COALESCE(e.score, 0.0) AS likeness FROM top t JOIN blocks b ON t.id = b.id AND NOT b.is_deleted LEFT JOIN net n ON t.id = n.entity_id LEFT JOIN pm p ON t.id = p.id LEFT JOIN near e ON t.id = e.id),
   y AS (SELECT id, t, score * (1 + {r} * exp(-age / 14.0)) * (0.7 + 0.3 * (CASE WHEN c = 0 THEN 0.5 ELSE c END)) * (1 - {t} * (1 - 0.8)) * (1 + {f} * tanh(net / 3)) / (1 + 0.3 * abs(log2(greatest(len, 1) / 500.0)))
     * (CASE {WEIBULL_SQL} END) * (1 + 0.3 * ppr) * (1 + {m} * greatest(0.0, likeness)) AS score FROM x),
   z AS (SELECT id, score FROM y WHERE score >= 0.1 AND ({NOISE_SQL}) IS NULL)"""
@@ -257,6 +258,18 @@ def intent_scored_search(spark, d):
     return staged(candidates(spark, d), "factual").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 4).alias("score"))
 
 
+@query("hybrid_search_scored", f"WITH {BLOCKS_SQL}, {TRIPLES_SQL}, {FEEDBACK_SQL}, {HYBRID_SQL}, {PPR_SQL}, {MENTIONS_SQL}, {PPR_OF_SQL}, {_staged_sql('conceptual', 'SELECT id, score / (SELECT MAX(score) FROM hy) AS score FROM hy ORDER BY hy.score DESC, id LIMIT 100')} SELECT id, ROUND(CAST(score AS DOUBLE), 4) AS score FROM z ORDER BY z.score DESC, id LIMIT 10")
+def hybrid_search_scored(spark, d):
+    """Search as it is served: keyword and vector lists fused, the fused score over the best one, then ten of the stages."""
+    return staged(candidates(spark, d, _fused(spark, d)), "conceptual").orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 4).alias("score"))
+
+
+def _fused(spark, d) -> DataFrame:
+    lists = [(fusion.ranked(found, F.desc("score"), F.col("id")), 1.0) for found in (sparse(spark, d, 60), dense(spark, d, 60))]
+    fused = fusion.reciprocal_rank(lists).orderBy(F.desc("score"), "id").limit(100)
+    return fused.crossJoin(F.broadcast(fused.agg(F.max("score").alias("best")))).select("id", (F.col("score") / F.col("best")).alias("score"))  # one row
+
+
 @query("full_search")
 def full_search(spark, d):
     """All eleven stages. The last depends on the list's order, so one task takes the 60 rows that are left to it."""
@@ -413,3 +426,27 @@ def inspect_payload(spark, d):
     """The evidence of each query's cards, flattened by layer."""
     cards = cascade(spark, d).groupBy("query_id", "layer").agg(F.collect_list("key").alias("evidence"))  # five at most
     return cards.select("query_id", "layer", F.explode("evidence").alias("key")).groupBy("query_id", "layer").agg(F.count("*").alias("refs"), F.min("key").alias("first"))
+
+
+@query("ppr_recall", f"""WITH {TRIPLES_SQL}, {PPR_SQL}, v AS (SELECT id, subject, object, created_at FROM triples WHERE NOT is_deleted AND NOT is_invalid AND session % 50 = 1), n AS (SELECT * FROM v ORDER BY created_at DESC, id DESC LIMIT 2000),
+  e AS (SELECT id FROM ppr WHERE ppr > 0 ORDER BY ROUND(CAST(ppr AS DOUBLE), 9) DESC, id LIMIT 10)
+  SELECT id FROM n WHERE (SELECT COUNT(*) FROM v) >= 50 AND (subject IN (SELECT id FROM e) OR object IN (SELECT id FROM e)) ORDER BY created_at DESC, id DESC LIMIT 5""")
+def ppr_recall(spark, d):
+    """The newest facts about the ten entities that a walk from the query's ranks highest; of fifty valid facts or more, the
+    2,000 newest are looked at."""
+    v = valid(triples(spark, d)).where("session % 50 = 1").select("id", "subject", "object", "created_at")
+    if v.limit(50).count() < 50:
+        return v.limit(0).select("id")
+    newest = v.orderBy(F.desc("created_at"), F.desc("id")).limit(2000)
+    top = entity_ppr(spark, d).where("ppr > 0").orderBy(F.desc(F.round("ppr", 9)), "id").limit(10).select(F.col("id").alias("e"))
+    met = newest.join(F.broadcast(top), (F.col("subject") == F.col("e")) | (F.col("object") == F.col("e")), "left_semi")  # ten rows
+    return met.orderBy(F.desc("created_at"), F.desc("id")).limit(5).select("id")
+
+
+@query("domain_filtered_search", f"WITH {BLOCKS_SQL}, {BM25_SQL}, r AS (SELECT bm.id, bm.score, b.lang FROM bm JOIN blocks b ON bm.id = b.id), t AS (SELECT * FROM r WHERE lang = 'xx') SELECT id, score FROM r WHERE (SELECT COUNT(*) FROM t) < 2 ORDER BY score DESC, id LIMIT 10")
+def domain_filtered_search(spark, d):
+    """Search among the blocks of a domain's tag; with fewer than two, again without it, as here, where no block has the tag."""
+    rows = sparse(spark, d, 1_000_000).join(live(blocks(spark, d)).select("id", "tags"), "id")
+    tagged = rows.where(F.array_contains("tags", "xx"))
+    found = rows if tagged.limit(2).count() < 2 else tagged
+    return found.orderBy(F.desc("score"), "id").limit(10).select("id", "score")

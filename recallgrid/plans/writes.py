@@ -188,10 +188,10 @@ def multi_term_search_han(spark, d):
     return found[0].unionByName(found[1]).select("id").distinct()
 
 
-@query("full_text_match", f"WITH {BLOCKS_SQL}, w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS w FROM blocks WHERE NOT is_deleted) SELECT id FROM w WHERE w IN ('license', 'licenses') INTERSECT SELECT id FROM w WHERE w IN ('permission', 'permissions')")
+@query("full_text_match", f"WITH {BLOCKS_SQL}, w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS w FROM blocks WHERE NOT is_deleted) SELECT id FROM w WHERE w IN ('license', 'licenses') INTERSECT SELECT id FROM w WHERE w IN ('mit', 'mits')")
 def full_text_match(spark, d):
     """Blocks that have every stem of the query's words."""
-    wanted = F.array_distinct(text.tokens(F.lit("the licenses of permissions")))
+    wanted = F.array_distinct(text.tokens(F.lit("the MIT licenses")))
     return live(blocks(spark, d)).where(F.size(F.array_except(wanted, text.tokens(F.col("content")))) == 0).select("id")
 
 
@@ -240,12 +240,13 @@ def write_gates(spark, d):
     return rows.join(first, "h", "left").select("id", outcome.alias("outcome"))
 
 
-@query("burst_access", f"""WITH {JOURNAL_SQL}, h AS (SELECT entity_id, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM journal GROUP BY 1, 2)
-  SELECT entity_id, day, n, ROUND(CAST(least(0.9, 0.3 + 0.12 * n / 20.0) AS DOUBLE), 6) AS severity FROM h WHERE n > 20""")
+@query("burst_access", f"""WITH {JOURNAL_SQL}, h AS (SELECT entity_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 10 AS decade, COUNT(*) AS n FROM journal GROUP BY 1, 2)
+  SELECT entity_id, decade, n, ROUND(CAST(least(0.9, 0.3 + 0.12 * n / 20.0) AS DOUBLE), 6) AS severity FROM h WHERE n > 20""")
 def burst_access(spark, d):
-    """Entities asked for more than twenty times in a window, here of a day, and how grave that is."""
-    h = journal(spark, d).groupBy("entity_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).where("n > 20")
-    return h.select("entity_id", "day", "n", F.round(F.least(F.lit(0.9), 0.3 + 0.12 * F.col("n") / 20.0), 6).alias("severity"))
+    """Entities asked for more than twenty times in a window, here of ten days, and how grave that is."""
+    window = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 10)
+    h = journal(spark, d).groupBy("entity_id", window.alias("decade")).agg(F.count("*").alias("n")).where("n > 20")
+    return h.select("entity_id", "decade", "n", F.round(F.least(F.lit(0.9), 0.3 + 0.12 * F.col("n") / 20.0), 6).alias("severity"))
 
 
 @query("fetch_ranked", "WITH r AS (SELECT doc_id AS id, ROW_NUMBER() OVER (ORDER BY doc_id * 7919 % 1009, doc_id) AS rank FROM documents WHERE doc_id % 100 = 0) SELECT r.id, d.lang, r.rank FROM r JOIN documents d ON r.id = d.doc_id")
