@@ -99,8 +99,10 @@ def resolved(kind: str, ref: datetime, direction: str | None = None, unit: str |
         if weekday_:
             return ref + timedelta(days=weekday_ - ref.isoweekday(), weeks=1)
         if day_of_month:
-            year, month = (ref.year, ref.month) if ref.day < day_of_month <= calendar.monthrange(ref.year, ref.month)[1] else divmod(ref.year * 12 + ref.month, 12)
-            month += (year, month) != (ref.year, ref.month)
+            year, month = ref.year, ref.month
+            if not ref.day < day_of_month <= calendar.monthrange(year, month)[1]:
+                year, month = divmod(ref.year * 12 + ref.month, 12)
+                month += 1
             return ref.replace(year=year, month=month, day=min(day_of_month, calendar.monthrange(year, month)[1]))
     return None
 

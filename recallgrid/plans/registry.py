@@ -17,6 +17,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return put
-
-
-from recallgrid.plans import health, knowledge, lifecycle, linking, relational, retrieval, routing, search, streams, writes  # noqa: E402, F401  (they register their queries)

@@ -99,14 +99,14 @@ def keyword_search(spark, d):
     return fusion.bm25_search(rows, _wanted(), 1_000_000).join(held.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("search_with_fallback", f"WITH {BLOCKS_SQL} SELECT id, 0.5 AS score FROM blocks WHERE contains(lower(content), 'urierr') AND NOT is_deleted ORDER BY id LIMIT 10")
+@query("search_with_fallback", f"WITH {BLOCKS_SQL} SELECT id, 0.5 AS score FROM blocks WHERE contains(lower(content), 'ntheb') AND NOT is_deleted ORDER BY id LIMIT 10")
 def search_with_fallback(spark, d):
     """Search by tokens; where it finds nothing, as for a part of a word, literal search."""
     rows = live(blocks(spark, d))
-    found = fusion.bm25_search(rows, ["urierr"], 10)
+    found = fusion.bm25_search(rows, ["ntheb"], 10)
     if found.limit(1).count():
         return found
-    return rows.where(text.contains_any(F.col("content"), ["urierr"])).select("id", F.lit(0.5).alias("score")).orderBy("id").limit(10)
+    return rows.where(text.contains_any(F.col("content"), ["ntheb"])).select("id", F.lit(0.5).alias("score")).orderBy("id").limit(10)
 
 
 @query("temporal_fallback", f"WITH {JOURNAL_SQL} SELECT id, 1.0 AS score FROM journal WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00' ORDER BY ts DESC, id LIMIT 20")

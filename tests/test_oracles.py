@@ -3,15 +3,15 @@
 import pytest
 
 from conftest import rows_of
-from recallgrid.plans import registry
+from recallgrid.plans import catalog
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(name, spark, db, data):
-    df = registry.QUERIES[name](spark, data)
+    df = catalog.QUERIES[name](spark, data)
     found = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    if name in registry.ORACLES:
-        want = db.execute(registry.ORACLES[name])
+    if name in catalog.ORACLES:
+        want = db.execute(catalog.ORACLES[name])
         names = [c[0] for c in want.description]
         assert sorted(names) == sorted(df.columns)
         assert found == rows_of(names, want.fetchall())
