@@ -5,17 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions import scores, text
-from recallgrid.operators import tables as ops
 from recallgrid.operators.graph import saved
 from recallgrid.plans import linking
 from recallgrid.plans.knowledge import NAME_VECTORS
 from recallgrid.plans.registry import ORACLES, QUERIES, query
 from recallgrid.schema import live, valid
-from recallgrid.sources.tables import BLOCKS_SQL, CLAIMS_SQL, ENTITIES_SQL, LIVE_ENTITIES_SQL, MEMBERS_SQL, TEXTS_SQL, TRIPLES_SQL, blocks, claims, entities, raw, sql_text, texts, triples, vectors
+from recallgrid.sources.tables import BLOCKS_SQL, CLAIMS_SQL, ENTITIES_SQL, TEXTS_SQL, TRIPLES_SQL, blocks, claims, entities, raw, sql_text, texts, triples, vectors
 
 Check = Callable[..., DataFrame]
 #: Every check by name, and the SQL of its findings.

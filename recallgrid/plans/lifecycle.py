@@ -13,7 +13,7 @@ from recallgrid.plans import knowledge, search, writes
 from recallgrid.plans.health import CONTRADICTING_SQL, contradicting
 from recallgrid.plans.registry import ORACLES, query
 from recallgrid.schema import live, valid
-from recallgrid.sources.tables import BLOCKS_SQL, ENTITIES_SQL, JOURNAL_SQL, TEXTS_SQL, TRIPLES_SQL, blocks, journal, raw, sql_text, texts, triples, vectors
+from recallgrid.sources.tables import BLOCKS_SQL, JOURNAL_SQL, TEXTS_SQL, TRIPLES_SQL, blocks, journal, raw, sql_text, texts, triples, vectors
 
 # By category, what becomes of similar blocks, from what likeness on, and from what likeness on they may conflict.
 DEDUP = {"knowledge": ("merge_if_similar", 0.88, 0.83), "attitude": ("merge_if_similar", 0.82, 0.88), "skill": ("append_only", 0.88, 0.87), "general": ("merge_if_similar", 0.88, 0.85)}

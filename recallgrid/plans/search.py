@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions import routing as rules
@@ -15,7 +15,7 @@ from recallgrid.plans.registry import query
 from recallgrid.plans.retrieval import BM25_SQL, TERMS, WEIBULL_SQL, greedy_dedup
 from recallgrid.plans.routing import INTENTS_SQL, NOISE_SQL, routed
 from recallgrid.schema import live, valid
-from recallgrid.sources.tables import BLOCKS_SQL, COMMUNITIES_SQL, ENTITIES_SQL, FEEDBACK_SQL, JOURNAL_SQL, TRIPLES_SQL, blocks, communities, entities, feedback, journal, raw, triples, vectors
+from recallgrid.sources.tables import BLOCKS_SQL, COMMUNITIES_SQL, ENTITIES_SQL, FEEDBACK_SQL, JOURNAL_SQL, TRIPLES_SQL, blocks, communities, entities, feedback, journal, triples, vectors
 
 COSINE_SQL = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 #: The nearest vectors to that of a query, here the vector of id 0.
