@@ -110,7 +110,8 @@ def keywords(text: Column) -> Column:
     """Up to eight: Han pairs, and Latin words of three letters or more, stop words left out."""
     found = F.regexp_extract_all(text, F.lit(r"([a-zA-Z0-9][a-zA-Z0-9_\-.]*)"), F.lit(1))
     latin = F.filter(found, lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*STOPWORDS))
-    first = F.filter(latin, lambda x, i: ~F.exists(F.slice(latin, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    low = F.transform(latin, F.lower)
+    first = F.transform(F.slice(F.array_distinct(low), 1, 8), lambda x: F.element_at(latin, F.array_position(low, x).cast("int")))
     return F.slice(F.when(F.rlike(text, F.lit(HAN)), F.array_distinct(F.concat(han_pairs(text), first))).otherwise(first), 1, 8)
 
 
@@ -134,9 +135,11 @@ def contains_any(text: Column, terms: list[str]) -> Column:
 
 
 def repetitive(text: Column) -> Column:
-    """One character makes up over four fifths."""
-    chars = F.split(text, "")
-    most = F.aggregate(F.array_distinct(chars), F.lit(0), lambda m, c: F.greatest(m, F.length(text) - F.length(F.replace(text, c, F.lit("")))))
+    """One character makes up over four fifths. In a text of more than sixteen characters such a one stands four times in
+    a row somewhere, so only characters that do are counted."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1{3}"), F.lit(1))
+    candidates = F.array_distinct(F.when(F.length(text) > 16, runs).otherwise(F.split(text, "")))
+    most = F.aggregate(candidates, F.lit(0), lambda m, c: F.greatest(m, F.length(text) - F.length(F.replace(text, c, F.lit("")))))
     return most > F.length(text) * 0.8
 
 

@@ -205,10 +205,10 @@ def ppr_boost(spark, d):
     return with_ppr(blocks(spark, d).select("id"), spark, d).select("id", F.round(scores.ppr_boost(F.col("ppr")), 6).alias("factor"))
 
 
-@query("semantic_boost", f"WITH {DENSE_SQL} SELECT id, ROUND(1 + 0.3 * greatest(0.0, score), 6) AS factor FROM near")
+@query("semantic_boost", f"WITH {DENSE_SQL} SELECT id, ROUND(1 + 0.3 * greatest(0.0, score), 8) AS factor FROM near")
 def semantic_boost(spark, d):
     """The eighth stage: more for blocks whose vector is like the query's."""
-    return near(spark, d).select("id", F.round(scores.semantic_boost(F.col("score"), 0.3), 6).alias("factor"))
+    return near(spark, d).select("id", F.round(scores.semantic_boost(F.col("score"), 0.3), 8).alias("factor"))
 
 
 def staged(rows: DataFrame, intent: str = "unknown") -> DataFrame:
@@ -230,7 +230,8 @@ def staged(rows: DataFrame, intent: str = "unknown") -> DataFrame:
     assert tuple(stages) == scores.STAGES[:8]
     for factor in stages.values():
         rows = rows.withColumn("score", F.col("score") * factor)
-    return rows.where("score >= 0.1").where(text.noise_reason(F.col("content")).isNull())
+    # the list is short by now; saved, so that the rules on noise aren't pushed down to the whole table
+    return graph.saved(rows.where("score >= 0.1")).where(text.noise_reason(F.col("content")).isNull())
 
 
 def candidates(spark, d, found: DataFrame | None = None) -> DataFrame:
