@@ -150,9 +150,10 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str, keys: lis
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's file as a stream."""
+    """A table, one file or a folder of parts, as a stream. The path is a pattern that matches it alone: a stream takes a
+    plain path for a folder's, and a filter of names would pass over the parts in one."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 Operator = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
