@@ -21,3 +21,7 @@ def parts(spark, data, tmp_path, table):
 
 def test_digests_of_a_folder(spark, db, data, tmp_path):
     assert plain(catalog.QUERIES["stream_digest_blocks"](spark, parts(spark, data, tmp_path, "conversations"))) == sql(db, "stream_digest_blocks") != []
+
+
+def test_extraction_of_a_folder(spark, db, data, tmp_path):
+    assert plain(catalog.QUERIES["stream_extraction"](spark, parts(spark, data, tmp_path, "documents"))) == sql(db, "stream_extraction") != []
