@@ -60,3 +60,8 @@ def turns(spark, tmp_path):
 def test_reflected_facts_of_odd_blanks(spark, tmp_path):
     d, con = turns(spark, tmp_path)
     assert plain(catalog.QUERIES["reflected_facts"](spark, d)) == sql(con, "reflected_facts")
+
+
+def test_reflection_of_odd_blanks(spark, tmp_path):
+    d, con = turns(spark, tmp_path)
+    assert plain(catalog.QUERIES["reflection"](spark, d)) == sql(con, "reflection")
