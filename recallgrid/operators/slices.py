@@ -1,4 +1,5 @@
-"""What runs in the workers of graph.over_slices: slices of edges are read from the shared folder and met with each other."""
+"""What runs in the workers of graph.over_slices: slices of edges are read from the shared folder and met with each other; and
+of graph.shared_sessions: pairs are packed for the shuffle, and weighed where they are dealt to."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ import pyarrow.parquet as pq
 
 #: Bytes of marks, candidates looked up at once, and rows of a batch that goes out.
 MARKS, CANDIDATES, ROWS = 1 << 25, 1 << 20, 1 << 16
+#: Pairs that are packed together.
+PACKED = 1 << 20
 
 
 def _read(folder: str, columns: list[str]) -> list[np.ndarray]:
@@ -137,3 +140,83 @@ def over(path: str, ends: str, groups: int, pairs: list[tuple[int, int]], extra:
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + ROWS]) for x in out], names)
 
     return run
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Integers by the places of their bytes, of which the upper are nearly all alike."""
+    return pa.compress(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
+
+
+def _pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """rows: session, entity, group and part, in the order of the first two. The pairs of each session, a few at a time: both
+    entities, the slice and the part of the first."""
+    at, k = np.arange(rows.shape[1]), 1
+    while len(at := at[at + k < rows.shape[1]]) and len(at := at[rows[0, at] == rows[0, at + k]]):
+        for i in range(0, len(at), PACKED):
+            x, y = rows[1:, at[i : i + PACKED]], rows[1:, at[i : i + PACKED] + k]
+            yield np.stack([x[0], y[0], np.minimum(x[1], y[1]), np.maximum(x[1], y[1]), x[2]])
+        k += 1
+
+
+def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (session, entity, grp, part), sorted by session and entity, as the pairs of entities that meet in a session, packed
+    for each slice and part."""
+
+    def sessions() -> Iterator[np.ndarray]:
+        held, rows = [], 0
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if not x.shape[1]:
+                continue
+            held.append(x)
+            rows += x.shape[1]
+            if rows >= ROWS and held[0][0, 0] != x[0, -1]:
+                x = np.concatenate(held, axis=1)
+                end = int(np.searchsorted(x[0], x[0, -1]))  # the last session may go on
+                yield x[:, :end]
+                held, rows = [x[:, end:]], x.shape[1] - end
+        if held:
+            yield np.concatenate(held, axis=1)
+
+    def bundles() -> Iterator[np.ndarray]:
+        held, rows = [], 0
+        for x in sessions():
+            again = (x[0, 1:] == x[0, :-1]) & (x[1, 1:] == x[1, :-1])
+            for pairs in _pairs(x[:, np.concatenate([[True], ~again])]):
+                held.append(pairs)
+                rows += pairs.shape[1]
+                if rows >= PACKED:
+                    yield np.concatenate(held, axis=1)
+                    held, rows = [], 0
+        if held:
+            yield np.concatenate(held, axis=1)
+
+    for x in bundles():
+        x = x[:, np.lexsort((x[1], x[0], x[4], x[3], x[2]))]
+        start = np.flatnonzero(np.concatenate([[True], (x[2:, 1:] != x[2:, :-1]).any(axis=0)]))
+        end = np.append(start[1:], x.shape[1])
+        data = [[_packed(np.diff(x[0, i:j], prepend=0)) for i, j in zip(start, end, strict=True)], [_packed(x[1, i:j]) for i, j in zip(start, end, strict=True)]]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[c, start].astype(np.int32)) for c in (2, 3, 4)], pa.array(end - start), *[pa.array(d, pa.binary()) for d in data]], ["low", "high", "part", "n", "a", "b"])
+
+
+def weighed(ends: str) -> Callable:
+    """Packed pairs of one slice and part as (a, b, weight, n_a, n_b): each once, with its number, and the numbers of both ends."""
+
+    def run(table: pa.Table) -> pa.Table:
+        packs = table.select(["n", "a", "b"]).to_pylist()
+        a = np.concatenate([np.cumsum(_unpacked(p["a"], p["n"])) for p in packs])
+        b = np.concatenate([_unpacked(p["b"], p["n"]) for p in packs])
+        found = [_read(f"{ends}/grp={k}", ["id", "n"]) for k in {table["low"][0].as_py(), table["high"][0].as_py()}]
+        ids, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(ids)
+        ids, n = ids[order], n[order]
+        keys, weight = np.unique(np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b), return_counts=True)
+        x, y = np.divmod(keys, len(ids))
+        return pa.table({"a": ids[x], "b": ids[y], "weight": weight.astype(float), "n_a": n[x], "n_b": n[y]})
+
+    return run

@@ -1,15 +1,17 @@
 """What only larger or odd tables show: folders of parts, rows with one id, blanks beyond the plain space, hubs."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from conftest import rows_of
 from recallgrid.functions import text
-from recallgrid.operators import graph
+from recallgrid.operators import graph, slices
 from recallgrid.plans import catalog
 from recallgrid.plans.routing import NOISE_SQL
 
@@ -113,3 +115,45 @@ def test_quantiles_shuffle_no_rows(spark):
         assert graph.quantiles(df, "v", [0.5, 0.95, 1.0]) == [0.0, 2.0, 1e12] and not seen
     finally:
         frame.repartitionByRange = kept
+
+
+def test_pairs_of_sessions_across_batches(monkeypatch, tmp_path):
+    monkeypatch.setattr(slices, "ROWS", 7)
+    monkeypatch.setattr(slices, "PACKED", 5)
+    seen = sorted({(s, e) for s in (-3, 2, 5, 1 << 40) for e in range(-4, 30) if (e * 7 + s) % 5} | {(k, k % 30) for k in range(6, 60)})
+    rows = [r for r in seen for _ in range(1 + (r[1] % 3 == 0))]  # some lines stand twice
+    columns = [[s for s, _ in rows], [e for _, e in rows], [e % 3 for _, e in rows], [e % 2 for _, e in rows]]
+    table = pa.table(dict(zip(["session", "entity", "grp", "part"], map(pa.array, columns), strict=True)))
+    want, number = Counter(), Counter(e for _, e in seen)
+    for s in {s for s, _ in seen}:
+        want.update(combinations(sorted(e for x, e in seen if x == s), 2))
+    for k in range(3):
+        (tmp_path / f"grp={k}").mkdir()
+        mine = [e for e in number if e % 3 == k]
+        pq.write_table(pa.table({"id": pa.array(mine, pa.int64()), "n": pa.array([number[e] for e in mine], pa.int64())}), tmp_path / f"grp={k}/part-0.parquet")
+    packs, got = pa.Table.from_batches(slices.met(table.to_batches(4))).to_pylist(), []
+    for key in {(p["low"], p["high"], p["part"]) for p in packs}:
+        mine = pa.Table.from_pylist([p for p in packs if (p["low"], p["high"], p["part"]) == key])
+        got += [tuple(r.values()) for r in slices.weighed(f"file://{tmp_path}")(mine).to_pylist()]
+    assert sorted(got) == sorted((a, b, float(n), number[a], number[b]) for (a, b), n in want.items())
+
+
+def odd_lines(spark, data, tmp_path):
+    """lineitem with repeated lines, lines without order or part, and an order of very many lines."""
+    line = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    hub = line.where("l_partkey % 2 = 0").select(F.lit(-7).cast("long").alias("l_orderkey"), "l_partkey")
+    holes = line.limit(50).select(F.lit(None).cast("long").alias("l_orderkey"), "l_partkey").union(line.limit(50).select("l_orderkey", F.lit(None).cast("long")))
+    line.union(hub).union(holes).union(line.where("l_orderkey < 100")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    return str(tmp_path), con
+
+
+def test_session_jaccard_of_odd_lines_in_few_bytes(spark, data, tmp_path):
+    d, con = odd_lines(spark, data, tmp_path)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = plain(catalog.QUERIES["session_jaccard"](spark, d))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == sql(con, "session_jaccard") != []
+    assert written() - before < 20 * len(got)  # of which half are the lines'; rows of pairs took 28, and a table of them besides
