@@ -157,3 +157,24 @@ def test_session_jaccard_of_odd_lines_in_few_bytes(spark, data, tmp_path):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert got == sql(con, "session_jaccard") != []
     assert written() - before < 20 * len(got)  # of which half are the lines'; rows of pairs took 28, and a table of them besides
+
+
+def odd_documents(spark, tmp_path):
+    """documents with ids below zero, null, repeated and very large, and texts of nearly fifty characters of several widths."""
+    texts = [None, "", *(c * n for c in ("a", "é", "é", "字", "🦆", " ", "\n", "\x00") for n in (24, 25, 49, 50, 51))]
+    ids = [None, 1 << 62, -(1 << 62) - 1, 5, 5, *range(-9, 9)]
+    rows = [(i, t, "en", "web") for i in ids for t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    return str(tmp_path), con
+
+
+def test_extraction_of_odd_documents(spark, tmp_path):
+    d, con = odd_documents(spark, tmp_path)
+    assert plain(catalog.QUERIES["stream_extraction"](spark, d)) == sql(con, "stream_extraction") != []
+
+
+def test_extraction_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["stream_extraction"](spark, str(tmp_path)).collect() == []
