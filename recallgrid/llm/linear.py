@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Features that are looked at together.
+PART = 1 << 18
+
 
 @dataclass
 class Sets:
@@ -14,9 +18,14 @@ class Sets:
     at: np.ndarray
     of: np.ndarray
 
-    @property
-    def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, feature) of all rows, for about PART features at a time, one row at least: 64-bit copies of all rows at once
+        would be several times what the sets take."""
+        a, n = 0, len(self.at) - 1
+        while a < n:
+            b = min(n, max(a + 1, int(np.searchsorted(self.at, self.at[a] + PART, "right")) - 1))
+            yield np.repeat(np.arange(a, b), np.diff(self.at[a : b + 1])), self.of[self.at[a] : self.at[b]]
+            a = b
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -26,9 +35,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def select(sets: Sets, target: np.ndarray, buckets: int, least: int, score: float, most: int) -> np.ndarray:
     """The features in at least `least` rows whose share differs between the classes by `score` standard
     errors, the strongest `most` of them."""
-    weight = target[sets.rows]
-    n = np.bincount(sets.of, minlength=buckets).astype(float)
-    ones = np.bincount(sets.of, weights=weight, minlength=buckets)
+    n, ones = np.zeros(buckets), np.zeros(buckets)
+    for row, of in sets.parts():
+        np.add.at(n, of, 1.0)
+        np.add.at(ones, of, target[row])
     n1, n0 = max(target.sum(), 1e-9), max((1 - target).sum(), 1e-9)
     p = n / max(len(target), 1)
     z = (ones / n1 - (n - ones) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
@@ -43,8 +53,12 @@ def fit(sets: Sets, target: np.ndarray, features: np.ndarray, ridge: float = 1e-
     slot = {int(f): i for i, f in enumerate(features)}
 
     def narrow(s: Sets) -> tuple[np.ndarray, np.ndarray]:
-        keep = np.isin(s.of, features)
-        return s.rows[keep], np.array([slot[int(f)] for f in s.of[keep]], np.int64)
+        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, of in s.parts():
+            keep = np.isin(of, features)
+            rows.append(row[keep])
+            cols.append(np.array([slot[int(f)] for f in of[keep]], np.int64))
+        return np.concatenate(rows), np.concatenate(cols)
 
     rows, cols = narrow(sets)
     k, n = len(features), max(1, len(target))

@@ -122,6 +122,20 @@ def _sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys // BUCKETS, keys % BUCKETS
 
 
+def _ordered(column: pa.ChunkedArray, order: np.ndarray) -> Sets:
+    """The lists of a column in that order, written chunk by chunk: no second copy of all of them is made."""
+    size = pa.compute.list_value_length(column).to_numpy().astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(size[order])))
+    to, of, done = np.empty(len(order), np.int64), np.empty(at[-1], np.int32), 0
+    to[order] = at[:-1]
+    for chunk in column.chunks:
+        n = size[done : done + len(chunk)]
+        values = chunk.flatten().to_numpy()
+        of[np.repeat(to[done : done + len(chunk)] - (np.cumsum(n) - n), n) + np.arange(len(values))] = values
+        done += len(chunk)
+    return Sets(at, of)
+
+
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, sample_rows: int = SAMPLE_ROWS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, pairing: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits the model; may_learn is a condition on the labels' rows."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -145,22 +159,18 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, s
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists[0], lists[1], pa.array([t is not None for t in twins])], ["id", "h", "label", "own", "twin", "paired"])
 
     found = rows.mapInArrow(common.trimmed(run), "id string, h long, label int, own array<int>, twin array<int>, paired boolean").toArrow()
-    found = found.take(pa.compute.sort_indices(found, [("id", "ascending"), ("h", "ascending")])).combine_chunks()
-
-    def sets(table: pa.Table, name: str) -> Sets:
-        column = table[name].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        at = column.offsets.to_numpy().astype(np.int64)
-        return Sets(at - at[0], column.values.to_numpy()[at[0] : at[-1]])
-
-    target = found["label"].to_numpy().astype(float)
+    order = pa.compute.sort_indices(found.select(["id", "h"]), [("id", "ascending"), ("h", "ascending")]).to_numpy().astype(np.int64)
+    target, paired = found["label"].to_numpy()[order].astype(float), found["paired"].to_numpy()
+    own = _ordered(found["own"], order)
+    some = (np.cumsum(paired) - 1)[order[paired[order]]]  # the order of the paired ones
+    pairs = tuple(_ordered(found[c].filter(found["paired"]), some) for c in ("own", "twin")) if len(some) else None
+    del found  # as large as the sets
     if not len(target) or target.min() == target.max():
         return Model(float(np.log((target.sum() + 1) / (len(target) - target.sum() + 1))), np.zeros(0, np.int64), np.zeros(0))
-    own = sets(found, "own")
     features = select(own, target, BUCKETS, 3, 3.5, 4096)
-    paired = found.filter(found["paired"])
-    pairs = (sets(paired, "own"), sets(paired, "twin")) if paired.num_rows else None
     bias, weights = fit(own, target, features, ridge=1e-4, pairs=pairs, pairing=pairing)
+    del own, pairs
+    common.trim()
     return Model(bias, features, weights)
 
 

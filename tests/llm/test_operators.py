@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -665,6 +666,22 @@ def test_estimate_recovers_accuracies():
     assert np.abs(found - right).max() < 0.03
 
 
+def test_linear_needs_little_beside_its_sets():
+    rng = np.random.default_rng(5)
+    at = np.append(np.sort(rng.integers(0, 4_000_000, 4000)), 4_000_000)
+    sets = linear.Sets(np.insert(at, 0, 0), rng.integers(0, 1 << 12, 4_000_000).astype(np.int32))
+    target = (rng.random(4001) < 0.5).astype(float)
+    rows = np.repeat(np.arange(4001), np.diff(sets.at))
+    tracemalloc.start()
+    chosen = linear.select(sets, target, 1 << 12, 3, 0.0, 16)
+    linear.fit(sets, target, chosen, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sets.of.nbytes  # in 64 bits the rows alone take twice that
+    found = [(row, of) for row, of in sets.parts()]
+    assert len(found) > 4 and np.array_equal(np.concatenate([x[0] for x in found]), rows) and np.array_equal(np.concatenate([x[1] for x in found]), sets.of)
+
+
 def test_linear_fits():
     rng = np.random.default_rng(7)
     x = rng.random((500, 6)) < 0.5
