@@ -61,9 +61,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    shrink_heap(spark.sparkContext._jvm)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shrunk = {"to": 0}
+
+
+def shrink_heap(jvm) -> None:
+    """Collects the driver's garbage when its heap has over half of what it may have, as that shrinks the heap: the many
+    plans of a run in rounds would make it as large as allowed, beside Spark's classes, code and threads. What is in use stays, so
+    the next time the heap must have grown by a quarter since."""
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > max(runtime.maxMemory() / 2, 1.25 * _shrunk["to"]):
+        jvm.System.gc()
+        _shrunk["to"] = runtime.totalMemory()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Smaller Arrow batches than Spark's own, for rows that are whole texts: an executor holds a few of them
     at once, beside its heap. The setting stays in the session, as plans are made when results are asked for."""

@@ -5,6 +5,7 @@ import hashlib
 import re
 import time
 import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -666,6 +667,21 @@ def test_estimate_recovers_accuracies():
     assert np.abs(found - right).max() < 0.03
 
 
+def test_materialize_shrinks_the_drivers_heap(spark, monkeypatch):
+    heap, said = {"now": 400, "live": 300}, []
+    runtime = types.SimpleNamespace(totalMemory=lambda: heap["now"], maxMemory=lambda: 1000)
+    collect = lambda: said.append(heap["now"]) or heap.update(now=heap["live"])
+    jvm = types.SimpleNamespace(java=types.SimpleNamespace(lang=types.SimpleNamespace(Runtime=types.SimpleNamespace(getRuntime=lambda: runtime))), System=types.SimpleNamespace(gc=collect))
+    monkeypatch.setitem(common._shrunk, "to", 0)
+    for now, live in ((400, 300), (600, 550), (650, 550), (700, 300), (450, 300), (501, 300)):
+        heap.update(now=now, live=live)
+        common.shrink_heap(jvm)
+    assert said == [600, 700, 501]
+    seen = []
+    monkeypatch.setattr(common, "shrink_heap", seen.append)
+    assert common.materialize(spark.range(3), "heap").count() == 3 and len(seen) == 1
+
+
 def test_linear_needs_little_beside_its_sets():
     rng = np.random.default_rng(5)
     at = np.append(np.sort(rng.integers(0, 4_000_000, 4000)), 4_000_000)
